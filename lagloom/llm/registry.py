@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lagloom.llm import exact_dedup
+from lagloom.llm import byte_bpe, exact_dedup
 
 
 def queries() -> dict:
     return {
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
