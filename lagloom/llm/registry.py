@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup
+from lagloom.llm import byte_bpe, exact_dedup, simhash
 
 
 def queries() -> dict:
     return {
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
