@@ -86,24 +86,26 @@ def cell(value, cuts: list):
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)), F.lit(0))
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, out: str, parts: int, ties: tuple = ()) -> DataFrame:
-    """df with out: the sum of value over all rows before this one by order, then ties.
+def prefix_sums(df: DataFrame, order: str, sums: dict, parts: int, ties: tuple = ()) -> DataFrame:
+    """df with new columns: for each name in sums, the sum of its column over all rows before this one.
 
-    Rows are dealt into ranges of order by approximate quantiles; a window sums within each
-    range, and the sums of the ranges, parts rows at most, are summed once more and joined by
-    broadcast. No task sees more than one range. order must be numeric; null comes first.
+    Rows are ordered by order (numeric, null first), then ties. They are dealt into ranges of
+    order by approximate quantiles; a window sums within each range, and the sums of the
+    ranges, parts rows at most, are summed once more and joined by broadcast. No task sees more
+    than one range.
     """
     cuts = quantile_cuts(df, {"at": F.col(order)}, parts)["at"]
     dealt = df.withColumn("__range", cell(F.col(order), cuts))
-    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy("__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(before), zero).alias(f"__{n}") for n in sums])
     return (
-        dealt.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        dealt.withColumns({n: F.coalesce(F.sum(c).over(inside), zero) for n, c in sums.items()})
         .join(F.broadcast(offsets), "__range")
-        .withColumn(out, (F.col("__inside") + F.col("__offset")).cast("long"))
-        .drop("__range", "__inside", "__offset")
+        .withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums})
+        .drop("__range", *[f"__{n}" for n in sums])
     )
 
 

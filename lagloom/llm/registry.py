@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, simhash
+from lagloom.llm import byte_bpe, exact_dedup, simhash, token_store
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
+        "op9_token_store": token_store.op9_token_store,
     }
 
 
