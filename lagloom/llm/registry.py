@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, simhash, token_store
+from lagloom.llm import byte_bpe, exact_dedup, quality, simhash, token_store
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
+        "op10_quality": quality.op10_quality,
     }
 
 
