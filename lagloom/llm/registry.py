@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, quality, simhash, token_store
+from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
         "op2_language": language.op2_language,
+        "op3_mixing": mixing.op3_mixing,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
