@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store
+from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_hilbert_sharding": hilbert.op1_hilbert_sharding,
         "op2_language": language.op2_language,
         "op3_mixing": mixing.op3_mixing,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op4_url_filter": url_filter.OP4_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }
