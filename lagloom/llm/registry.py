@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store, url_filter
+from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store, topk, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language": language.op2_language,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_topk": topk.op5_topk,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
@@ -22,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op4_url_filter": url_filter.OP4_SQL,
+        "op5_topk": topk.OP5_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }
