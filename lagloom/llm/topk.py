@@ -94,6 +94,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     that are null, hold null or non-finite components, or have a null id take no part; vectors are
     compared with those of their own length only, and an empty vector scores 0. Rows that repeat an id
     are vectors of their own, but none is the answer to a query with its id; a repeated query is answered once.
+    A score beyond a long is shown as the nearest long, and such scores are picked by what they
+    truly are, then shown as ties.
 
     Queries pass in blocks of QUERIES, each broadcast in turn, over all vectors where they lie.
     """
