@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import cut, join_counted, shared_path
+from lagloom.llm.common import cut, fresh, join_counted, shared_path
 
 
 def normalised(text: str = "text"):
@@ -88,10 +88,11 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     Of rows that repeat a doc_id and a text, one stays.
     """
-    kept = index.add(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "inner").where(F.sha2(normalised(), 256) == F.col("__sha"))
-    once = Window.partitionBy("__id", "__sha").orderBy("__id")
-    return joined.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__id", "__sha", "__n")
+    id_, sha, n = fresh(docs, "__id", "__sha", "__n")
+    kept = index.add(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept[id_])).where(F.sha2(normalised(), 256) == F.col(sha))
+    once = Window.partitionBy(id_, sha).orderBy(id_)
+    return joined.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(id_, sha, n)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagloom.llm.common import cell, cut, quantile_cuts
+from lagloom.llm.common import cell, cut, fresh, quantile_cuts
 
 
 def as_number(df: DataFrame, column: str):
@@ -112,8 +112,9 @@ def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int
 
     doc_id must be unique. The columns shard and slot are added, so docs must not have them.
     """
-    placed = shard_by_curve(docs, dimensions, shards, bits).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["__id"])).drop("__id")
+    (id_,) = fresh(docs, "__id")
+    placed = shard_by_curve(docs, dimensions, shards, bits).select(F.col("doc_id").alias(id_), "shard", "slot")
+    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed[id_])).drop(id_)
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import WORD, cut, join_counted
+from lagloom.llm.common import WORD, cut, fresh, join_counted
 
 #: No source is taken, and no document repeated, more often.
 MOST = 3
@@ -150,10 +150,11 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     Rows that repeat a doc_id are repeated as often as the mix takes all of them together. Rows
     without words stay once.
     """
-    taken = mix(docs, **parameters).documents().groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.nullif("size", F.lit(0)) + 0.5)).cast("int")
-    times = taken.select("__id", times.alias("__times")).where("__times > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["__id"])).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__n")
+    id_, times, n = fresh(docs, "__id", "__times", "__n")
+    taken = mix(docs, **parameters).documents().groupBy(F.col("doc_id").alias(id_)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.nullif("size", F.lit(0)) + 0.5)).cast("int")
+    found = taken.select(id_, copies.alias(times)).where(F.col(times) > 0)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[id_])).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, n)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
