@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import components, cut, join_counted
+from lagloom.llm.common import components, cut, fresh, join_counted
 
 #: Rows of text worked on at once.
 ROWS = 256
@@ -214,9 +214,11 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, **parameters).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    once = Window.partitionBy("__id").orderBy("__id")
-    return docs.join(kept, docs["doc_id"] == kept["__id"]).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__id", "__n").unionByName(docs.where("doc_id is null"))
+    id_, n = fresh(docs, "__id", "__n")
+    kept = near_duplicates(docs, **parameters).where("doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
+    once = Window.partitionBy(id_).orderBy(id_)
+    named = docs.join(kept, docs["doc_id"] == kept[id_]).withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(id_, n)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

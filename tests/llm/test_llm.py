@@ -408,7 +408,11 @@ def test_token_store(spark):
 def test_chunks_shared():
     rng = np.random.default_rng(4)
     passage = rng.integers(0, 50_000, 30_000).astype("<u2")
-    cut = lambda ids: {hashlib.sha256(ids[a:b].tobytes()).digest() for a, b in zip([0, *(e := token_store.chunk_ends(ids))[:-1]], e)}
+
+    def cut(ids):
+        ends = token_store.chunk_ends(ids)
+        return {hashlib.sha256(ids[a:b].tobytes()).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+
     one, two = (cut(np.r_[rng.integers(0, 50_000, n).astype("<u2"), passage]) for n in (777, 3210))
     assert len(one & two) > 0.8 * len(cut(passage))
     for n in (1, 63, 64, 65, 20_000):
