@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from lagloom.plans.queries import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    from lagloom.plans.queries import SQL
+
+    return dict(SQL)
