@@ -68,7 +68,7 @@ def measure(streams: DataFrame, audio: DataFrame, segment_s: float = 90.0) -> Da
     """
     name = F.regexp_extract(F.col("url"), r"[^/]*$", 0)
     found = audio.withColumn("__file", F.regexp_extract("path", r"[^/]*$", 0)).drop("path")
-    joined = streams.withColumn("__file", name).join(found, "__file", "left").drop("__file")
+    joined = streams.drop("error").withColumn("__file", name).join(found, "__file", "left").drop("__file")
     cut = first_seconds(F.col("pcm"), segment_s, F.col("sample_rate"))
     made = joined.withColumns({"pcm": cut, "error": F.coalesce("error", F.when(F.col("pcm").isNull(), F.concat(F.lit("failed to load audio: connection: no recording of "), F.coalesce("url", F.lit("")))))})
     made = made.withColumn("duration_s", duration(F.col("pcm"), F.col("sample_rate"), whole_seconds=True))
