@@ -231,3 +231,21 @@ def problems(settings: Mapping[str, Any]) -> list[str]:
 def output_format(flag: str | None, settings: Mapping[str, Any]) -> str:
     """The flag, else the general setting, else that of the run, else json."""
     return flag or settings.get("output_format") or settings.get("benchmark.output_format") or "json"
+
+#: What recordings of a content type are analysed by: which features count beside the cepstral ones.
+CONTENT_SETTINGS = [
+    ("music", False, True, True),
+    ("news", True, False, False),
+    ("talk", True, False, False),
+    ("sports", True, False, False),
+    ("mixed", True, True, False),
+]
+
+
+def with_content_settings(streams: DataFrame, column: str = "content_type") -> DataFrame:
+    """streams with speech_features, harmonic_features and chroma_features of their content type; unknown types go as news."""
+    from lagloom.functions.text import content_type
+
+    table = streams.sparkSession.createDataFrame(CONTENT_SETTINGS, "__kind string, speech_features boolean, harmonic_features boolean, chroma_features boolean")
+    kinds = streams.withColumn("__kind", content_type(F.col(column)))
+    return kinds.join(F.broadcast(table), "__kind", "left").drop("__kind")

@@ -47,3 +47,10 @@ def playlist_analysis(playlists: DataFrame, segments: DataFrame, variants: DataF
         return variants.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"{column}_counts"))
 
     return playlists.join(a, key, "left").join(b, key, "left").join(histogram("codecs"), key, "left").join(histogram("resolution"), key, "left")
+
+
+def playlist_json(playlists: DataFrame, segments: DataFrame, pretty: bool = True) -> DataFrame:
+    """(playlist_url, document): a playlist and its segments in order, as JSON."""
+    parts = segments.groupBy("playlist_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "uri", "duration", "title"))), lambda s: s.dropFields("pos")).alias("segments"))
+    rest = [c for c in playlists.columns if c != "playlist_url"]
+    return playlists.join(parts, "playlist_url", "left").select("playlist_url", F.to_json(F.struct(*rest, "segments"), {"pretty": str(pretty).lower()}).alias("document"))

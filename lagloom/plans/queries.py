@@ -478,3 +478,48 @@ def lag_windows(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("comparison"), F.col("value").alias("lag_seconds"), F.when(F.col("value") < 100, "MATCH").alias("status"))
     return windows(rows, "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "comparison", F.round("max_lag", 6).alias("max_lag"), "n")
+
+
+@query("""SELECT c_custkey, kind NOT IN ('music') AS speech_features, kind IN ('music', 'mixed') AS harmonic_features, kind = 'music' AS chroma_features
+ FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'mixed' ELSE 'news' END AS kind FROM customer)""")
+def content_settings_lookup(spark, sf_dir):
+    kind = F.when(F.col("c_custkey") % 4 == 0, "Music").when(F.col("c_custkey") % 4 == 1, "mixed").when(F.col("c_custkey") % 4 == 2, "opera")
+    return config.with_content_settings(table(spark, sf_dir, "customer").select("c_custkey", kind.alias("content_type"))).drop("content_type")
+
+
+GROUPS_SQL = "g AS (SELECT CAST(r_regionkey AS VARCHAR) AS group_key, CAST(n_nationkey AS VARCHAR) AS broadcast_key, n_name, r_regionkey % 2 = 1 AS group_enabled, n_nationkey % 3 <> 0 AS broadcast_enabled FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _groups(spark, sf_dir) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("r_regionkey").cast("string").alias("group_key"), F.col("r_name").alias("group_name"), F.col("n_nationkey").cast("string").alias("broadcast_key"), "n_name", (F.col("r_regionkey") % 2 == 1).alias("group_enabled"), (F.col("n_nationkey") % 3 != 0).alias("broadcast_enabled")
+    )
+
+
+@query(f"WITH {GROUPS_SQL} SELECT (SELECT count(*) FROM g WHERE group_enabled AND broadcast_enabled) AS broadcasts, (SELECT min(group_key) FROM g WHERE group_enabled) AS first_group, (SELECT count(DISTINCT group_key) FROM g WHERE group_enabled AND broadcast_key = '7') AS groups_with")
+def catalog_counts(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    a = catalog.enabled_broadcasts(g).select(F.col("n").alias("broadcasts"))
+    return a.join(catalog.first_group(g).select(F.col("group_key").alias("first_group"))).join(catalog.groups_with(g, "7").agg(F.count("*").alias("groups_with")))
+
+
+@query(f"WITH {GROUPS_SQL} SELECT group_key, broadcast_key FROM (SELECT *, row_number() OVER (ORDER BY broadcast_key) - 1 AS n FROM g WHERE group_enabled AND broadcast_enabled AND group_key = (SELECT min(group_key) FROM g WHERE group_enabled)) WHERE n = 1")
+def select_broadcast(spark, sf_dir):
+    return catalog.select_broadcast(_groups(spark, sf_dir), 1).select("group_key", "broadcast_key")
+
+
+@query("SELECT page_id, 'a' AS server, CAST(NULL AS VARCHAR) AS other, length(url) AS via FROM pages")
+def shown_headers(spark, sf_dir):
+    headers = F.create_map(F.lit("server"), F.lit("a"), F.lit("x-other"), F.col("url"), F.lit("via"), F.length("url").cast("string"))
+    h = text.shown_headers(headers)
+    return table(spark, sf_dir, "pages").select("page_id", F.try_element_at(h, F.lit("server")).alias("server"), F.try_element_at(h, F.lit("x-other")).alias("other"), F.try_element_at(h, F.lit("via")).cast("long").alias("via"))
+
+
+@query("""SELECT vec_id, len(a) AS n, round(a[1]::DOUBLE, 6) AS first_a, round(b[1]::DOUBLE, 6) AS first_b, len(p) AS prefix FROM (
+ SELECT vec_id, embedding[greatest(0, -lag) + 1 : 64 - greatest(0, lag)] AS a, embedding[greatest(0, lag) + 1 : 64 - greatest(0, -lag)] AS b, embedding[1 : 20] AS p FROM (SELECT *, CAST(vec_id % 9 - 4 AS INTEGER) AS lag FROM embeddings))""")
+def overlap_truncate(spark, sf_dir):
+    lag = (F.col("vec_id") % 9 - 4).cast("int")
+    both = audio.overlap(F.col("embedding"), F.col("embedding"), lag)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", both.alias("o"), F.size(audio.first_seconds(F.col("embedding"), 2.5, F.lit(8))).cast("long").alias("prefix"))
+    return rows.select("vec_id", F.size("o.a").cast("long").alias("n"), F.round(F.col("o.a")[0].cast("double"), 6).alias("first_a"), F.round(F.col("o.b")[0].cast("double"), 6).alias("first_b"), "prefix")
