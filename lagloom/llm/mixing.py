@@ -22,7 +22,7 @@ MOST = 3
 #: Draws that one row stands for until they are dealt out.
 RUN = 4096
 #: Documents of a chunk of a source's stream, about.
-CHUNK = 2000
+CHUNK = 1000
 
 
 def permuted(x, n, *key, rounds: int = 24):
@@ -79,7 +79,8 @@ class Mix:
         high = F.least(F.col("begin") + F.col("size"), F.col("block") * b + b) - F.col("block") * b
         # No block is drawn over MOST times, so these lists are short.
         uses = self.draws.groupBy("key", "block").agg(F.collect_list(F.struct("shard", "slot", "take")).alias("uses"))
-        return cut_up.withColumns({"low": low, "high": high}).join(uses, ["key", "block"], "left")
+        # Draws come from a row for each source, which Spark would take for a small table and broadcast.
+        return cut_up.withColumns({"low": low, "high": high}).join(uses.hint("merge"), ["key", "block"], "left")
 
     def documents(self) -> DataFrame:
         """row, doc_id, size, source_size, target, taken, first_shard of every document."""
@@ -109,13 +110,13 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     same rows and parameters give the same mix in any order of rows; rows that repeat doc_id and size
     may trade places. Without words all targets are 0. Other columns are not read.
     """
-    b = block_words
+    b, spark = block_words, docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     words = [F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words")] if with_words else []
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *words))
     sources = cut(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))))
-    total = sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    total, words_in_all = sources.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
 
     # The stream of a source: chunks by hash of doc_id, in each by doc_id. A chunk is small whatever the source.
     chunked = sized.drop("source").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(total // CHUNK + 1)))
@@ -132,7 +133,9 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     counted = counted.withColumn("n", F.expr(f"want div source_size * around + (want % source_size + {b - 1}) div {b}"))
     earlier = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumns({"offset": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(Window.partitionBy())})
-    runs = counted.where("n > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition("key", "run")
+    # A number of its own: few small rows become many draws.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, words_in_all // (b * RUN)))
+    runs = counted.where("n > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition(parts, "key", "run")
     draws = runs.withColumn("j", F.explode(F.expr(f"sequence(run * {RUN}, least(n, run * {RUN} + {RUN}) - 1)")))
     draws = draws.withColumns({"turn": F.expr("j div around"), "p": F.expr("j % around")})
     # The part block at the end of a stream comes last each time around.
