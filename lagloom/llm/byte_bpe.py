@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of each cache of a Python worker; a full cache is emptied.
-CACHE = 300_000
+#: Entries of each cache of a Python worker. A full cache is emptied; that of chunks keeps one generation more.
+CACHE, CHUNKS = 200_000, 250_000
 #: Longer chunks aren't cached.
 CACHED_CHARS = 48
 #: Rows of a batch worked on at once.
@@ -161,8 +162,54 @@ class PrefixEncoder:
         return self.walk(last)
 
 
-#: White space but for single spaces and line feeds between other characters.
-_ODD = regex.compile(r"[^\S \n]|\s\s|^\s|\s$|[\x1c-\x1f\x85]", regex.V0)
+#: White space but for spaces and line feeds.
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _is_plain(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text))
+
+
+def _follow_words(text: str, sign: str) -> bool:
+    """Whether every sign in text comes right after a letter or number."""
+    return sign not in text or "".join([x[-1:] or sign for x in text.split(sign)[:-1]]).isalnum()
+
+
+def parts_of(text: str) -> list[str]:
+    """A plain text as parts: one that begins with a carriage return stands for what follows it, a line feed for itself, any other comes after a space."""
+    text = "\r" + text.replace("\n", " \n \r")
+    for sign in ",.":
+        if _follow_words(text, sign):
+            text = text.replace(sign, f" \r{sign}")
+    return text.split(" ")
+
+
+def chunk_of(part: str) -> str:
+    return part[1:] if part[0] == "\r" else part if part == "\n" else " " + part
+
+
+class _Known(dict):
+    """Part to its place in ids. Parts not met before are listed in new; those of the last generation come over."""
+
+    def __init__(self):
+        self.ids: list[bytes] = []
+        self.new: list[str] = []
+        self.older: tuple[dict[str, int], list[bytes]] = ({}, [])
+
+    def __missing__(self, part: str) -> int:
+        old = self.older[0].get(part)
+        if old is None:
+            self.new.append(part)
+        self.ids.append(b"" if old is None else self.older[1][old])
+        self[part] = at = len(self.ids) - 1
+        return at
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.older = (dict(self), self.ids)
+            self.ids = []
+            self.clear()
 
 
 class ChunkCoder:
@@ -170,41 +217,33 @@ class ChunkCoder:
 
     In a text whose white space is single spaces and line feeds between other characters, the
     usual byte-level patterns (optional space and letters, numbers or other signs; white space
-    up to the last before a word) never cross the place before such a space or line feed, nor
-    look past it. Such texts are cut there, other texts by the pattern. encode_many gets chunks
-    that are not in the cache and returns the ids of each.
+    up to the last before a word) never cross the place before such a space, or before or after
+    such a line feed, nor look past it; nor do they cross from a letter or number to a comma or
+    stop. Such texts are cut there, other texts by the pattern. encode_many gets chunks that are
+    not in the cache, and whole texts that weren't cut, and returns the ids of each.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4"):
-        self.encode_many, self.dtype = encode_many, dtype
-        self.chunks: dict[str, bytes] = {}
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4", most: int = CHUNKS):
+        self.encode_many, self.dtype, self.most = encode_many, dtype, most
+        self.known = _Known()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as dtype; a null text counts as empty."""
-        cut, odd = [], {}
-        for at, text in enumerate(texts):
-            if not text:
-                cut.append([])
-            elif _ODD.search(text):
-                odd[at] = text
-                cut.append([])
-            else:
-                # A part that begins with a line feed stands for itself, one that begins with a
-                # carriage return for what follows; any other part follows a space.
-                cut.append(("\r" + text.replace("\n", " \n")).split(" "))
-        new = list(set().union(*cut) - self.chunks.keys())
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = list(set().union(*cut))
-        ids = iter(self.encode_many([x if x[0] == "\n" else x[1:] if x[0] == "\r" else " " + x for x in new] + list(odd.values())))
-        known = self.chunks
-        known.update((x, np.array(next(ids), self.dtype).tobytes()) for x in new)
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        odd = {at: t for at, t in enumerate(texts) if t and not _is_plain(t)}
+        cut = [parts_of(t) if t and at not in odd else [] for at, t in enumerate(texts)]
+        known = self.known
+        known.age(self.most)
+        places = [list(map(known.__getitem__, parts)) for parts in cut]
+        new, known.new = known.new, []
+        ids = iter(self.encode_many([chunk_of(x) for x in new] + list(odd.values())))
+        for x in new:
+            known.ids[known[x]] = np.asarray(next(ids), self.dtype).tobytes()
+        out = [b"".join(map(known.ids.__getitem__, p)) for p in places]
         for at in odd:
-            out[at] = np.array(next(ids), self.dtype).tobytes()
+            out[at] = np.asarray(next(ids), self.dtype).tobytes()
         for x in new:
             if len(x) > CACHED_CHARS:
-                del known[x]
+                known.ids[known.pop(x)] = b""
         return out
 
 
