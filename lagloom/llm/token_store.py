@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm.byte_bpe import ChunkCoder
-from lagloom.llm.common import join_counted, prefix_sums
+from lagloom.llm.common import cut, join_counted, prefix_sums
 
 ROWS = 256
 #: Children of a node of the Merkle tree.
@@ -32,6 +32,8 @@ FAN = 1024
 #: Ids that the rolling hash looks back on; a chunk ends where its low MASK_BITS are 0.
 LOOK, MASK_BITS = 8, 10
 SHORTEST, LONGEST = 64, 8192
+#: Pieces of text in the cache of a Python worker, for each of two generations.
+CHUNKS = 450_000
 
 _CODERS: dict[str, tuple[ChunkCoder, int]] = {}
 
@@ -46,10 +48,38 @@ def _coder(vocabulary) -> tuple[ChunkCoder, int]:
         library = Tokenizer.from_str(vocabulary.value)
         wide = 2 if library.get_vocab_size() <= 1 << 16 else 4
         _CODERS.clear()
-        _CODERS[key] = ChunkCoder(lambda xs: (e.ids for e in library.encode_batch_fast(xs, add_special_tokens=False)), f"<u{wide}"), wide
+        _CODERS[key] = ChunkCoder(together(library), f"<u{wide}", CHUNKS), wide
     return _CODERS[key]
 
 
+def together(library):
+    """A function from many short texts to the ids of each, which spares the library a call for each.
+
+    Texts without line feeds, with no white space but perhaps one space at the start, are put on lines of
+    one text. A line feed between two such is a token of its own, so the ids are cut there.
+    """
+    feed = library.encode("\n", add_special_tokens=False).ids
+
+    def single(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode_many(texts: list[str]) -> Iterator[list[int]]:
+        at = [i for i, t in enumerate(texts) if len(t) < 100 and t.split() == [t[t[:1] == " " :]]]
+        out: list = [None] * len(texts)
+        if at and len(feed) == 1:
+            ids = np.array(single(["\n".join([texts[i] for i in at])])[0], np.int64)
+            ends = np.r_[np.flatnonzero(ids == feed[0]), len(ids)]
+            if len(ends) == len(at):
+                for i, a, b in zip(at, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, single([texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    return encode_many
+
+
 def chunk_ends(ids: np.ndarray) -> list[int]:
     """Where the chunks of a document's ids end. Depends on the ids near each place only, but for the length limits."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +272,7 @@ class TokenStore:
         used = recipes.select("ord", F.explode("chunks").alias("c")).select("ord", "c.digest", F.col("c.n").alias("length"), "c.after")
         counts = used.groupBy("digest").agg(F.count("*").alias("uses"))
         total = recipes.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
-        chunks = self.read_chunks().join(counts, "digest")
+        chunks = cut(self.read_chunks().join(counts, "digest"))  # read once, used for hot and other chunks
         found = join_counted(used, chunks, "digest", "uses", total).where("n = length").select("ord", "crc", "after")
         added = found.mapInArrow(run, "ord long, add long").groupBy("ord").agg(F.bit_xor("add").alias("crc"), F.count("*").alias("got"))
         return recipes.select("ord", "doc_id", "start", "n_tokens", F.size("chunks").alias("need")).join(added, "ord", "left").select(
