@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import text_key
+from lagloom.llm.common import sample_rows, text_key
 
 ROWS = 256
 #: Words whose scores a Python worker keeps; a full cache is emptied.
@@ -183,11 +183,11 @@ class Model:
 def train(labelled: DataFrame, most: int = 4000, bits: int = 16, penalty: float = 12.0) -> Model:
     """A model from labelled (doc_id, text, lang).
 
-    It learns from at most `most` rows with a lang and a text, those with the smallest hashes of
-    their doc_id. N-grams are counted where the rows are and summed by Spark; the driver gets one
-    number for each language and bucket, and for each language and script.
+    It learns from at most `most` different rows with a lang and a text, those with the smallest
+    hashes. N-grams are counted where the rows are and summed by Spark; the driver gets one number for
+    each language and bucket, and for each language and script.
     """
-    chosen = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id", "lang", F.crc32("text")).limit(most)
+    chosen = sample_rows(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import text_key
+from lagloom.llm.common import sample_rows, text_key
 
 ROWS = 256
 #: Entries of the cache of word hashes of a Python worker; a full cache is emptied.
@@ -125,14 +125,19 @@ class Model:
 
 
 def train(labelled: DataFrame, most: int = 6000, epochs: int = 4, bits: int = 18) -> Model:
-    """A model from labelled (doc_id, text, label 0 or 1).
+    """A model from labelled (doc_id, text, label 0 or 1), from at most `most` different rows, those with the smallest hashes.
 
-    It learns from at most `most` rows, those with the smallest hashes of their doc_id. Features are
-    computed where the rows are; one task learns from them in the order of the hashes, and the
-    driver gets the 2**bits weights. Rows with a null label are left out; with no rows at all
-    every score is 0.5.
+    Rows with a null label are left out; with no rows at all every score is 0.5.
+    """
+    return learn_from(sample_rows(labelled.where("label is not null").select("doc_id", "text", "label"), most), epochs, bits)
+
+
+def learn_from(chosen: DataFrame, epochs: int = 4, bits: int = 18) -> Model:
+    """A model from all rows of chosen (at, text, label), of which there must be a bounded number.
+
+    Features are computed where the rows are; one task learns from them in the order of `at`, and the
+    driver gets the 2**bits weights.
     """
-    chosen = labelled.where("label is not null").select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label").orderBy("at", "doc_id", "label", F.crc32(F.coalesce("text", F.lit("")))).limit(most)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +207,11 @@ def held_out(column: str = "doc_id"):
 def train_quality(spark: SparkSession, sf_dir: str, most: int = 6000) -> Model:
     """Learns labels.quality from the documents table, but for the held-out fifth."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out()).where("label is not null")
-    # A few more than are needed, for labels without a document; bounded, so the join may broadcast them.
-    few = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most + most // 10)
+    # Ids are chosen before any text is read. At most `most` rows, so the join may broadcast them.
+    few = labels.select(F.xxhash64("doc_id").alias("at"), "doc_id", "label").orderBy("at", "doc_id", "label").limit(most).groupBy("at", "doc_id").agg(F.min("label").alias("label"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return train(docs.join(F.broadcast(few), "doc_id"), most)
+    # Of rows that repeat a doc_id the lowest text counts.
+    return learn_from(docs.join(F.broadcast(few), "doc_id").groupBy("at", "doc_id", "label").agg(F.min("text").alias("text")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
