@@ -23,6 +23,8 @@ MOST = 3
 RUN = 4096
 #: Documents of a chunk of a source's stream, about.
 CHUNK = 1000
+#: Parts of a copy that are carried on when copies are rounded.
+PARTS = 1 << 20
 
 
 def permuted(x, n, *key, rounds: int = 24):
@@ -64,11 +66,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 @dataclass
 class Mix:
     """rows: row, doc_id, size, source_size, target, begin (first word's place in the source's stream), key (the source).
-    draws: key, block, take (words of the block that are taken), shard, slot."""
+    draws: key, block, take (words of the block that are taken), shard, slot. chunks: into how many a source is cut."""
 
     rows: DataFrame
     draws: DataFrame
     block_words: int
+    chunks: int
 
     def pieces(self) -> DataFrame:
         """Each document cut at the blocks, with what draws take of each piece; one row with no block for a document without words."""
@@ -83,12 +86,12 @@ class Mix:
         return cut_up.withColumns({"low": low, "high": high}).join(uses.hint("merge"), ["key", "block"], "left")
 
     def documents(self) -> DataFrame:
-        """row, doc_id, size, source_size, target, taken, first_shard of every document."""
+        """row, key, doc_id, size, source_size, target, taken, first_shard of every document."""
         zero = F.lit(0).cast("long")
         taken = F.aggregate("uses", zero, lambda sum_, u: sum_ + F.greatest(zero, F.least("high", u["take"]) - F.col("low")))
         shard = F.array_min(F.transform(F.filter("uses", lambda u: u["take"] > F.col("low")), lambda u: u["shard"]))
-        kept = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
-        pieces = self.pieces().select("row", "doc_id", "size", "source_size", "target", F.coalesce(taken, zero).alias("taken"), shard.alias("shard"))
+        kept = [F.first(c).alias(c) for c in ("key", "doc_id", "size", "source_size", "target")]
+        pieces = self.pieces().select("row", "key", "doc_id", "size", "source_size", "target", F.coalesce(taken, zero).alias("taken"), shard.alias("shard"))
         return pieces.groupBy("row").agg(*kept, F.sum("taken").alias("taken"), F.min("shard").alias("first_shard"))
 
     def blocks(self) -> DataFrame:
@@ -119,7 +122,8 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     total, words_in_all = sources.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
 
     # The stream of a source: chunks by hash of doc_id, in each by doc_id. A chunk is small whatever the source.
-    chunked = sized.drop("source").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(total // CHUNK + 1)))
+    n_chunks = total // CHUNK + 1
+    chunked = sized.drop("source").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
     inside = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunked.groupBy("key", "chunk").agg(F.sum("size").alias("n")).select("key", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -144,22 +148,30 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     slot = permuted(F.col("offset") + F.col("j"), F.col("all"), F.lit(seed), F.lit("slots"))
     draws = draws.select("key", block.alias("block"), take.cast("long").alias("take"), slot.alias("at"))
     draws = draws.select("key", "block", "take", F.expr(f"at div {shard_blocks}").cast("int").alias("shard"), (F.col("at") % shard_blocks).cast("int").alias("slot"))
-    return Mix(rows, draws, b)
+    return Mix(rows, draws, b, n_chunks)
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs as often as the mix takes them, rounded to whole documents: not at all up to MOST times.
 
+    What the mix takes of a document is rounded down or up so that its copies are right on average,
+    whatever its length: in each chunk of a source, from a start that hashing gives, copies are differences of
+    the rounded running sum. Documents go by size there, so that words come near the target, too.
     Rows that repeat a doc_id are repeated as often as the mix takes all of them together. Rows
     without words stay once.
     """
     id_, times, n = fresh(docs, "__id", "__times", "__n")
-    taken = mix(docs, **parameters).documents().groupBy(F.col("doc_id").alias(id_)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.nullif("size", F.lit(0)) + 0.5)).cast("int")
+    plan = mix(docs, **parameters)
+    taken = plan.documents().groupBy(F.col("doc_id").alias(id_)).agg(F.min("key").alias("key"), F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    taken = taken.withColumn("chunk", F.pmod(F.xxhash64(id_), F.lit(plan.chunks))).withColumn("part", F.coalesce(F.expr(f"taken * {PARTS} div nullif(size, 0)"), F.lit(0)))
+    before = Window.partitionBy("key", "chunk").orderBy("size", id_).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.pmod(F.xxhash64(F.lit("copies"), "key", "chunk"), F.lit(PARTS))
+    taken = taken.withColumn("at", start + F.coalesce(F.sum("part").over(before), F.lit(0)))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr(f"(at + part) div {PARTS} - at div {PARTS}")).cast("int")
     found = taken.select(id_, copies.alias(times)).where(F.col(times) > 0)
     return docs.join(found, docs["doc_id"].eqNullSafe(found[id_])).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, n)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).documents().drop("row")
+    return mix(docs).documents().drop("row", "key")

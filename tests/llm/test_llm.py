@@ -176,6 +176,22 @@ def test_mixing_blocks(spark):
     assert all(w in known for b in blocks for w in b.words)
 
 
+def test_mixed_words_near_target(spark):
+    rnd = random.Random(7)
+    lengths = [("s00", rnd.choice([40, 300, 2600, 4000])) for _ in range(400)] + [(f"s{n:02d}", rnd.randint(100, 1500)) for n in range(1, 20) for _ in range(60)]
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes = {}
+    for s, n in lengths:
+        sizes[s] = sizes.get(s, 0) + n
+    want, got, long = target_loop(sizes), {}, 0
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        long += r.source == "s00" and len(r.text.split()) > 2560
+    assert want["s00"] < 0.3 * sizes["s00"] and long > 0
+    assert all(abs(got[s] - want[s]) < 0.1 * want[s] for s in want), {s: (got.get(s), want[s]) for s in want}
+
+
 def test_targets_held(spark):
     for sizes in ({"a": 10, "b": 1000, "c": 3, None: 7}, {"x": 5}, {"a": 0, "b": 9, "c": 100, "d": 1, "e": 2, "é": 4}, {"a": 0}):
         df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
