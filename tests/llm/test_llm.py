@@ -13,7 +13,8 @@ import public_tokenizers  # noqa: E402
 import xxhash  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from lagloom.llm import byte_bpe, common, exact_dedup, hilbert, language, mixing, quality, simhash, token_store, topk, url_filter  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from lagloom.llm import byte_bpe, common, exact_dedup, hilbert, language, mixing, near_copies, quality, simhash, token_store, topk, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, __id long, row string, key string, shard string"
@@ -366,6 +367,45 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
+def plain_near(texts, similarity=0.8):
+    """For each text the smallest index reachable by links of that Jaccard similarity of 5-word shingles."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().encode().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies(spark):
+    rnd = random.Random(2)
+    texts = [None, "", "one", "ONE", "one two"]
+    for n in (60, 200, 400):
+        for _ in range(6):
+            base = [f"w{rnd.randint(0, 5000)}" for _ in range(n)]
+            for changes in (0, 1, 2, n // 60, n // 45, n // 30):
+                copy = list(base)
+                for at in rnd.sample(range(n), changes):
+                    copy[at] = "changed"
+                texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    root = plain_near(texts)
+    assert len(set(root)) < len(texts) - 40
+    for tile in (512, 2):
+        assert sorted(r.doc_id for r in near_copies.keep_one(docs, tile=tile).collect()) == sorted(set(root))
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(root))
+    # No text is lost to another one under its doc_id.
+    same = spark.createDataFrame([(3, "b " * 9), (7, "a " * 9), (7, "b " * 9)], docs.schema)
+    assert sorted((r.doc_id, r.text[0]) for r in near_copies.keep_one(same).collect()) == [(3, "b"), (7, "a")]
+    assert near_copies.keep_one(nothing(spark)).count() == 0
+
+
 def test_tries_and_tiles(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
