@@ -30,8 +30,8 @@ ROWS = 256
 #: Children of a node of the Merkle tree.
 FAN = 1024
 #: Ids that the rolling hash looks back on; a chunk ends where its low MASK_BITS are 0.
-LOOK, MASK_BITS = 8, 10
-SHORTEST, LONGEST = 64, 8192
+LOOK, MASK_BITS = 8, 6
+SHORTEST, LONGEST = 16, 8192
 #: Pieces of text in the cache of a Python worker, for each of two generations.
 CHUNKS = 450_000
 

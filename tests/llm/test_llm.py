@@ -476,6 +476,23 @@ def test_chunks_shared():
         assert ends[-1] == n and max(np.diff([0, *ends])) <= token_store.LONGEST
 
 
+def test_short_passages_shared():
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(0, 50_000, n).astype("<u2")
+
+    def cut(ids):
+        ends = token_store.chunk_ends(ids)
+        return {ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+
+    kept = shared = 0
+    for n in [150, 300, 400] * 40:
+        passage = new(n)
+        one, two = (cut(np.r_[new(rng.integers(50, 600)), passage, new(rng.integers(50, 600))]) for _ in range(2))
+        shared += n
+        kept += sum(map(len, one & two)) // 2
+    assert kept > 0.4 * shared
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
