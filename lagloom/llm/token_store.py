@@ -177,6 +177,12 @@ def encode_entries(docs: DataFrame, vocabulary, end_id: int) -> DataFrame:
     return numbered.mapInArrow(run, schema)
 
 
+def _leaf():
+    """The hash of a recipe, from all its columns but ord, which is its place in the tree."""
+    chunks = F.transform("chunks", lambda c: F.concat_ws(":", F.hex(c["digest"]), c["n"].cast("string"), c["after"].cast("string")))
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.concat_ws(",", chunks)), 256)
+
+
 class TokenStore:
     """A store at path, in a folder that all executors share."""
 
@@ -198,8 +204,7 @@ class TokenStore:
         found = self._entries().where("kind = 'doc'").select("key", "doc_id", "n_tokens", "chunks")
         ranges = ranges or max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         placed = prefix_sums(found.withColumn("one", F.lit(1)), "doc_id", {"start": "n_tokens", "ord": "one"}, ranges, ("key",))
-        leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.concat_ws(",", F.transform("chunks", lambda c: F.hex(c["digest"])))), 256)
-        placed.select("doc_id", "start", "n_tokens", "ord", "chunks", leaf.alias("leaf")).repartitionByRange("ord").sortWithinPartitions("ord").write.option("compression", "zstd").parquet(f"{self.path}/recipes")
+        placed.select("doc_id", "start", "n_tokens", "ord", "chunks", _leaf().alias("leaf")).repartitionByRange("ord").sortWithinPartitions("ord").write.option("compression", "zstd").parquet(f"{self.path}/recipes")
         self._manifest().write.parquet(f"{self.path}/manifest")
 
     def _entries(self) -> DataFrame:
@@ -211,7 +216,7 @@ class TokenStore:
 
     def _manifest(self) -> DataFrame:
         """The Merkle tree over the recipes as they now read: FAN nodes of a level in order make one of the next."""
-        level = self.recipes().select(F.col("ord").alias("node"), F.col("leaf").alias("hash"))
+        level = self.recipes().select(F.col("ord").alias("node"), _leaf().alias("hash"))
         n, tree, height = level.count(), None, 0
         while n > 1 or height == 0:
             height += 1
@@ -226,9 +231,9 @@ class TokenStore:
         return tree
 
     def verify_manifest(self) -> bool:
-        """Whether the stored manifest is that of the stored recipes."""
+        """Whether the stored manifest and leaves are those of the stored recipes, hashed anew."""
         stored, now = self.spark.read.parquet(f"{self.path}/manifest"), self._manifest()
-        return stored.exceptAll(now).isEmpty() and now.exceptAll(stored).isEmpty()
+        return self.recipes().where(~F.col("leaf").eqNullSafe(_leaf())).isEmpty() and stored.exceptAll(now).isEmpty() and now.exceptAll(stored).isEmpty()
 
     def _width(self) -> int:
         row = self._entries().where("kind = 'chunk'").select("key", "ids").limit(1).first()
@@ -280,17 +285,30 @@ class TokenStore:
         )
 
     def read_documents(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids (array of long) of every document, put together from its chunks."""
+        """doc_id, start, n_tokens, ids (array of long) of every document, put together from its chunks.
+
+        A chunk that is missing or doesn't give its digest, and a document of another length than its recipe's, are errors.
+        """
         wide = self._width()
-        used = self.recipes().select("ord", "doc_id", "start", "n_tokens", F.explode("chunks").alias("c")).select("ord", "doc_id", "start", "n_tokens", "c.digest", "c.after")
+        used = self.recipes().select("ord", "doc_id", "start", "n_tokens", F.explode_outer("chunks").alias("c")).select("ord", "doc_id", "start", "n_tokens", "c.digest", "c.after")
         chunks = self._entries().where("kind = 'chunk'").select(F.col("key").alias("digest"), "ids")
-        joined = used.join(chunks, "digest").groupBy("ord", "doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "ids"))).alias("parts"))
+        parts = F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("at"), "digest", "ids")))
+        joined = used.join(chunks, "digest", "left").groupBy("ord", "doc_id", "start", "n_tokens").agg(parts.alias("parts"))
+
+        def put_together(parts: list[dict], n: int) -> np.ndarray:
+            for x in parts:
+                if x["ids"] is None or hashlib.sha256(x["ids"]).digest() != x["digest"]:
+                    raise ValueError(f"chunk {(x['digest'] or b'').hex()} is missing or doesn't hold what its digest says")
+            ids = np.frombuffer(b"".join(x["ids"] for x in parts), f"<u{wide}").astype(np.int64)
+            if len(ids) != n:
+                raise ValueError(f"a recipe gives {len(ids)} ids and says {n}")
+            return ids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
-                    ids = [np.frombuffer(b"".join(x["ids"] for x in parts), f"<u{wide}").astype(np.int64) for parts in part.column(3).to_pylist()]
+                    ids = [put_together(parts, n) for parts, n in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "n_tokens", "ids"])
 
         return joined.select("doc_id", "start", "n_tokens", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
@@ -303,4 +321,6 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = TokenStore(spark, shared_path(spark, "tokens"))
     store.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    if not store.verify_manifest():
+        raise ValueError("the store's recipes don't give its manifest")
     return store.checksums()

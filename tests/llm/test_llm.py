@@ -461,6 +461,27 @@ def test_token_store(spark):
     assert empty.checksums().count() == 0 and empty.verify_manifest()
 
 
+def test_store_tampered(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{i} word{k}" for k in range(400))) for i in range(5)], "doc_id long, text string")
+    stores = [token_store.TokenStore(spark, common.shared_path(spark, "tokens")) for _ in range(2)]
+    for store in stores:
+        store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    good, bad = stores
+    changes = [("chunks", F.reverse("chunks")), ("start", F.col("start") + 1), ("ord", 4 - F.col("ord")), ("chunks", F.slice("chunks", 1, 1)), ("leaf", F.reverse("leaf"))]
+    for name, value in changes:
+        good.recipes().withColumn(name, value).write.mode("overwrite").parquet(f"{bad.path}/recipes")
+        assert good.verify_manifest() and not bad.verify_manifest(), name
+    good.recipes().write.mode("overwrite").parquet(f"{bad.path}/recipes")
+    assert bad.verify_manifest() and bad.read_documents().count() == 5
+    entries = good._entries()
+    first = entries.where("kind = 'chunk'").agg(F.min("key").alias("key")).first().key
+    hit = (F.col("kind") == "chunk") & (F.col("key") == F.lit(bytearray(first)))
+    for broken in (entries.where(~hit), entries.withColumn("ids", F.when(hit, F.expr("concat(substring(ids, 3), substring(ids, 1, 2))")).otherwise(F.col("ids")))):
+        broken.write.mode("overwrite").partitionBy("kind").parquet(f"{bad.path}/entries")
+        with pytest.raises(Exception, match="missing or doesn't hold"):
+            bad.read_documents().collect()
+
+
 def test_chunks_shared():
     rng = np.random.default_rng(4)
     passage = rng.integers(0, 50_000, 30_000).astype("<u2")
