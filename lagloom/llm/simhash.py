@@ -204,7 +204,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     total = rows.count()
     # Each fingerprint is named by its smallest doc_id. One doc_id may have several fingerprints if it is repeated.
     classes = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("rep"), F.count("*").alias("here")))
-    found = components(forest_edges(classes.where("rep is not null").select("rep", "bits"), max_bits, exact_blocks, tile))
+    edges = forest_edges(classes.where("rep is not null").select("rep", "bits"), max_bits, exact_blocks, tile)
+    # What a doc_id's fingerprints are named by is linked through the doc_id.
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low != high").select("doc_id")
+    own = rows.join(several, "doc_id").distinct().join(classes, "bits").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(edges.unionByName(own))
     named = classes.join(found, classes.rep == found.node, "left").select("bits", "here", F.coalesce("component", "rep").alias("component_id"))
     return join_counted(rows, named, "bits", "here", total).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -212,11 +216,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose doc_id is that of their component, with all their columns; one for each component.
 
-    Rows without a doc_id stay.
+    Of rows that repeat that doc_id the least stays, by text, then by the other columns. Rows without a doc_id stay.
     """
     id_, n = fresh(docs, "__id", "__n")
     kept = near_duplicates(docs, **parameters).where("doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
-    once = Window.partitionBy(id_).orderBy(id_)
+    ordered = [docs[c] for c in docs.columns if c != "text" and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    once = Window.partitionBy(id_).orderBy(docs["text"], *ordered)
     named = docs.join(kept, docs["doc_id"] == kept[id_]).withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(id_, n)
     return named.unionByName(docs.where("doc_id is null"))
 

@@ -367,6 +367,26 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
 
 
+def test_simhash_repeated_ids(spark):
+    a, b, c = ("".join(f"{k}{i} " for i in range(40)) for k in "abc")
+    rows = [(3, b), (7, a), (7, b), (9, a), (12, c), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 3), (3, 3), (7, 3), (7, 3), (9, 3), (12, 12)]
+    docs = awkward(spark)
+    source = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.where("doc_id is not null").select("doc_id", "text").distinct().orderBy("doc_id").collect()]
+    root = linked([bits for _, bits in source])
+    name = {i: i for i, _ in source}
+    for _ in source:
+        for (i, _), r in zip(source, root, strict=True):
+            low = min(name[i], name[source[r][0]])
+            name[i] = name[source[r][0]] = low
+    assert all(r.component_id == name[r.doc_id] for r in simhash.near_duplicates(docs).where("doc_id is not null").collect())
+    twice = spark.createDataFrame([(5, a), (5, b), (5, c)], "doc_id long, text string")
+    for n in (1, 2, 3):
+        assert [r.text for r in simhash.keep_one(twice.orderBy(F.desc("text")).repartition(n)).collect()] == [a]
+
+
 def plain_near(texts, similarity=0.8):
     """For each text the smallest index reachable by links of that Jaccard similarity of 5-word shingles."""
     sets = []
