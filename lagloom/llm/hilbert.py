@@ -16,16 +16,30 @@ from lagloom.llm.common import cell, cut, fresh, quantile_cuts
 
 
 def as_number(df: DataFrame, column: str):
-    """A number in the column's order: strings by their first six bytes, others by value."""
+    """A number in the order of a column that isn't a string's."""
     kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        first = F.substring(F.col(column).cast("binary"), 1, 6)
-        return F.conv(F.rpad(F.hex(first), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
         return F.col(column).cast("timestamp").cast("double") if not isinstance(kind, T.BooleanType) else F.col(column).cast("double")
     return F.col(column).cast("double")
 
 
+def string_cuts(df: DataFrame, column: str, parts: int) -> list:
+    """At most parts - 1 ascending values that cut a string column into cells of about equal counts, by the values' whole order.
+
+    The distinct values are counted and ranged; the driver gets the first value of each cell. Null is before the first.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = cut(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("sum"))
+    offsets = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    total = sums.agg(F.sum("sum")).first()[0]
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "part")
+    of = F.expr(f"(offset + inside) * {parts - 1} div {max(total or 0, 1)}")
+    return sorted((r.value for r in placed.groupBy(of.alias("cell")).agg(F.min("value").alias("value")).collect()), key=lambda v: v.encode())
+
+
 def hilbert_index(cells: list, bits: int):
     """The place on the Hilbert curve of a cell, given by integer columns of so many bits each.
 
@@ -70,10 +84,12 @@ def hilbert_index(cells: list, bits: int):
 
 
 def curve_order(df: DataFrame, dimensions: list[str], bits: int = 5):
-    """The column of df's curve positions, after one pass over the dimensions for their quantiles. Null comes first."""
-    numbers = {f"d{i}": as_number(df, c) for i, c in enumerate(dimensions)}
-    cuts = quantile_cuts(df, numbers, 1 << bits)
-    return hilbert_index([cell(e, cuts[n]) for n, e in numbers.items()], bits)
+    """The column of df's curve positions, after a pass over the numbers for their quantiles and one over each string dimension. Null comes first."""
+    strings = {c for c in dimensions if isinstance(df.schema[c].dataType, T.StringType)}
+    numbers = {f"d{i}": as_number(df, c) for i, c in enumerate(dimensions) if c not in strings}
+    cuts = quantile_cuts(df, numbers, 1 << bits) if numbers else {}
+    cells = [cell(F.col(c), string_cuts(df, c, 1 << bits)) if c in strings else cell(numbers[f"d{i}"], cuts[f"d{i}"]) for i, c in enumerate(dimensions)]
+    return hilbert_index(cells, bits)
 
 
 def shard_by_curve(docs: DataFrame, dimensions: list[str], shards: int = 24, bits: int = 5) -> DataFrame:

@@ -73,6 +73,13 @@ def test_sharding_awkward(spark):
     assert hilbert.shard_by_curve(nothing(spark), ["lang", "source", "n_chars"]).count() == 0
 
 
+def test_sharding_long_prefixes(spark):
+    docs = spark.createDataFrame([(i, f"common_crawl_{2000 + i % 20}") for i in range(400)] + [(900, None)], "doc_id long, source string")
+    rows = docs.select("source", hilbert.curve_order(docs.select("source"), ["source"]).alias("curve")).distinct().collect()
+    assert len(rows) == 21 and len({r.curve for r in rows}) == 21
+    assert [r.source for r in sorted(rows, key=lambda r: r.curve)] == sorted((r.source for r in rows), key=lambda v: v or "")
+
+
 def test_shards_written(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     hilbert.write_shards(docs, str(tmp_path / "out"), ["lang", "source"], 5)
