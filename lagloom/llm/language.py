@@ -127,10 +127,10 @@ class Model:
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best labels of a run of words: most score, less a penalty for each switch."""
         best = int(scores.sum(0).argmax())
-        # A detour through k spans of other languages costs k penalties at least. If no span of
-        # any language gains more than one penalty over the best language, none pays.
+        # A path with k spans of other languages has k - 1 switches at least, k if it visits the best
+        # language. If no span gains more than half a penalty over the best language, none pays.
         total = np.cumsum(np.r_[np.zeros((1, scores.shape[1])), scores - scores[:, best : best + 1]], axis=0)
-        if (total - np.minimum.accumulate(total, axis=0)).max() <= self.penalty:
+        if (total - np.minimum.accumulate(total, axis=0)).max() <= self.penalty / 2:
             return np.full(len(scores), best)
         return self.viterbi(scores)
 

@@ -120,6 +120,11 @@ def test_language_paths_are_best(spark):
         assert abs(value(model.viterbi(scores)) - best) < 1e-9
 
 
+def test_language_path_without_best():
+    model = language.Model(["a", "b", "c"], 4, np.zeros((16, 3)), np.ones((len(language._NAMES), 3), bool), penalty=3.0)
+    assert model.path(np.array([[2.5, -10, 0], [-10, 2.5, 0]])).tolist() == [0, 1]
+
+
 def test_language_spans_and_scripts(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and the dog were in the house of the king", "en"), ("der Hund und die Katze waren in dem Haus des Königs", "de"), ("кошка и собака были в доме короля", "ru")] * 20)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), penalty=4.0)
