@@ -12,20 +12,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of each cache of a Python worker. A full cache is emptied; that of chunks keeps one generation more.
-CACHE, CHUNKS = 200_000, 250_000
-#: Longer chunks aren't cached.
+from lagloom.llm.common import small_batches
+
+#: Entries of each cache of a Python worker. A full cache is emptied; that of whole pieces keeps one generation more.
+CACHE = 200_000
+#: Longer pieces aren't cached.
 CACHED_CHARS = 48
-#: Rows of a batch worked on at once.
-ROWS = 256
+#: Bytes of text worked on at once.
+SLICE = 8_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -34,33 +37,36 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Prefixes:
-    """The table of one piece: last[i] is the token that ends the encoding of its first i bytes."""
+    """The table of one piece: last[i] is the token that ends the encoding of its first i bytes, states[i] what they may go on as."""
 
     def __init__(self, encoder: "PrefixEncoder", data: bytes = b""):
-        self.encoder, self.data, self.last = encoder, b"", [-1]
+        self.encoder, self.data, self.last, self.states = encoder, b"", [-1], [encoder.states[b""]]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Adds bytes at the end; what is stored for shorter prefixes stays as it is."""
         self.data += more
-        self.encoder.extend(self.data, self.last)
+        self.encoder.extend(self.data, self.last, self.states)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Replaces the bytes from start to end; prefixes that end by start are kept."""
         self.data = self.data[:start] + new + self.data[end:]
-        del self.last[start + 1 :]
-        self.encoder.extend(self.data, self.last)
+        del self.last[start + 1 :], self.states[start + 1 :]
+        self.encoder.extend(self.data, self.last, self.states)
 
     def ids(self) -> list[int]:
         return self.encoder.walk(self.last)
 
 
 class _State:
-    """What the bytes read so far may be the start of: the tokens that end here, longest first, and the next states."""
+    """What the bytes read so far may be the start of: the tokens that end here, longest first, and the next states.
+
+    tokens: length, id, and which tokens it may follow, as far as known; -1 stands for the start.
+    """
 
     __slots__ = ("text", "tokens", "next")
 
-    def __init__(self, text: bytes, tokens: list[tuple[int, int]]):
+    def __init__(self, text: bytes, tokens: list[tuple[int, int, dict[int, bool]]]):
         self.text, self.tokens, self.next = text, tokens, {}
 
 
@@ -74,11 +80,10 @@ class PrefixEncoder:
         for t, i in ranks.items():
             self.token[i] = t
         self.length = [len(t) for t in self.token]
-        self.longest = max(self.length)
         self.starts = {t[:i] for t in ranks for i in range(len(t) + 1)}
         self.states = {b"": _State(b"", [])}
-        self.pairs: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merging the pair of lowest rank again and again; for short inputs."""
@@ -99,16 +104,13 @@ class PrefixEncoder:
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, s: int, t: int) -> bool:
-        if len(self.pairs) >= CACHE:
-            self.pairs.clear()
-        found = self.pairs[s * self.size + t] = self.merged(self.token[s] + self.token[t]) == [s, t]
-        return found
-
-    def reachable(self, t: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        found = self.whole.get(t)
-        if found is None:
-            found = self.whole[t] = self.merged(self.token[t]) == [t]
+        """Whether merging the bytes of both gives both; of t alone, if s is -1."""
+        if self.pairs >= CACHE:
+            self.pairs = 0
+            for known in self.follows.values():
+                known.clear()
+        self.pairs += 1
+        found = self.follows[t][s] = self.merged(self.token[s] + self.token[t]) == [s, t] if s >= 0 else self.merged(self.token[t]) == [t]
         return found
 
     def step(self, state: _State, byte: int) -> _State:
@@ -117,32 +119,28 @@ class PrefixEncoder:
         while text not in self.starts:
             text = text[1:]
         if text not in self.states:
-            self.states[text] = _State(text, [(len(text) - i, self.ranks[text[i:]]) for i in range(len(text)) if text[i:] in self.ranks])
+            ends = [(len(text) - i, self.ranks[text[i:]]) for i in range(len(text)) if text[i:] in self.ranks]
+            self.states[text] = _State(text, [(n, t, self.follows.setdefault(t, {})) for n, t in ends])
         state.next[byte] = self.states[text]
         return self.states[text]
 
-    def extend(self, data: bytes, last: list[int]) -> None:
-        """Fills last, which holds the prefixes of data up to some length, to the end of data."""
-        pairs, size, state = self.pairs, self.size, self.states[b""]
-        begin = len(last) - 1
-        for byte in data[max(0, begin - self.longest) : begin]:
-            state = state.next.get(byte) or self.step(state, byte)
-        for end in range(begin + 1, len(data) + 1):
-            byte = data[end - 1]
+    def extend(self, data: bytes, last: list[int], states: list[_State]) -> None:
+        """Fills last and states, which hold the prefixes of data up to some length, to the end of data."""
+        state, end = states[-1], len(last)
+        for byte in data[end - 1 :]:
             state = state.next.get(byte) or self.step(state, byte)
-            for length, t in state.tokens:
-                start = end - length
-                if start:
-                    fits = pairs.get(last[start] * size + t)
-                    if fits is None:
-                        fits = self.may_follow(last[start], t)
-                else:
-                    fits = self.reachable(t)
+            states.append(state)
+            for length, t, known in state.tokens:
+                s = last[end - length]
+                fits = known.get(s)
+                if fits is None:
+                    fits = self.may_follow(s, t)
                 if fits:
                     last.append(t)
                     break
             else:
                 raise ValueError(f"the vocabulary has no token for byte {byte}")
+            end += 1
 
     def walk(self, last: list[int]) -> list[int]:
         ids, end = [], len(last) - 1
@@ -154,97 +152,161 @@ class PrefixEncoder:
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of a piece. A piece that is itself a token is that token, as in tiktoken."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        last = [-1]
-        self.extend(data, last)
-        return self.walk(last)
-
-
-#: White space but for spaces and line feeds.
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _is_plain(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds between other characters."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text))
-
-
-def _follow_words(text: str, sign: str) -> bool:
-    """Whether every sign in text comes right after a letter or number."""
-    return sign not in text or "".join([x[-1:] or sign for x in text.split(sign)[:-1]]).isalnum()
-
-
-def parts_of(text: str) -> list[str]:
-    """A plain text as parts: one that begins with a carriage return stands for what follows it, a line feed for itself, any other comes after a space."""
-    text = "\r" + text.replace("\n", " \n \r")
-    for sign in ",.":
-        if _follow_words(text, sign):
-            text = text.replace(sign, f" \r{sign}")
-    return text.split(" ")
-
-
-def chunk_of(part: str) -> str:
-    return part[1:] if part[0] == "\r" else part if part == "\n" else " " + part
-
-
-class _Known(dict):
-    """Part to its place in ids. Parts not met before are listed in new; those of the last generation come over."""
-
-    def __init__(self):
-        self.ids: list[bytes] = []
-        self.new: list[str] = []
-        self.older: tuple[dict[str, int], list[bytes]] = ({}, [])
+        return self.encode_many([data])[0]
+
+    def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece. In sorted order, a piece keeps of the table what it has in common with the one before."""
+        out: list = [None] * len(pieces)
+        left = []
+        for i, data in enumerate(pieces):
+            whole = self.ranks.get(data)
+            if whole is None:
+                left.append(i)
+            else:
+                out[i] = [whole]
+        left.sort(key=pieces.__getitem__)
+        last, states = [-1], [self.states[b""]]
+        for i, same in zip(left, shared_prefixes([pieces[i] for i in left]), strict=True):
+            del last[same + 1 :], states[same + 1 :]
+            self.extend(pieces[i], last, states)
+            out[i] = self.walk(last)
+        return out
 
-    def __missing__(self, part: str) -> int:
-        old = self.older[0].get(part)
-        if old is None:
-            self.new.append(part)
-        self.ids.append(b"" if old is None else self.older[1][old])
-        self[part] = at = len(self.ids) - 1
-        return at
 
-    def age(self, most: int) -> None:
-        if len(self) > most:
-            self.older = (dict(self), self.ids)
-            self.ids = []
-            self.clear()
+def shared_prefixes(pieces: list[bytes], most: int = CACHED_CHARS) -> list[int]:
+    """How many bytes, `most` or fewer, each piece has in common with the one before."""
+    rows = np.array([p[:most] for p in pieces], f"S{most}").view(np.uint8).reshape(len(pieces), most)
+    same = np.zeros(len(pieces), np.int64)
+    if len(pieces) > 1:
+        differs = np.c_[rows[1:] != rows[:-1], np.ones(len(pieces) - 1, bool)]
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        same[1:] = np.minimum(differs.argmax(1), np.minimum(length[1:], length[:-1]))
+    return same.tolist()
+
+
+#: Bytes of white space that is neither a space nor a line feed, and the first bytes of such characters beyond ASCII.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD = re.compile("[\x85\xa0  -     　]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x0A]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[0x2C, 0x2E]] = True
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is C3.
+_LATIN = np.array([0x80 <= i <= 0xBF and i not in (0x97, 0xB7) for i in range(256)])
+
+
+def odd_texts(data: np.ndarray, bounds: np.ndarray, text: Callable[[int], str]) -> np.ndarray:
+    """Which texts hold white space but for spaces and line feeds. data: UTF-8 of all, text i from bounds[i] to bounds[i + 1]."""
+    found = np.zeros(len(bounds) - 1, bool)
+    found[np.searchsorted(bounds, np.flatnonzero(_ODD_BYTE[data]), "right") - 1] = True
+    # A first byte that such white space has in common with other characters.
+    for i in np.unique(np.searchsorted(bounds, np.flatnonzero(_ODD_LEAD[data]), "right") - 1).tolist():
+        found[i] = found[i] or _ODD.search(text(i)) is not None
+    return found
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that the texts are cut into: places that no match of the pattern crosses or looks past.
+
+    Before a space or line feed after something else, after a line feed that stands alone, and
+    before a comma or stop after a letter or number. Odd texts are one piece.
+    """
+    n = len(data)
+    space = _SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    start = np.zeros(n + 1, bool)
+    if n:
+        # Before the first and after the last character of a text nothing is cut.
+        inner = ~edge[1:n]
+        after = ~space[:-1] & inner
+        start[1:n] = space[1:] & after
+        word = _ALNUM[data]
+        word[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
+        start[1:n] |= _SIGN[data[1:]] & word[:-1] & inner
+        alone = (data[1:-1] == 0x0A) & after[:-1] & ~space[2:] & inner[1:] if n > 2 else np.zeros(0, bool)
+        start[2:n] |= alone
+    for i in np.flatnonzero(odd).tolist():
+        start[bounds[i] + 1 : bounds[i + 1]] = False
+    start[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+    start[n] = False
+    return np.flatnonzero(start)
+
+
+def offsets_of(column: pa.Array) -> np.ndarray:
+    """Where the values of a string or binary array begin in its data, and where the last ends."""
+    return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+
+
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Rows from, to of runs of a string array of about `most` bytes; a longer text is a run of its own."""
+    bounds, at = offsets_of(column).astype(np.int64), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def strings_of(column: pa.Array) -> list[str]:
+    """A string array as a list, by one text that is split again, which is faster than value by value."""
+    if not len(column):
+        return []
+    out = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), "\0")[0].as_py().split("\0")
+    return out if len(out) == len(column) else column.to_pylist()
 
 
 class ChunkCoder:
-    """Encodes texts chunk by chunk with a cache.
-
-    In a text whose white space is single spaces and line feeds between other characters, the
-    usual byte-level patterns (optional space and letters, numbers or other signs; white space
-    up to the last before a word) never cross the place before such a space, or before or after
-    such a line feed, nor look past it; nor do they cross from a letter or number to a comma or
-    stop. Such texts are cut there, other texts by the pattern. encode_many gets chunks that are
-    not in the cache, and whole texts that weren't cut, and returns the ids of each.
+    """Encodes texts piece by piece with a cache.
+
+    Texts are cut where the byte-level pattern (optional space and letters, numbers or other signs;
+    white space up to the last before a word) neither crosses nor looks past: see piece_starts. Texts
+    with other white space than spaces and line feeds aren't cut. Each different piece of a run of
+    texts is looked up once. encode_many gets the pieces that are not in the cache and returns the ids
+    of each, packed as dtype. The cache has two generations of `most` pieces.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4", most: int = CHUNKS):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], dtype: str = "<u4", most: int = CACHE):
         self.encode_many, self.dtype, self.most = encode_many, dtype, most
-        self.known = _Known()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, packed as dtype; a null text counts as empty."""
-        odd = {at: t for at, t in enumerate(texts) if t and not _is_plain(t)}
-        cut = [parts_of(t) if t and at not in odd else [] for at, t in enumerate(texts)]
-        known = self.known
-        known.age(self.most)
-        places = [list(map(known.__getitem__, parts)) for parts in cut]
-        new, known.new = known.new, []
-        ids = iter(self.encode_many([chunk_of(x) for x in new] + list(odd.values())))
-        for x in new:
-            known.ids[known[x]] = np.asarray(next(ids), self.dtype).tobytes()
-        out = [b"".join(map(known.ids.__getitem__, p)) for p in places]
-        for at in odd:
-            out[at] = np.asarray(next(ids), self.dtype).tobytes()
-        for x in new:
-            if len(x) > CACHED_CHARS:
-                known.ids[known.pop(x)] = b""
-        return out
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        left = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i, ids in zip(left, [old.get(pieces[i]) for i in left], strict=True):
+            if ids is None:
+                new.append(i)
+            else:
+                found[i] = young[pieces[i]] = ids
+        for i, ids in zip(new, self.encode_many([pieces[i] for i in new]) if new else (), strict=True):
+            found[i] = ids
+            if len(pieces[i]) <= CACHED_CHARS:
+                young[pieces[i]] = ids
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where those of each text begin (one more at the end). A null text counts as empty."""
+        texts = texts.fill_null("") if texts.null_count else texts
+        bounds = offsets_of(texts).astype(np.int64)
+        if bounds[-1] == bounds[0]:
+            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8, bounds[-1] - bounds[0], bounds[0])
+        bounds = bounds - bounds[0]
+        odd = odd_texts(data, bounds, lambda i: texts[i].as_py())
+        starts = piece_starts(data, bounds, odd)
+        cuts = np.r_[starts, len(data)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        ids = pa.array(self.look_up(strings_of(pieces.dictionary)), pa.binary()).take(pieces.indices)
+        at = offsets_of(ids) // np.dtype(self.dtype).itemsize
+        return np.frombuffer(ids.buffers()[2], self.dtype, at[-1]), at[np.searchsorted(starts, bounds)].astype(np.int64)
 
 
 class TextEncoder:
@@ -256,25 +318,57 @@ class TextEncoder:
         self.known: dict[str, list[int]] = {}
         self.chunks = ChunkCoder(self.encode_chunks)
 
-    def encode_chunks(self, chunks: list[str]) -> Iterator[list[int]]:
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in self.pattern.findall(chunk):
-                ids += self.encode_piece(piece)
-            yield ids
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, packed."""
+        ids: list[int] = []
+        found = [self.pattern.findall(x) for x in chunks]
+        # Chunks of one piece are kept by the caller.
+        single = iter(self.pieces.encode_many([f[0].encode() for f in found if len(f) == 1]))
+        ends = []
+        for pieces in found:
+            if len(pieces) == 1:
+                ids += next(single)
+            else:
+                for piece in pieces:
+                    ids += self.encode_piece(piece)
+            ends.append(4 * len(ids))
+        packed = np.array(ids, "<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode_piece(self, piece: str) -> list[int]:
         found = self.known.get(piece)
         if found is None:
             found = self.pieces.encode(piece.encode())
-            if len(self.known) >= CACHE:
+            if len(self.known) >= CACHE // 4:
                 self.known.clear()
             if len(piece) <= CACHED_CHARS:
                 self.known[piece] = found
         return found
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.pieces.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        ids, at = self.chunks.encode(texts)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def decode(tokens: pa.Array, packed: pa.Array) -> pa.Array:
+    """The bytes that the ids of each row stand for. tokens: the bytes of each id."""
+    bounds = offsets_of(packed).astype(np.int64)
+    if bounds[-1] == bounds[0]:
+        return pa.array([b""] * len(packed), pa.binary())
+    ids = np.frombuffer(packed.buffers()[2], "<u4", (bounds[-1] - bounds[0]) // 4, bounds[0])
+    found = tokens.take(pa.array(ids))
+    at = offsets_of(found)[(bounds - bounds[0]) // 4]
+    return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(np.ascontiguousarray(at)), found.buffers()[2]])
+
+
+def token_bytes(data: bytes) -> pa.Array:
+    """The bytes of each id of a .tiktoken file; of an id without a token, none."""
+    ranks = parse_ranks(data)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, i in ranks.items():
+        out[i] = t
+    return pa.array(out, pa.binary())
 
 
 _LOADED: dict[str, TextEncoder] = {}
@@ -292,6 +386,7 @@ class ByteBPE:
     """Encoding and decoding of columns. path: a .tiktoken file that the driver reads; it is broadcast (under 2 MB)."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        small_batches(spark)
         with open(path, "rb") as f:
             self.vocabulary = spark.sparkContext.broadcast(f.read())
         self.pattern = pattern
@@ -307,23 +402,22 @@ class ByteBPE:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder = _load(vocabulary, pattern)
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coder.chunks.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+                for a, b in slices(batch.column(1)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), coder.encode(batch.column(1).slice(a, b - a))], ["doc_id", "ids"])
 
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """Adds decoded, binary: the bytes that ids stand for."""
-        vocabulary, pattern = self.vocabulary, self.pattern
+        vocabulary = self.vocabulary
         kind = encoded.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = _load(vocabulary, pattern)
+            tokens = token_bytes(vocabulary.value)
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([coder.decode(x) for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
+                for a, b in slices(batch.column(1)):
+                    ids = batch.column(1).slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, decode(tokens, ids)], ["doc_id", "ids", "decoded"])
 
         return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 

@@ -3,6 +3,7 @@ prefix sums over a whole table, and a distributed connected-components loop."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,6 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 1024
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session allows more.
+BATCH = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes: whole texts may be very long, and both sides hold a batch."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # as Spark has it
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -42,6 +53,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark can reach it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_root(df.sparkSession)

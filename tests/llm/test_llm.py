@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lagloom.llm")
@@ -280,15 +281,16 @@ def test_bpe_like_tiktoken(spark, vocabulary):
     import tiktoken
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(vocabulary), special_tokens={})
-    ours = byte_bpe.TextEncoder(vocabulary, public_tokenizers.PATTERN)
+    ours, tokens = byte_bpe.TextEncoder(vocabulary, public_tokenizers.PATTERN), byte_bpe.token_bytes(vocabulary)
     rnd = random.Random(1)
-    signs = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", " ", "é", "中", "1", "23", "½", "!", "'s", "'ll", "😀", "\r\n", "\r", "\x1c", "\x85", "_", "\u200b", "\xa0", "<|endoftext|>"]
+    signs = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", " ", "é", "中", "1", "23", "½", "!", "'s", "'ll", "😀", "\r\n", "\r", "\x1c", "\x85", "_", "\0", "\u200b", "\xa0", "<|endoftext|>", ",", ".", "Ü", "×", "÷", "\u2003", "\u3000", " \n", "\n\n", ".,"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + [None, "", "a" * 3000, " " * 500 + "x", "\n", "a\n"]
     for at in range(0, len(texts), 100):
         some = texts[at : at + 100]
-        for text, packed in zip(some, ours.chunks.encode(some), strict=True):
-            assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text or "")
-            assert ours.decode(packed) == (text or "").encode()
+        ids = ours.encode(pa.array([None, *some], pa.string())[1:])
+        for text, packed, decoded in zip(some, ids, byte_bpe.decode(tokens, ids), strict=True):
+            assert np.frombuffer(packed.as_py(), "<u4").tolist() == library.encode_ordinary(text or "")
+            assert decoded.as_py() == (text or "").encode()
 
 
 def test_bpe_edits(vocabulary):
@@ -477,41 +479,95 @@ def test_token_store(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = awkward(spark)
     store = token_store.TokenStore(spark, common.shared_path(spark, "tokens"))
-    store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), ranges=3)
     rows = sorted(store.checksums().collect(), key=lambda r: r.start)
     assert [r.doc_id is not None and r.doc_id for r in rows] == sorted((r.doc_id is not None and r.doc_id for r in rows), key=lambda x: (x is not False, x))
-    want = sorted(zlib.crc32(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in docs.collect())
-    assert sorted(r.ids_crc32 for r in rows) == want
+    ids = [(r.doc_id, np.array(library.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")) for r in docs.collect()]
+    order = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    want = sorted([(d, len(x), zlib.crc32(x.tobytes())) for d, x in ids], key=order)
+    assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows], key=order) == want
     assert [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])[:-1]].tolist()
     assert store.verify_manifest()
-    crcs = {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in store.read_documents().collect()}
-    assert crcs == {r.start: r.ids_crc32 for r in rows}
-    chunks = spark.read.parquet(f"{store.path}/entries").where("kind = 'chunk'")
+    crcs = {r.start: (r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in store.read_documents().collect()}
+    assert crcs == {r.start: (r.doc_id, r.ids_crc32) for r in rows}
+    chunks = store._chunks()
     assert chunks.count() == chunks.select("key").distinct().count()
     empty = token_store.TokenStore(spark, common.shared_path(spark, "tokens"))
     empty.write(nothing(spark), public_tokenizers.path("byte_bpe_50k.json"))
     assert empty.checksums().count() == 0 and empty.verify_manifest()
 
 
-def test_store_tampered(spark):
+def test_store_tampered(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 2)  # a tree of several levels
     docs = spark.createDataFrame([(i, " ".join(f"{i} word{k}" for k in range(400))) for i in range(5)], "doc_id long, text string")
     stores = [token_store.TokenStore(spark, common.shared_path(spark, "tokens")) for _ in range(2)]
     for store in stores:
-        store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+        store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), ranges=2)
     good, bad = stores
-    changes = [("chunks", F.reverse("chunks")), ("start", F.col("start") + 1), ("ord", 4 - F.col("ord")), ("chunks", F.slice("chunks", 1, 1)), ("leaf", F.reverse("leaf"))]
-    for name, value in changes:
-        good.recipes().withColumn(name, value).write.mode("overwrite").parquet(f"{bad.path}/recipes")
+
+    def put(name, df):
+        df.write.mode("overwrite").parquet(f"{bad.path}/{name}")
+
+    recipes, ranges = good._read("recipes"), good._read("ranges")
+    size = token_store.ENTRY
+    changed = [
+        ("chunks", F.expr(f"concat(substring(chunks, {size + 1}), substring(chunks, 1, {size}))")),
+        ("chunks", F.expr(f"substring(chunks, {size + 1})")),
+        ("start", F.col("start") + 1),
+        ("ord", 4 - F.col("ord")),
+        ("doc_id", F.col("doc_id") + 1),
+        ("n_tokens", F.col("n_tokens") + 1),
+    ]
+    for name, value in changed:
+        put("recipes", recipes.withColumn(name, value))
         assert good.verify_manifest() and not bad.verify_manifest(), name
-    good.recipes().write.mode("overwrite").parquet(f"{bad.path}/recipes")
+    put("recipes", recipes.where("doc_id < 4"))
+    assert not bad.verify_manifest()
+    put("recipes", recipes)
+    put("ranges", ranges.withColumn("start", F.col("start") + 1))
+    assert not bad.verify_manifest()
+    put("ranges", ranges)
+    top = spark.read.parquet(f"{good.path}/manifest").agg(F.max("level")).first()[0]
+    assert top == 3
+    for level in (1, 2, 3):
+        tree = spark.read.parquet(f"{good.path}/manifest")
+        put("manifest", tree.withColumn("hash", F.when(F.col("level") == level, F.unhex(F.sha2("hash", 256))).otherwise(F.col("hash"))))
+        assert not bad.verify_manifest(), level
+    put("manifest", spark.read.parquet(f"{good.path}/manifest"))
     assert bad.verify_manifest() and bad.read_documents().count() == 5
-    entries = good._entries()
-    first = entries.where("kind = 'chunk'").agg(F.min("key").alias("key")).first().key
-    hit = (F.col("kind") == "chunk") & (F.col("key") == F.lit(bytearray(first)))
-    for broken in (entries.where(~hit), entries.withColumn("ids", F.when(hit, F.expr("concat(substring(ids, 3), substring(ids, 1, 2))")).otherwise(F.col("ids")))):
+    chunks = good._entries().where("kind = 'chunk'")
+    hit = F.col("chunk") == F.lit(bytearray(chunks.agg(F.min("chunk").alias("chunk")).first().chunk))
+    turned = F.expr("concat(substring(chunk, 1, 16), substring(chunk, 19), substring(chunk, 17, 2))")
+    for broken in (chunks.where(~hit), chunks.withColumn("chunk", F.when(hit, turned).otherwise(F.col("chunk")))):
         broken.write.mode("overwrite").partitionBy("kind").parquet(f"{bad.path}/entries")
-        with pytest.raises(Exception, match="missing or doesn't hold"):
-            bad.read_documents().collect()
+        for read in (bad.read_documents, bad.checksums):
+            with pytest.raises(Exception, match="missing or|doesn't hold"):
+                read().collect()
+    chunks.write.mode("overwrite").partitionBy("kind").parquet(f"{bad.path}/entries")
+    put("recipes", recipes.withColumn("chunks", F.expr(f"substring(chunks, {size + 1})")))
+    with pytest.raises(Exception, match="missing or of other lengths"):
+        bad.checksums().collect()
+
+
+def test_store_hot_chunks(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "HOT_KEYS", 3)
+    docs = spark.createDataFrame([(i, "the same text again" if i % 3 else f"text {i}") for i in range(60)], "doc_id long, text string")
+    store = token_store.TokenStore(spark, common.shared_path(spark, "tokens"))
+    store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(store._hot().values()) == [2]
+    assert len({r.ids_crc32 for r in store.checksums().collect()}) == 21
+
+
+def ends_of(ids):
+    return token_store.chunk_ends(ids, np.array([len(ids)]))
+
+
+def test_chunk_ends_of_many():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 50_000, n).astype("<u2") for n in (1, 5, 400, 30_000, 17, 2, 900)] + [np.zeros(20_000, "<u2")]
+    at = np.cumsum([0, *map(len, docs)])
+    want = [a + e for a, d in zip(at, docs, strict=False) for e in ends_of(d)]
+    assert token_store.chunk_ends(np.concatenate(docs), at[1:]).tolist() == want
 
 
 def test_chunks_shared():
@@ -519,13 +575,13 @@ def test_chunks_shared():
     passage = rng.integers(0, 50_000, 30_000).astype("<u2")
 
     def cut(ids):
-        ends = token_store.chunk_ends(ids)
+        ends = ends_of(ids)
         return {hashlib.sha256(ids[a:b].tobytes()).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
 
     one, two = (cut(np.r_[rng.integers(0, 50_000, n).astype("<u2"), passage]) for n in (777, 3210))
     assert len(one & two) > 0.8 * len(cut(passage))
     for n in (1, 63, 64, 65, 20_000):
-        ends = token_store.chunk_ends(np.zeros(n, "<u2"))
+        ends = ends_of(np.zeros(n, "<u2"))
         assert ends[-1] == n and max(np.diff([0, *ends])) <= token_store.LONGEST
 
 
@@ -534,7 +590,7 @@ def test_short_passages_shared():
     new = lambda n: rng.integers(0, 50_000, n).astype("<u2")
 
     def cut(ids):
-        ends = token_store.chunk_ends(ids)
+        ends = ends_of(ids)
         return {ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
 
     kept = shared = 0
