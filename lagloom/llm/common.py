@@ -4,9 +4,12 @@ prefix sums over a whole table, and a distributed connected-components loop."""
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Keys with over 1/HOT_KEYS of the rows are handled apart; there are at most HOT_KEYS of them.
 HOT_KEYS = 1024
+#: Keys with fewer rows are never handled apart.
+FEW = 256
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session allows more.
@@ -29,6 +34,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+_HELD: dict = {}
+
+
+def held(name: str, make=None):
+    """What a Python worker keeps from task to task for one operator, made if it isn't there.
+
+    Workers are used for one stage after another. Another operator's tables and caches are given
+    back to the system first, so that a worker's memory is that of one operator.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make() if make else None
+    return _HELD[name]
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -108,6 +133,23 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return near.unionByName(far)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of left with right, which has one row for each key of left.
+
+    Keys with more than 1 / HOT_KEYS of left's rows, at most HOT_KEYS, are dealt to several tasks, into
+    parts of about so many rows; right's row of such a key goes to each. left is read once more to count.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") * HOT_KEYS > total).where(F.col("n") > FEW).collect()
+    if not hot:
+        return left.join(right, key)
+    parts = left.sparkSession.createDataFrame([(r[key], min(HOT_KEYS, -(-r.n // max(FEW, total // HOT_KEYS)))) for r in hot], left.select(key).schema.add("__parts", "integer"))
+    salted = left.join(F.broadcast(parts), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__parts")), F.lit(0)).cast("int"))
+    copies = right.join(F.broadcast(parts), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return salted.drop("__parts").join(copies.drop("__parts"), [key, "__salt"]).drop("__salt")
+
+
 def quantile_cuts(df: DataFrame, columns: dict, parts: int, accuracy: int = 10_000) -> dict:
     """Up to parts - 1 ascending cut points for each named numeric expression, in one pass.
 
@@ -165,8 +207,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each replaces edges by edges to smaller nodes,
-    with minima that Spark combines before the shuffle, until nothing changes. Every round is
-    checkpointed. Nothing but a count and a checksum gets to the driver.
+    with minima that Spark combines before the shuffle, until nothing changes. The edges of the
+    centre of a large star are dealt to several tasks. Every step is checkpointed. Nothing but
+    counts, a checksum and the centres of at most HOT_KEYS stars gets to the driver.
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
     now = cut(pairs.distinct())
@@ -174,9 +217,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = now.join(least, now.b == least.u).select("a", F.col("m").alias("b")).where("a > b").distinct()
+        large = cut(join_salted(now, least.select(F.col("u").alias("b"), "m"), "b").select("a", F.col("m").alias("b")).where("a > b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b")))
+        small = join_salted(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b")))
         now = cut(small.distinct())
         row = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if seen == tuple(row):

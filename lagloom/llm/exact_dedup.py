@@ -86,11 +86,16 @@ class DigestIndex:
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of docs that an index keeps, with all their columns.
 
-    Of rows that repeat a doc_id and a text, one stays.
+    Of rows that repeat a doc_id and a text, one stays. Texts are shuffled once, by doc_id; only where
+    doc_ids repeat are they hashed again and sorted.
     """
     id_, sha, n = fresh(docs, "__id", "__sha", "__n")
-    kept = index.add(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept[id_])).where(F.sha2(normalised(), 256) == F.col(sha))
+    found = cut(index.add(docs).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), "kept"))
+    kept = found.where("kept").drop("kept")
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept[id_]))
+    if found.groupBy(id_).count().where("count > 1").isEmpty():
+        return joined.drop(id_, sha)
+    joined = joined.where(F.sha2(normalised(), 256) == F.col(sha))
     once = Window.partitionBy(id_, sha).orderBy(id_)
     return joined.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(id_, sha, n)
 

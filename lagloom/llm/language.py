@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import sample_rows, text_key
+from lagloom.llm.common import held, sample_rows, small_batches, text_key
 
 ROWS = 256
 #: Words whose scores a Python worker keeps; a full cache is emptied.
@@ -220,10 +220,12 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
 
     Whole texts are read; no column but doc_id and text is. Repeated rows have a row each.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import sample_rows, text_key
+from lagloom.llm.byte_bpe import slices
+from lagloom.llm.common import held, sample_rows, small_batches, text_key
 
-ROWS = 256
+#: Bytes of text worked on at once.
+SLICE = 1_000_000
 #: Entries of the cache of word hashes of a Python worker; a full cache is emptied.
-CACHE = 300_000
+CACHE = 100_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +48,6 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
 
 
 def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +56,11 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
     Words and pairs of words, pairs and triples of shapes; a text's values add up to 1. Long texts
     are read whole. A text without words has no buckets.
     """
+    known = held("quality words", _Words)
     words = [_TOKEN.findall(t) if t else [] for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
     first = np.r_[0, np.cumsum(n)]
-    both = np.fromiter((v for w in words for v in map(_WORDS.__getitem__, w)), np.uint64, first[-1])
+    both = np.fromiter((v for w in words for v in map(known.__getitem__, w)), np.uint64, first[-1])
     word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     starts = np.zeros(len(both) + 1, bool)
     starts[first] = True
@@ -139,10 +141,12 @@ def learn_from(chosen: DataFrame, epochs: int = 4, bits: int = 18) -> Model:
     driver gets the 2**bits weights.
     """
 
+    small_batches(chosen.sparkSession)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, end in slices(batch.column(1), SLICE):
+                part = batch.slice(at, end - at)
                 buckets, values, first = features(part.column(1).to_pylist(), bits)
                 ids, weights = [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
@@ -177,8 +181,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, end in slices(batch.column(1), SLICE):
+                part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -191,7 +195,7 @@ def score_column(model: Model, spark: SparkSession):
     @F.arrow_udf("double")
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pa.concat_arrays([pa.array(shared.value.score(part.slice(at, ROWS).to_pylist())) for at in range(0, len(part), ROWS)] or [pa.array([], pa.float64())])
+            yield pa.concat_arrays([pa.array(shared.value.score(part.slice(at, end - at).to_pylist())) for at, end in slices(part, SLICE)] or [pa.array([], pa.float64())])
 
     return scored
 

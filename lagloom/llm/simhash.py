@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import components, cut, fresh, join_counted
+from lagloom.llm.common import components, cut, fresh, held, join_counted, small_batches
 
 #: Rows of text worked on at once.
 ROWS = 256
@@ -56,7 +56,10 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and bits (the fingerprint as a signed long), one row for each row of docs."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -122,6 +125,14 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+def blocks_for(n: int, max_bits: int, most: int = 256) -> int:
+    """How many blocks a bucket's fingerprints should agree on, so that evenly spread fingerprints, n in all, leave about `most` in a bucket."""
+    exact = 2
+    while exact < 6 and n >> (64 * exact // (max_bits + exact)) > most:
+        exact += 1
+    return exact
+
+
 def table_masks(max_bits: int, exact_blocks: int) -> list[int]:
     """The bits on which two fingerprints of a bucket agree, for each table; signed."""
     blocks = np.array_split(np.arange(64), max_bits + exact_blocks)
@@ -187,7 +198,7 @@ def forest_edges(nodes: DataFrame, max_bits: int = 4, exact_blocks: int = 2, til
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4, exact_blocks: int = 2, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4, exact_blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and row_in_component, one row for each row of docs.
 
     component_id is the smallest doc_id that links of at most max_bits differing bits reach.
@@ -197,13 +208,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     each and are one node: what any of them reaches, all reach. Other columns are not read; an
     empty table gives an empty result.
 
-    exact_blocks: more gives more tables and smaller buckets (2: 15 tables by about 21 bits).
+    exact_blocks: more gives more tables and smaller buckets (2: 15 tables by about 21 bits, 3: 35 by 27, 4: 70
+    by 32); as many as the number of fingerprints asks for, if None.
     tile: a bucket with more rows is cut into tiles of about so many.
     """
     rows = cut(fingerprints(docs, shingle, seed))
     total = rows.count()
     # Each fingerprint is named by its smallest doc_id. One doc_id may have several fingerprints if it is repeated.
     classes = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("rep"), F.count("*").alias("here")))
+    exact_blocks = exact_blocks or blocks_for(classes.count(), max_bits)
     edges = forest_edges(classes.where("rep is not null").select("rep", "bits"), max_bits, exact_blocks, tile)
     # What a doc_id's fingerprints are named by is linked through the doc_id.
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low != high").select("doc_id")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.byte_bpe import ChunkCoder, offsets_of, slices
-from lagloom.llm.common import HOT_KEYS, delete, settings, small_batches
+from lagloom.llm.common import HOT_KEYS, delete, held, settings, small_batches
 
 #: Children of a node of the Merkle tree.
 FAN = 1024
@@ -45,21 +45,18 @@ SENT = 200_000
 #: While entries are written: a writer for each kind instead of a sort, and no shuffle files left behind.
 ENTRIES_SETTINGS = {"spark.sql.maxConcurrentOutputFileWriters": "4", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
-_CODERS: dict[str, tuple[ChunkCoder, int]] = {}
-
-
 def _coder(vocabulary) -> tuple[ChunkCoder, int]:
     """A coder for the broadcast text of a tokenizers file, and the bytes that an id takes."""
-    key = hashlib.sha256(vocabulary.value.encode()).hexdigest()
-    if key not in _CODERS:
+
+    def make() -> tuple[ChunkCoder, int]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(vocabulary.value)
         wide = 2 if library.get_vocab_size() <= 1 << 16 else 4
-        _CODERS.clear()
-        _CODERS[key] = ChunkCoder(together(library, f"<u{wide}"), f"<u{wide}", PIECES), wide
-    return _CODERS[key]
+        return ChunkCoder(together(library, f"<u{wide}"), f"<u{wide}", PIECES), wide
+
+    return held(f"token_store {hashlib.sha256(vocabulary.value.encode()).hexdigest()}", make)
 
 
 def together(library, dtype: str):

@@ -316,6 +316,8 @@ def test_bpe_awkward(spark):
     rows = byte_bpe.digests(coder.decode(coder.encode(docs))).collect()
     want = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
     assert sorted(r.decoded_sha256 for r in rows) == want
+    order = lambda r: (r.ids_sha256, r.decoded_sha256, str(r.doc_id))
+    assert sorted(rows, key=order) == sorted(byte_bpe.digests(coder.round_trip(docs)).collect(), key=order)
     assert coder.encode(nothing(spark)).count() == 0
 
 
@@ -458,7 +460,7 @@ def test_tries_and_tiles(spark):
         assert [found.get(n, n) for n in range(len(bits))] == root
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rnd = random.Random(0)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)]
     root = {n: n for e in edges for n in e}
@@ -469,8 +471,20 @@ def test_components(spark):
             low = min(root[a], root[b])
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
-    found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in edges)}
+    want = {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in edges)}
+    edges = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in common.components(edges).collect()} == want
+    # Large stars dealt to several tasks.
+    monkeypatch.setattr(common, "FEW", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 16)
+    assert {r.node: r.component for r in common.components(edges).collect()} == want
+
+
+def test_blocks_for():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 10**10, 10**12, 10**18)] == [2, 2, 3, 3, 4, 6]
+    for n in (2, 3, 4, 5):
+        masks = [m % (1 << 64) for m in simhash.table_masks(4, n)]
+        assert all(m.bit_count() >= 64 * n // (4 + n) - n for m in masks)
 
 
 def test_token_store(spark):

@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("lagloom.llm")
 import corpus_pipeline  # noqa: E402
 from lagloom.llm import quality  # noqa: E402
-from tests.llm.test_llm import awkward, linked, normal, nothing, plain_fingerprint  # noqa: E402
+from tests.llm.test_llm import awkward, normal, nothing, plain_near  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
             assert sorted(r["doc_id"] for r in after) == sorted(first.values())
         elif name == "simhash near-dedup":
             rows = sorted(before, key=lambda r: r["doc_id"])
-            root = linked([plain_fingerprint(r["text"]) for r in rows])
+            root = plain_near([r["text"] for r in rows])
             assert sorted(r["doc_id"] for r in after) == sorted({rows[r]["doc_id"] for r in root})
         elif name == "mixing to target weights":
             times = {}
