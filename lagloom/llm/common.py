@@ -93,9 +93,40 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
 
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder, wherever Spark can reach it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    files, at = _files(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    files, at = _files(spark, path)
+    stream = files.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, which is there whole or not at all."""
+    files, at = _files(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not files.rename(draft, at):
+        raise OSError(f"can't write {path}")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ import corpus_pipeline  # noqa: E402
 from lagloom.llm import byte_bpe, common, exact_dedup, hilbert, language, mixing, near_copies, quality, simhash, token_store, topk, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, __id long, row string, key string, shard string"
 
 
@@ -342,10 +344,86 @@ def test_exact_dedup_awkward(spark):
     assert not again[-1].kept and again[-1].keep_id is None and again[900].kept and not again[901].kept
     assert index.read().count() == len(groups) + 1
     assert index.add(nothing(spark)).count() == 0
+    index.compact()
+    assert len(index.state()[1]) == 1 and index.read().count() == len(groups) + 1
     kept = exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 4))
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def texts(spark, numbers, start=0):
+    return spark.createDataFrame([(start + n, f"text {n}") for n in numbers], "doc_id long, text string")
+
+
+def decisions(df):
+    return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+
+
+def test_index_batch_run_again(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 2)
+    first = decisions(index.add(texts(spark, range(30)), "monday"))
+    assert sum(r[3] for r in first) == 30
+    second = decisions(index.add(texts(spark, range(20, 40), 100), "tuesday"))
+    assert sum(r[3] for r in second) == 10
+    # A batch that was entered but not delivered gets the same again.
+    assert decisions(index.add(texts(spark, range(20, 40), 100), "tuesday")) == second
+    assert decisions(index.add(texts(spark, range(30)), "monday")) == first
+    # One that failed before it was published has entered nothing.
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DigestIndex, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(texts(spark, range(35, 50), 200), "wednesday")
+    assert index.read().count() == 40
+    third = decisions(index.add(texts(spark, range(35, 50), 200), "wednesday"))
+    assert sum(r[3] for r in third) == 10
+    # The same texts under another name, or none, are new rows of known texts.
+    assert not any(r[3] for r in decisions(index.add(texts(spark, range(35, 50), 200))))
+    index.compact()
+    assert len([n for n in common.file_names(spark, index.path) if n.startswith("part-")]) == 1
+    assert decisions(index.add(texts(spark, range(35, 50), 200), "wednesday")) == third
+    assert index.read().count() == 50 == index.read().select("digest").distinct().count()
+
+
+def test_index_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PARTS", 2)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
+    index = exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 2)
+    for n in range(5):
+        assert sum(r[3] for r in decisions(index.add(texts(spark, range(20 * n, 20 * n + 30), 1000 * n), str(n)))) == (30 if n == 0 else 20)
+    assert len(index.state()[1]) <= 3 and index.read().count() == 110
+    assert [p["buckets"] for p in index.state()[1]] == [16] and index._buckets_for(30) == 4
+
+
+def test_index_order_is_used(spark):
+    index = exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 4)
+    for n in range(2):
+        index.add(texts(spark, range(100 * n, 100 * n + 100)), str(n))
+    with common.settings(spark, exact_dedup.ORDERED | {"spark.sql.adaptive.enabled": "false"}):
+        groups = common.cut(texts(spark, range(150, 250)).select(exact_dedup.digest().alias("digest")))
+        plan = index.unknown(groups, index.state()[1])._jdf.queryExecution().executedPlan().toString()
+    # The groups are shuffled and sorted once; neither part is.
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_index_in_another_process(spark):
+    import subprocess
+    import sys
+
+    index = exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 2)
+    index.add(texts(spark, range(30)), "here")
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {index.path + "-house"!r}).config("spark.checkpoint.dir", {common.shared_root(spark)!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lagloom.llm.exact_dedup import DigestIndex
+docs = spark.createDataFrame([(n, "text %d" % n) for n in range(20, 35)], "doc_id long, text string")
+print("KEPT", DigestIndex(spark, {index.path!r}, 2).add(docs, "there").where("kept").count())
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "KEPT 5" in ran.stdout, ran.stderr[-2000:]
+    assert index.read().count() == 35
+
+
 def plain_fingerprint(text):
     words = [w for w in normal(text).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split(" ") if w]
     if not words:
