@@ -88,7 +88,12 @@ def curve_order(df: DataFrame, dimensions: list[str], bits: int = 5):
     strings = {c for c in dimensions if isinstance(df.schema[c].dataType, T.StringType)}
     numbers = {f"d{i}": as_number(df, c) for i, c in enumerate(dimensions) if c not in strings}
     cuts = quantile_cuts(df, numbers, 1 << bits) if numbers else {}
-    cells = [cell(F.col(c), string_cuts(df, c, 1 << bits)) if c in strings else cell(numbers[f"d{i}"], cuts[f"d{i}"]) for i, c in enumerate(dimensions)]
+
+    def spread(value, at: list):
+        """The cells, few or many, over the whole axis: else a dimension of few values would decide nothing but the last turns of the curve."""
+        return F.floor(cell(value, at) * F.lit(1 << bits) / F.lit(len(at) + 1))
+
+    cells = [spread(F.col(c), string_cuts(df, c, 1 << bits)) if c in strings else spread(numbers[f"d{i}"], cuts[f"d{i}"]) for i, c in enumerate(dimensions)]
     return hilbert_index(cells, bits)
 
 
@@ -104,9 +109,9 @@ def shard_by_curve(docs: DataFrame, dimensions: list[str], shards: int = 24, bit
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), curve_order(docs.select(*dimensions), dimensions, bits).alias("curve")
-    )
+    # Small rows, kept: the range bounds are drawn from them without reading texts again.
+    curve = curve_order(docs.select(*dimensions), dimensions, bits).alias("curve")
+    rows = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), curve))
     keys = ["curve", "text_crc32", "doc_id", "size"]
     # Range partitions of the order, and in each the place within: kept, since another run may choose other bounds.
     placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
@@ -126,12 +131,28 @@ def shard_by_curve(docs: DataFrame, dimensions: list[str], shards: int = 24, bit
 def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int = 24, bits: int = 5) -> None:
     """Writes docs with all their columns, a folder for each shard, rows in slot order.
 
-    doc_id must be unique. The columns shard and slot are added, so docs must not have them.
+    The columns shard and slot are added, with underscores before their names where docs has them. Every
+    row is written once: rows that repeat doc_id and text are numbered, and may trade places. Null ids come
+    first; an empty table writes no shard.
     """
-    (id_,) = fresh(docs, "__id")
-    placed = shard_by_curve(docs, dimensions, shards, bits).select(F.col("doc_id").alias(id_), "shard", "slot")
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed[id_])).drop(id_)
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    id_, size, crc, n, shard, slot = names = fresh(docs, "__id", "__size", "__crc", "__n", "shard", "slot")
+    keys = names[:3]
+    placed = cut(shard_by_curve(docs, dimensions, shards, bits).select(*[F.col(a).alias(b) for a, b in zip(["doc_id", "size", "text_crc32", "shard", "slot"], [*keys, shard, slot], strict=True)]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.withColumns({id_: F.col("doc_id"), size: (F.octet_length(text) + 8).cast("long"), crc: F.crc32(text)})
+    if placed.groupBy(*keys).count().where("count > 1").isEmpty():
+        named, placed = named.withColumn(n, F.lit(1)), placed.withColumn(n, F.lit(1))
+    else:
+        same = Window.partitionBy(*keys)
+        kinds = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+        named = named.withColumn(n, F.row_number().over(same.orderBy(F.xxhash64(*kinds))))
+        placed = placed.withColumn(n, F.row_number().over(same.orderBy(shard, slot)))
+    other = placed.select(*[F.col(k).alias(f"{k}_") for k in [*keys, n]], shard, slot)
+    same_row = named[id_].eqNullSafe(other[f"{id_}_"])
+    for k in [size, crc, n]:
+        same_row &= named[k] == other[f"{k}_"]
+    joined = named.join(other, same_row).drop(*keys, n, *[f"{k}_" for k in [*keys, n]])
+    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

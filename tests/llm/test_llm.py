@@ -91,6 +91,36 @@ def test_shards_written(spark, tmp_path):
     assert back.select(*docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
 
 
+def test_shards_written_whole(spark, tmp_path):
+    docs = awkward(spark)  # repeated doc_ids, a column called shard
+    hilbert.write_shards(docs, str(tmp_path / "out"), ["lang", "source", "n_chars"], 5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    same = lambda df: sorted(map(repr, df.select(*docs.columns).collect()))
+    assert same(back.withColumn("shard", F.col("shard").cast("string"))) == same(docs)
+    slots = back.groupBy("_shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect()
+    assert len(slots) == 5 and all(r.s == list(range(len(r.s))) for r in slots)
+    hilbert.write_shards(nothing(spark), str(tmp_path / "none"), ["lang"], 5)
+
+
+def test_shards_prune(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims, shards = ["lang", "source", "n_chars"], 24
+    rows = hilbert.shard_by_curve(docs, dims, shards).select("doc_id", "shard").join(docs, "doc_id").select("shard", *dims).toPandas()
+
+    def opened(df, c, sets=False):
+        """Shards on average that a filter for a value opens, by least and greatest values or by the values there are."""
+        of = df.groupby("shard")[c]
+        if sets:
+            return np.mean([sum(v in s for s in of.agg(set)) for v in df[c].unique()])
+        low, high = of.min().to_numpy(), of.max().to_numpy()
+        return np.mean([((low <= v) & (high >= v)).sum() for v in df[c].unique()])
+
+    plain = rows.sort_values(dims).reset_index(drop=True)
+    plain["shard"] = plain.index * shards // len(plain)
+    assert opened(rows, "lang", sets=True) < shards / 2
+    assert opened(rows, "source") < shards / 2 and opened(rows, "n_chars") < shards / 2 < opened(plain, "n_chars")
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.op2_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
