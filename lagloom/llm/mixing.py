@@ -1,11 +1,14 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source are one stream, its documents in a fixed order, packed into blocks of a
-fixed number of words. A source gives as many draws of blocks as its target takes. Which output
-shard takes how many blocks of which source is a multinomial draw under the condition that the
-targets are met: all draws are dealt over the slots of all shards by one pseudorandom
-permutation. The draws of a source go through its blocks by another permutation, a new one
-each time around, and blocks are joined to documents by source and index.
+fixed number of words. A source gives as many draws of blocks as its target takes. For each output
+shard the counts of the sources are drawn multinomially, with the sources' shares of all draws as
+probabilities: each slot draws its source. Summed over all shards such counts miss the
+targets a little, so they are reconciled: of a source that came out too often, as many draws as there are
+too many, picked by its permutation, go to the sources that came out too seldom, in the order of
+sources. The draws of a source, as they come in the shards, are mapped through its pseudorandom
+permutation to places in its stream of blocks, by another permutation each time around, and blocks are
+joined to documents by source and index.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from lagloom.llm.common import WORD, cut, fresh, join_counted
 
 #: No source is taken, and no document repeated, more often.
 MOST = 3
-#: Draws that one row stands for until they are dealt out.
+#: Draws in a row whose sources are listed together, where a slot looks up what it has drawn.
 RUN = 4096
+#: Chunks of a source, or shards, over which one window sums.
+GROUP = 4096
 #: Documents of a chunk of a source's stream, about.
 CHUNK = 1000
 #: Parts of a copy that are carried on when copies are rounded.
@@ -63,6 +68,47 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def running_sums(df: DataFrame, order: str, value: str, offset: str) -> DataFrame:
+    """df (key, order, value and others; order counts from 0) with the sum of value over the rows of the key before this one, in two steps of bounded windows."""
+    grouped = df.withColumn("__group", F.expr(f"{order} div {GROUP}"))
+    before = Window.partitionBy("key").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "__group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = grouped.groupBy("key", "__group").agg(F.sum(value).alias("__sum")).select("key", "__group", F.coalesce(F.sum("__sum").over(before), zero).alias("__before"))
+    found = grouped.withColumn("__inside", F.coalesce(F.sum(value).over(inside), zero)).join(sums, ["key", "__group"])
+    return found.withColumn(offset, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__group")
+
+
+def drawn_slots(spark: SparkSession, sources: DataFrame, all_: int, shard_blocks: int, seed: int) -> DataFrame:
+    """key, j, shard, slot: every slot of the mix, with the source that it draws and which of the source's draws it is.
+
+    sources: key, n (draws that the source makes, over 0) and offset (those of the sources before it); all_: their sum.
+    """
+    # Slot `at` draws the source in whose share a number below all_ lies. Sources are listed by runs of such numbers.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, all_ // (64 * RUN)))
+    number = F.pmod(F.xxhash64(F.lit(seed), F.lit("source"), "id"), F.lit(max(all_, 1)))
+    slots = spark.range(0, all_, 1, parts).select(F.col("id").alias("at"), number.alias("number")).withColumn("run", F.expr(f"number div {RUN}"))
+    listed = sources.withColumn("run", F.explode(F.expr(f"sequence(offset div {RUN}, (offset + n - 1) div {RUN})"))).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("offset", "key"))).alias("listed"))
+    key = F.element_at(F.filter("listed", lambda x: x["offset"] <= F.col("number")), -1)["key"]
+    drawn = slots.join(listed, "run").select(key.alias("key"), F.expr(f"at div {shard_blocks}").alias("shard"), (F.col("at") % shard_blocks).alias("slot"))
+    counts = cut(drawn.groupBy("key", "shard").agg(F.count("*").alias("count")))
+    # The i-th draw of a source, in the order of shards and slots.
+    within = Window.partitionBy("key", "shard").orderBy("slot")
+    drawn = drawn.withColumn("i", F.row_number().over(within) - 1).join(running_sums(counts, "shard", "count", "before"), ["key", "shard"])
+    drawn = cut(drawn.select("key", "shard", "slot", (F.col("i") + F.col("before")).alias("i")))
+
+    earlier = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    made = sources.select("key", "n").join(counts.groupBy("key").agg(F.sum("count").alias("made")), "key", "left").withColumn("made", F.coalesce("made", zero))
+    over, under = F.greatest(zero, F.col("made") - F.col("n")), F.greatest(zero, F.col("n") - F.col("made"))
+    made = made.withColumns({"over": F.coalesce(F.sum(over).over(earlier), zero), "under": F.coalesce(F.sum(under).over(earlier), zero)})
+    found = join_counted(drawn, made.where("made > 0").select("key", "n", "made", "over"), "key", "made", all_)
+    found = cut(found.withColumn("j", permuted(F.col("i"), F.col("made"), F.lit(seed), F.lit("order"), F.col("key"))).select("key", "j", "n", "over", "shard", "slot"))
+    seldom = made.where("made < n").withColumn("j", F.explode(F.sequence("made", F.col("n") - 1))).select("key", "j", (F.col("under") + F.col("j") - F.col("made")).alias("place"))
+    spare = found.where("j >= n").select((F.col("over") + F.col("j") - F.col("n")).alias("place"), "shard", "slot")
+    return found.where("j < n").select("key", "j", "shard", "slot").unionByName(spare.join(seldom, "place").select("key", "j", "shard", "slot"))
+
+
 @dataclass
 class Mix:
     """rows: row, doc_id, size, source_size, target, begin (first word's place in the source's stream), key (the source).
@@ -119,14 +165,13 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *words))
     sources = cut(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))))
-    total, words_in_all = sources.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    total = sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
 
     # The stream of a source: chunks by hash of doc_id, in each by doc_id. A chunk is small whatever the source.
     n_chunks = total // CHUNK + 1
     chunked = sized.drop("source").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
     inside = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunked.groupBy("key", "chunk").agg(F.sum("size").alias("n")).select("key", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    chunks = running_sums(chunked.groupBy("key", "chunk").agg(F.sum("size").alias("n")), "chunk", "n", "offset").drop("n")
     placed = chunked.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(chunks, ["key", "chunk"]).withColumn("begin", F.col("inside") + F.col("offset")).drop("inside", "offset", "chunk")
     rows = join_counted(placed, sources.select("key", "docs", "source_size", "target"), "key", "docs", total).drop("docs")
 
@@ -136,18 +181,15 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     counted = sources.where("source_size > 0").select("key", "source_size", want.alias("want"), whole.alias("whole"), around.alias("around"))
     counted = counted.withColumn("n", F.expr(f"want div source_size * around + (want % source_size + {b - 1}) div {b}"))
     earlier = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumns({"offset": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(Window.partitionBy())})
-    # A number of its own: few small rows become many draws.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, words_in_all // (b * RUN)))
-    runs = counted.where("n > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition(parts, "key", "run")
-    draws = runs.withColumn("j", F.explode(F.expr(f"sequence(run * {RUN}, least(n, run * {RUN} + {RUN}) - 1)")))
+    counted = cut(counted.where("n > 0").withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))))
+    draws_in_all = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slots = drawn_slots(spark, counted.select("key", "n", "offset"), draws_in_all, shard_blocks, seed)
+    draws = join_counted(slots, counted.drop("offset"), "key", "n", draws_in_all)
     draws = draws.withColumns({"turn": F.expr("j div around"), "p": F.expr("j % around")})
     # The part block at the end of a stream comes last each time around.
     block = F.when(F.col("p") < F.col("whole"), permuted(F.col("p"), F.col("whole"), F.lit(seed), F.col("key"), F.col("turn"))).otherwise(F.col("whole"))
     take = F.least(F.lit(b), F.when(F.col("p") < F.col("whole"), F.lit(b)).otherwise(size % b), F.col("want") - F.col("turn") * size - F.col("p") * b)
-    slot = permuted(F.col("offset") + F.col("j"), F.col("all"), F.lit(seed), F.lit("slots"))
-    draws = draws.select("key", block.alias("block"), take.cast("long").alias("take"), slot.alias("at"))
-    draws = draws.select("key", "block", "take", F.expr(f"at div {shard_blocks}").cast("int").alias("shard"), (F.col("at") % shard_blocks).cast("int").alias("slot"))
+    draws = draws.select("key", block.alias("block"), take.cast("long").alias("take"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("int").alias("slot"))
     return Mix(rows, draws, b, n_chunks)
 
 

@@ -222,6 +222,22 @@ def test_mixing_blocks(spark):
     assert all(w in known for b in blocks for w in b.words)
 
 
+def test_mixing_counts_are_multinomial(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.mix(docs, block_words=16, shard_blocks=500)
+    draws = plan.draws.select("key", "shard", "slot").toPandas()
+    n = draws.groupby("key").size()
+    want = {("" if k is None else f"={k}"): v for k, v in target_loop({r.source: r.n for r in docs.groupBy("source").agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD))).alias("n")).collect()}).items()}
+    # Totals are those of the targets, up to the part blocks at the ends of streams; each slot is drawn once.
+    assert set(n.index) == set(want) and all(abs(n[k] * 16 - v) <= 16 * 4 for k, v in want.items())
+    assert not draws.duplicated(["shard", "slot"]).any() and (draws.groupby("shard").size().iloc[:-1] == 500).all()
+    counts = draws.groupby(["shard", "key"]).size().unstack(fill_value=0).iloc[:-1]
+    expected = n[counts.columns].to_numpy() / n.sum() * 500
+    ratio = ((counts.to_numpy() - expected) ** 2 / expected).sum() / (len(counts) * (len(n) - 1))
+    assert 0.85 < ratio < 1.15
+    assert draws.sort_values(["shard", "slot"]).reset_index(drop=True).equals(mixing.mix(docs.repartition(3), block_words=16, shard_blocks=500).draws.select("key", "shard", "slot").toPandas().sort_values(["shard", "slot"]).reset_index(drop=True))
+
+
 def test_mixed_words_near_target(spark):
     rnd = random.Random(7)
     lengths = [("s00", rnd.choice([40, 300, 2600, 4000])) for _ in range(400)] + [(f"s{n:02d}", rnd.randint(100, 1500)) for n in range(1, 20) for _ in range(60)]
