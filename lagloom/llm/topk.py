@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagloom.llm.common import small_batches
+
 #: Candidates of a block in memory, and dimensions of a step.
 BLOCK, STEP = 8192, 8
-#: Queries of one pass over the candidates: what is broadcast is 8 bytes times this and the dimension.
-QUERIES = 4096
+#: Queries that one task holds, about, and of those the ones that are scored at once.
+QUERIES, AT_ONCE = 32_768, 1024
+#: Candidates that one task reads, about; they pass by in blocks, and what is held doesn't grow with them.
+CANDIDATES = 4_000_000
 #: Sums up to here are exact as doubles.
 EXACT = 1 << 53
 
@@ -31,8 +35,8 @@ def quantised(column: str):
     return F.when(fine, F.transform(v, whole))
 
 
-def to_matrix(column: pa.ListArray) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.int64).reshape(len(column), -1)
+def to_matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(np.int64).reshape(len(column), width)
 
 
 def exact(a: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -97,68 +101,98 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     A score beyond a long is shown as the nearest long, and such scores are picked by what they
     truly are, then shown as ties.
 
-    Queries pass in blocks of QUERIES, each broadcast in turn, over all vectors where they lie.
+    Queries are dealt into blocks and candidates into parts, and a task answers one block from one part:
+    queries are copied to each part, candidates to each block. The best k of each part come together by query.
+    The plan is the same for any number of queries; nothing but counts gets to the driver.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     cand = vectors.select(F.col(key).cast("long").alias("id"), quantised(column).alias("v")).where("id is not null and v is not null")
-    asked = queries.select(F.col(key).cast("long").alias("id"), quantised(column).alias("v")).where("id is not null and v is not null")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERIES))
-
-    def search(batch_of_queries):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_length = {}
-            for d, (ids, q) in batch_of_queries.value.items():
-                by_length[d] = (ids, q, np.full(len(ids), -np.inf), [])
-
-            def shrink(found: list) -> list:
-                """The k best for each query so far, in one piece."""
-                i, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((c, ~s, i))
-                i, c, s = i[order], c[order], s[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-                return [(i[rank < k], c[rank < k], s[rank < k])]
-
-            for batch in batches:
-                ids, v = np.asarray(batch.column(0)), batch.column(1)
-                lengths = np.asarray(v.value_lengths())
-                for d in np.unique(lengths).tolist():
-                    if d not in by_length:
-                        continue
-                    q_ids, q, floor, found = by_length[d]
-                    own = np.flatnonzero(lengths == d)
-                    for at in range(0, len(own), BLOCK):
-                        some = own[at : at + BLOCK]
-                        if d:
-                            c = np.ascontiguousarray(to_matrix(v.take(pa.array(some))).T)
-                            i, j, s = best_of(q, q_ids, c, ids[some], k, floor)
-                        else:
-                            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(q_ids)), np.sort(np.argsort(ids[some])[: k + 1]), indexing="ij"))
-                            i, j = i[q_ids[i] != ids[some][j]], j[q_ids[i] != ids[some][j]]
-                            s = np.zeros(len(i), np.int64)
-                        found.append((i, ids[some][j], s))
-                        if len(found) > 8:
-                            found[:] = shrink(found)
-            for q_ids, _, _, found in by_length.values():
-                if found:
-                    i, c, s = shrink(found)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(c.astype(np.int64)), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        return cand.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    parts = []
-    for b in range(blocks):
-        # Each block holds about QUERIES of the queries, by hash of the id.
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id"]).toPandas().sort_values("id")
-        value = {int(d): (own["id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64).reshape(len(own), int(d))) for d, own in rows.groupby(rows["v"].map(len))}
-        parts.append(search(spark.sparkContext.broadcast(value)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.select(F.col(key).cast("long").alias("id"), quantised(column).alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    parts = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks), -(-vectors.count() // CANDIDATES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    rows = asked.select(mine(blocks, 1).alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), "id", "v")
+    rows = rows.unionByName(cand.select(every(blocks).alias("block"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "v"))
+    dealt = rows.repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_group, search = None, None
+        for batch in batches:
+            groups = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            starts = np.flatnonzero(np.r_[True, (groups[:, 1:] != groups[:, :-1]).any(0)]) if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                block, part, kind = groups[:, a].tolist()
+                if (block, part) != held_group:
+                    if search:
+                        yield search.found()
+                    held_group, search = (block, part), _Search(k)
+                some = batch.slice(a, b - a)
+                (search.compare if kind else search.ask)(np.asarray(some.column(3)), some.column(4))
+        if search:
+            yield search.found()
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Search:
+    """One block of queries, of any dimensions, and its k best candidates so far."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.queries: dict[int, list] = {}  # by dimension: ids, vectors
+        self.ready: dict[int, tuple] = {}
+
+    def ask(self, ids: np.ndarray, v: pa.ListArray) -> None:
+        lengths = np.asarray(v.value_lengths())
+        for d in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == d)
+            self.queries.setdefault(d, []).append((ids[own], to_matrix(v.take(pa.array(own)), d)))
+
+    def compare(self, ids: np.ndarray, v: pa.ListArray) -> None:
+        lengths = np.asarray(v.value_lengths())
+        for d in np.unique(lengths).tolist():
+            if d not in self.queries:
+                continue
+            if d not in self.ready:
+                q_ids, q = (np.concatenate(x) for x in zip(*self.queries[d], strict=True))
+                self.ready[d] = q_ids, q, np.full(len(q_ids), -np.inf), []
+            q_ids, q, floor, found = self.ready[d]
+            own = np.flatnonzero(lengths == d)
+            for at in range(0, len(own), BLOCK):
+                some = own[at : at + BLOCK]
+                c_ids = ids[some]
+                c = np.ascontiguousarray(to_matrix(v.take(pa.array(some)), d).T)
+                for a in range(0, len(q), AT_ONCE):
+                    b = a + AT_ONCE
+                    if d:
+                        i, j, s = best_of(q[a:b], q_ids[a:b], c, c_ids, self.k, floor[a:b])
+                    else:
+                        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(q_ids[a:b])), np.sort(np.argsort(c_ids)[: self.k + 1]), indexing="ij"))
+                        other = q_ids[a:b][i] != c_ids[j]
+                        i, j = i[other], j[other]
+                        s = np.zeros(len(i), np.int64)
+                    found.append((i + a, c_ids[j], s))
+                if len(found) > 8 * -(-len(q) // AT_ONCE):
+                    found[:] = self.best(found)
+
+    def best(self, found: list) -> list:
+        """The k best for each query so far, in one piece."""
+        i, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((c, ~s, i))
+        i, c, s = i[order], c[order], s[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        return [(i[rank < self.k], c[rank < self.k], s[rank < self.k])]
+
+    def found(self) -> pa.RecordBatch:
+        rows = [(q_ids[i], c, s) for q_ids, _, _, found in self.ready.values() if found for i, c, s in self.best(found)]
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "vec_id", "score"])
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))

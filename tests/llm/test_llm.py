@@ -310,6 +310,17 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = vectors.where("vec_id % 3 = 0")
+    want = sorted(topk.top_k(vectors, asked).collect())
+    for name, value in (("QUERIES", 7), ("CANDIDATES", 20), ("AT_ONCE", 3), ("BLOCK", 8)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(topk.top_k(vectors, asked).collect()) == want
+    plan = topk.top_k(vectors, asked)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_top_k_large_values():
     rng = np.random.default_rng(1)
     q, c = (np.floor(rng.normal(size=(n, 20)) * 1e6).astype(np.int64) for n in (3, 200))
