@@ -20,7 +20,8 @@ from lagloom.functions.numbers import at_least
 # The frames of a fingerprint, its frequencies, its coefficients, and what each kind of feature weighs.
 WINDOW, HOP, LOW_HZ, HIGH_HZ, COEFFICIENTS = 1024, 256, 80.0, 8000.0, 12
 WEIGHTS = {"mfcc": 0.50, "spectral": 0.25, "temporal": 0.15, "speech": 0.10}
-MATCH = 0.70
+#: Seconds of sound that the search for the last samples of an offset goes over.
+FINE_S = 10
 
 
 def best_lag(a: Column, b: Column, most: int) -> Column:
@@ -39,15 +40,17 @@ def envelope(pcm: np.ndarray, hop: int = HOP) -> np.ndarray:
     return np.sqrt(np.square(np.nan_to_num(pcm[: n * hop].reshape(n, hop))).mean(1)) if n else np.zeros(0)
 
 
-def correlate(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
-    """Best lag of b behind a and the normalised correlation there, over the overlap of each lag."""
+def correlate(a: np.ndarray, b: np.ndarray, most: int, least: int | None = None) -> tuple[int, float]:
+    """Best lag of b behind a, from least (-most without) to most, and the normalised correlation there, over the overlap of each lag."""
     if not len(a) or not len(b):
         return 0, 0.0
     a, b = a - a.mean(), b - b.mean()
     size = 1 << (len(a) + len(b) - 1).bit_length()
     transform = lambda x, y: np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
     both, left, right = transform(a, b), transform(a * a, np.ones(len(b))), transform(np.ones(len(a)), b * b)
-    low, high = max(-most, 1 - len(a)), min(most, len(b) - 1)
+    low, high = max(-most if least is None else least, 1 - len(a)), min(most, len(b) - 1)
+    if low > high:
+        return 0, 0.0
     lags = np.arange(low, high + 1)
     shared = np.minimum(len(a), len(b) - lags) - np.maximum(0, -lags)
     scale = np.sqrt(np.maximum(left[lags], 0) * np.maximum(right[lags], 0))
@@ -57,36 +60,125 @@ def correlate(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
     return int(lags[at]), float(np.clip(fit[at], -1, 1))
 
 
+def coarse_lag(x: np.ndarray, y: np.ndarray, rate: int, max_offset_s: float, hop: int = HOP) -> tuple[int, float, int, int]:
+    """Of two envelopes: lag in hops, confidence, and begin and length, in hops of the first, of the loudest stretch they share."""
+    lag, confidence = correlate(x, y, int(max_offset_s * rate / hop) + 1)
+    low, high = max(0, -lag), min(len(x), len(y) - lag)
+    length = max(0, min(high - low, -(-FINE_S * rate // hop)))
+    if not length:
+        return lag, confidence, 0, 0
+    loud = np.r_[0.0, np.cumsum(x[low:high] * y[low + lag : high + lag])]
+    return lag, confidence, low + int(np.argmax(loud[length:] - loud[:-length])), length
+
+
+def spans(lag: int, begin: int, length: int, hop: int = HOP) -> tuple[int, int, int, int]:
+    """First sample and number of samples of both sides for the fine search; the second with room for two hops more on each side."""
+    first = max(0, (begin + lag - 2) * hop)
+    return begin * hop, length * hop, first, (begin + lag + length + 2) * hop - first
+
+
+def fine_lag(p: np.ndarray, q: np.ndarray, lag: int, confidence: float, begin: int, length: int, rate: int, max_offset_s: float, hop: int = HOP) -> tuple[float, float]:
+    """Offset in seconds and confidence, from the samples p and q of the spans."""
+    start, _, first, _ = spans(lag, begin, length, hop)
+    samples = lag * hop
+    if len(p) and len(q):
+        middle = start + samples - first  # where q would begin if the lag were right to the sample
+        fine, near = correlate(np.nan_to_num(p), np.nan_to_num(q), middle + 2 * hop, middle - 2 * hop)
+        if near > 0:
+            samples, confidence = first + fine - start, max(confidence, near)
+    limit = int(max_offset_s * rate)
+    return max(-limit, min(limit, samples)) / rate, max(0.0, confidence)
+
+
+def judged(found: DataFrame, min_confidence: float) -> DataFrame:
+    """found with is_valid and latency_seconds: the offset if the confidence suffices, else 0."""
+    fine = at_least(F.col("offset_confidence"), min_confidence)
+    return found.withColumns({"is_valid": fine, "latency_seconds": F.when(fine, F.col("temporal_offset")).otherwise(0.0)})
+
+
 def align(pairs: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP) -> DataFrame:
     """pairs (broadcast_key, alignment_name, pcm1, pcm2, sample_rate) to temporal_offset, offset_confidence, is_valid, latency_seconds.
 
     A first search goes over envelopes of one value a hop; a second one around the lag found, sample by
-    sample. A positive offset means that the second stream is later. latency_seconds is the offset if the confidence suffices, else 0.
+    sample, over the loudest stretch that both share. A positive offset means that the second stream is later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, sure = [], []
+            made = []
             for x, y, rate in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 if not x.is_valid or not y.is_valid or not rate:
-                    offsets.append(0.0)
-                    sure.append(0.0)
+                    made.append((0.0, 0.0))
                     continue
-                a, b = (np.nan_to_num(np.asarray(v.values, np.float64)) for v in (x, y))
-                coarse, confidence = correlate(envelope(a, hop), envelope(b, hop), int(max_offset_s * rate / hop) + 1)
-                around = coarse * hop
-                p, q = (a[: len(a)], b[around:]) if around >= 0 else (a[-around:], b)
-                n = min(len(p), len(q), rate * 10)
-                fine, near = correlate(p[:n], q[:n], 2 * hop) if n else (0, 0.0)
-                lag, confidence = (around + fine, max(confidence, near)) if near > 0 else (around, confidence)
-                limit = int(max_offset_s * rate)
-                offsets.append(max(-limit, min(limit, lag)) / rate)
-                sure.append(max(0.0, confidence))
+                a, b = (np.asarray(v.values, np.float64) for v in (x, y))
+                coarse = coarse_lag(envelope(a, hop), envelope(b, hop), rate, max_offset_s, hop)
+                i, n, j, m = spans(coarse[0], *coarse[2:], hop)
+                made.append(fine_lag(a[i : i + n], b[j : j + m], *coarse, rate, max_offset_s, hop))
+            offsets, sure = zip(*made, strict=True) if made else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets, pa.float64()), pa.array(sure, pa.float64())], ["broadcast_key", "alignment_name", "temporal_offset", "offset_confidence"])
 
     found = pairs.select("broadcast_key", "alignment_name", "pcm1", "pcm2", "sample_rate").mapInArrow(run, "broadcast_key string, alignment_name string, temporal_offset double, offset_confidence double")
-    fine = at_least(F.col("offset_confidence"), min_confidence)
-    return found.withColumns({"is_valid": fine, "latency_seconds": F.when(fine, F.col("temporal_offset")).otherwise(0.0)})
+    return judged(found, min_confidence)
+
+
+def envelopes(sound: DataFrame, hop: int = HOP) -> DataFrame:
+    """(broadcast_key, stream_name, sample_rate, envelope) of sound (broadcast_key, stream_name, pcm, sample_rate); empty without samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [envelope(np.asarray(x.values, np.float64), hop) if x.is_valid else np.zeros(0) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(made, pa.list_(pa.float64()))], ["broadcast_key", "stream_name", "sample_rate", "envelope"])
+
+    return sound.select("broadcast_key", "stream_name", "pcm", F.col("sample_rate").cast("int")).mapInArrow(run, "broadcast_key string, stream_name string, sample_rate int, envelope array<double>")
+
+
+def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP) -> DataFrame:
+    """What align() gives, for pairs (broadcast_key, alignment_name, stream1, stream2) of the streams of sound.
+
+    Envelopes are made where the samples lie, and only they are joined to pairs. Of the samples only the
+    spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream.
+    """
+    shapes = envelopes(sound, hop)
+    both = pairs.select("broadcast_key", "alignment_name", "stream1", "stream2")
+    for n in (1, 2):
+        side = shapes.select("broadcast_key", F.col("stream_name").alias(f"stream{n}"), F.col("envelope").alias(f"envelope{n}"), F.col("sample_rate").alias(f"rate{n}"))
+        both = both.join(side, ["broadcast_key", f"stream{n}"])
+    names = ["broadcast_key", "alignment_name", "stream1", "stream2", "rate", "lag", "confidence", "begin", "length", "first1", "count1", "first2", "count2"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y, rate in zip(batch.column(5), batch.column(6), batch.column(4).to_pylist(), strict=True):
+                found = coarse_lag(np.asarray(x.values, np.float64), np.asarray(y.values, np.float64), rate, max_offset_s, hop) if rate else (0, 0.0, 0, 0)
+                rows.append((*found, *spans(found[0], *found[2:], hop)))
+            kinds = [pa.int64(), pa.float64()] + [pa.int64()] * 6
+            columns = zip(*rows, strict=True) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    schema = "broadcast_key string, alignment_name string, stream1 string, stream2 string, rate int, lag long, confidence double, begin long, length long, first1 long, count1 long, first2 long, count2 long"
+    coarse = both.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("rate1").alias("rate"), "envelope1", "envelope2").mapInArrow(search, schema)
+    known = [F.col(c) for c in ("alignment_name", "rate", "lag", "confidence", "begin", "length")]
+    sides = [F.struct(F.col(f"stream{n}").alias("stream_name"), F.lit(n).alias("side"), F.col(f"first{n}").alias("first"), F.col(f"count{n}").alias("count"), *known) for n in (1, 2)]
+    # A stream is asked for by the pairs it is in, which are those of one broadcast.
+    asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key", "s.stream_name").agg(F.collect_list("s").alias("asked"))
+    piece = lambda r: F.struct(r.alias("r"), F.slice("pcm", (r["first"] + 1).cast("int"), r["count"].cast("int")).alias("piece"))
+    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked, ["broadcast_key", "stream_name"]).select("broadcast_key", F.explode(F.transform("asked", piece)).alias("x"))
+    pieces = pieces.select("broadcast_key", "x.r.*", "x.piece")
+    keys = ["broadcast_key", "alignment_name"]
+    whole = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("piece"))).alias(f"piece{n}") for n in (1, 2)], *[F.max(c).alias(c) for c in ("rate", "lag", "confidence", "begin", "length")])
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            values = [c.to_pylist() for c in batch.columns[4:]]
+            for p, q, rate, *rest in zip(batch.column(2), batch.column(3), *values, strict=True):
+                p, q = (np.asarray(v.values, np.float64) if v.is_valid else np.zeros(0) for v in (p, q))
+                made.append(fine_lag(p, q, *rest, rate, max_offset_s, hop) if rate else (0.0, 0.0))
+            offsets, sure = zip(*made, strict=True) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets, pa.float64()), pa.array(sure, pa.float64())], [*keys, "temporal_offset", "offset_confidence"])
+
+    ordered = whole.select(*keys, "piece1", "piece2", "rate", "lag", "confidence", "begin", "length")
+    return judged(ordered.mapInArrow(refine, "broadcast_key string, alignment_name string, temporal_offset double, offset_confidence double"), min_confidence)
 
 
 def _bands(rate: int, count: int = 26) -> np.ndarray:

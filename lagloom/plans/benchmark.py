@@ -32,24 +32,18 @@ class Run:
         return quality.reliability_metrics(self.broadcasts, self.streams)
 
 
-def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places: int = 3) -> Run:
+def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places: int = 3, hop: int = alignment.HOP) -> Run:
     """broadcasts: broadcast_key, name, content_type, total_s, error. streams: stream_measurements with pcm.
 
-    Everything is one lazy plan for each result. Samples are joined to pairs on the broadcast, the only
-    key they have; a broadcast has half a dozen streams.
+    Everything is one lazy plan for each result. Pairs are joined to envelopes and fingerprints; samples are
+    shuffled once, by stream, for the seconds that the fine search needs. hop: samples to a value of an envelope.
     """
     streams = pairing.measurable(streams)
     fine = pairing.without_errors(streams)
     guarded = pairing.guard(broadcasts, streams)
     pairs = pairing.passing(pairing.pair_streams(fine), guarded)
     sound = fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
-
-    def with_side(df: DataFrame, n: int) -> DataFrame:
-        rate = "sample_rate" if n == 1 else "__rate"
-        side = sound.select("broadcast_key", F.col("stream_name").alias(f"stream{n}"), F.col("pcm").alias(f"pcm{n}"), F.col("sample_rate").alias(rate))
-        return df.join(side, ["broadcast_key", f"stream{n}"])
-
-    aligned = alignment.align(with_side(with_side(pairs, 1), 2).drop("__rate"), settings.max_alignment_offset, settings.min_alignment_confidence)
+    aligned = alignment.align_streams(pairs, sound, settings.max_alignment_offset, settings.min_alignment_confidence, hop)
     alignments = pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid"))
     if settings.skip_fingerprint_comparison:
         comparisons = alignments.where(F.lit(False)).select("broadcast_key", "alignment_name", F.lit(None).cast("double").alias("overall_similarity"), F.lit(False).alias("is_valid_match"), F.lit(None).cast("string").alias("error"))
