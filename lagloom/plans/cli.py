@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("compare")
     p.add_argument("--catalog", required=True)
-    p.add_argument("--audio", required=True, help="folder of WAV files named like the last part of each URL")
+    p.add_argument("--audio", required=True, help="folder of WAV files at the paths of the URLs, or named {broadcast}_{stream}.wav")
     p.add_argument("--settings")
     p.add_argument("--index", type=int, help="only the broadcast at this place")
     p.add_argument("--timeout", default="30m")
@@ -96,7 +96,7 @@ def compare(spark: SparkSession, args) -> dict:
     rows = catalog.enabled_groups(streams).where("broadcast_enabled") if args.index is None else catalog.select_broadcast(streams, args.index)
     keyed = rows.withColumns({"key": text.measurement_key(F.col("group_key"), F.col("broadcast_key")), "error": F.lit(None).cast("string")})
     keyed = keyed.withColumn("broadcast_key", F.col("key")).drop("key")
-    measured = audio_files.measure(keyed, audio_files.read_audio(spark, args.audio), run.audio_segment_duration / 1e9)
+    measured = audio_files.measure(keyed, audio_files.read_audio(spark, args.audio), run.audio_segment_duration / 1e9, os.path.abspath(args.audio) if "://" not in args.audio else args.audio)
     broadcasts = keyed.groupBy("broadcast_key").agg(F.first("broadcast_name").alias("name"), F.first("broadcast_content_type").alias("content_type")).withColumns({"total_s": F.lit(0.0), "error": F.lit(None).cast("string")})
     # Everything below goes back to the same samples.
     measured = measured.cache()

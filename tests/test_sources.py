@@ -88,6 +88,28 @@ def recordings(folder, rate=8000, seconds=8):
     return delays
 
 
+def test_recordings_of_streams(spark):
+    streams = [
+        ("g_one", "pri_source", "http://h.com/pri/master.m3u8?x=1"), ("g_one", "ti_hls", "http://h.com/ti/master.m3u8"), ("g_one", "ais", "http://h.com/ais/master.m3u8"), ("g_one", "ti_mp3", "http://h.com/live"),
+        ("g_two", "own", "data/two/own.wav"), ("g_two", "whole", "file:///data/rec/abs/x.wav"), ("g_two", "twice", "http://h.com/none"), ("g_two", "gone", "http://h.com/gone"), ("g_two", "other", "data/own.wav"),
+    ]
+    paths = ["pri/master.m3u8.wav", "h.com/ti/master.m3u8", "elsewhere/master.m3u8", "one_ti_mp3_30s.wav", "data/two/own.wav", "abs/x.wav", "two_twice_30s.wav", "deep/two_twice_60s.wav", "own.wav", "master.m3u8"]
+    audio = spark.createDataFrame([(f"file:/data/rec/{p}",) for p in paths], "path string")
+    found = audio_files.found_recordings(spark.createDataFrame(streams, "broadcast_key string, stream_name string, url string"), audio, "/data/rec")
+    got = {r.stream_name: (r.path.removeprefix("file:/data/rec/"), r.recordings) for r in found.collect()}
+    assert got.pop("twice")[1] == 2
+    assert got == {"pri_source": ("pri/master.m3u8.wav", 1), "ti_hls": ("h.com/ti/master.m3u8", 1), "ti_mp3": ("one_ti_mp3_30s.wav", 1), "own": ("data/two/own.wav", 1), "whole": ("abs/x.wav", 1)}
+
+
+def test_replayed(spark, tmp_path):
+    recordings(tmp_path / "audio")
+    rows = audio_files.decoded(audio_files.replayed(spark, str(tmp_path / "audio"), 2))
+    query = rows.writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("replayed").collect()
+    assert len(got) == 5 and sum(r.error is None and len(r.pcm) == 64_000 for r in got) == 4 and len(query.recentProgress) >= 2
+
+
 def test_compare(spark, tmp_path):
     recordings(tmp_path / "audio")
     url = "https://example.com"
