@@ -108,10 +108,13 @@ def alignment_fp_lookup(spark, sf_dir):
     return pairing.with_fingerprints(a, f).select("broadcast_key", "alignment_name", F.round("overall_similarity", 9).alias("overall_similarity"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag <> 'R' AND l_quantity > 5")
 def error_anti_filter(spark, sf_dir):
-    failed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(failed, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    """Measurements without an error that are valid, of broadcasts without an error."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("broadcast_key"), F.when(F.col("o_orderstatus") == "P", "dns failure").alias("error"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("broadcast_key"), "l_linenumber", F.when(F.col("l_returnflag") == "R", "audio missing").alias("error"), (F.col("l_quantity") > 5).alias("is_valid"))
+    fine = pairing.passing(pairing.valid_alignments(pairing.without_errors(lines)), orders)
+    return fine.select(F.col("broadcast_key").alias("l_orderkey"), "l_linenumber")
 
 
 @query("""SELECT o_orderkey AS broadcast_key, coalesce(n, 0) AS valid_streams, CASE WHEN coalesce(n, 0) < 2 THEN 'insufficient valid streams (' || coalesce(n, 0) || ') for alignment' END AS error
@@ -204,9 +207,11 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 
 @query(f"""WITH {FACTS_SQL} SELECT (SELECT count(*) FILTER (error IS NULL AND fine) / CAST(count(*) AS DOUBLE) FROM g) AS stream_validity_rate, (SELECT count(*) FILTER (error IS NULL AND aligned) / CAST(count(*) AS DOUBLE) FROM g) AS alignment_success_rate,
- (SELECT count(*) FILTER (error IS NULL AND matched) / CAST(count(*) AS DOUBLE) FROM g) AS fingerprint_match_rate, (SELECT round(sum(coalesce(score, 0)) / CAST(count(*) AS DOUBLE), 9) FROM b WHERE error IS NULL) AS average_health_score""")
+ (SELECT count(*) FILTER (error IS NULL AND matched) / CAST(count(*) AS DOUBLE) FROM g) AS fingerprint_match_rate, (SELECT round(sum(coalesce(score, 0)) / CAST(count(*) AS DOUBLE), 9) FROM b WHERE error IS NULL) AS average_health_score,
+ (SELECT count(*) FROM b WHERE error IS NULL AND score >= 0.9) AS excellent, (SELECT count(*) FROM b WHERE error IS NULL AND score >= 0.7 AND score < 0.9) AS good, (SELECT count(*) FROM b WHERE error IS NULL AND score >= 0.5 AND score < 0.7) AS fair, (SELECT count(*) FROM b WHERE error IS NULL AND score < 0.5) AS poor""")
 def quality_metrics(spark, sf_dir):
-    return quality.quality_metrics(*_facts(spark, sf_dir)).drop("health_distribution").withColumn("average_health_score", F.round("average_health_score", 9))
+    made = quality.quality_metrics(*_facts(spark, sf_dir)).withColumn("average_health_score", F.round("average_health_score", 9))
+    return made.select("*", *[F.col("health_distribution")[b].alias(b) for b in ("excellent", "good", "fair", "poor")]).drop("health_distribution")
 
 
 @query("""SELECT event_type, count(*) FILTER (value / 100 >= 0.9) AS excellent, count(*) FILTER (value / 100 >= 0.7 AND value / 100 < 0.9) AS good, count(*) FILTER (value / 100 >= 0.5 AND value / 100 < 0.7) AS fair, count(*) FILTER (value / 100 < 0.5) AS poor
@@ -446,9 +451,9 @@ def key_split_display(spark, sf_dir):
     return rows.select("event_id", "key", F.col("k.group").alias("head"), F.col("k.broadcast").alias("rest"), text.display_name(F.when(F.col("event_id") % 2 == 0, "").otherwise("named"), F.col("k.broadcast")).alias("display"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN strpos(text, ' - ') > 0 THEN trim(substr(text, 1, strpos(text, ' - ') - 1)) END AS artist, role AS r, CASE lower(role) WHEN 'music' THEN 'music' ELSE 'news' END AS content_type FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN strpos(text, ' - ') > 0 THEN trim(substr(text, 1, strpos(text, ' - ') - 1)) END AS artist, CASE WHEN strpos(text, ' - ') > 0 THEN trim(substr(text, strpos(text, ' - ') + 3)) ELSE text END AS title, role AS r, CASE lower(role) WHEN 'music' THEN 'music' ELSE 'news' END AS content_type FROM conversations")
 def icy_titles(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.icy_title(F.col("text"))["artist"].alias("artist"), F.col("role").alias("r"), text.content_type(F.col("role")).alias("content_type"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.icy_title(F.col("text"))["artist"].alias("artist"), text.icy_title(F.col("text"))["title"].alias("title"), F.col("role").alias("r"), text.content_type(F.col("role")).alias("content_type"))
 
 
 @query("SELECT event_id, CAST(trunc((value - 60) * 1000) AS BIGINT) AS ms, event_id * 1000003 // 1000000 AS whole_ms, event_id * 17 // 1000 AS kbps FROM events")
@@ -465,11 +470,18 @@ def streams_by_role(spark, sf_dir):
     return both.groupBy("role", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {PAIRS_SQL} SELECT broadcast_key, 5 AS sources, 1.5::DOUBLE AS total, {_pivot_sql()} FROM first GROUP BY broadcast_key")
 def result_document(spark, sf_dir):
-    """One nested JSON document for each broadcast; the form of the text is Spark's own."""
-    wide = liveness.pivot(liveness.classify(_pairs(spark, sf_dir)))
-    return wide.select("broadcast_key", F.to_json(F.struct(*liveness.COMPARISONS), {"ignoreNullFields": "true"}).alias("document"))
+    """One nested JSON document for each broadcast, its fields taken out again, since each writer of JSON has its own form of numbers."""
+    from lagloom.plans import benchmark
+
+    lags = liveness.classify(_pairs(spark, sf_dir))
+    broadcasts = lags.select("broadcast_key").distinct().withColumns({"name": F.lit("n"), "content_type": F.lit(None).cast("string"), "total_s": F.lit(1.5), "error": F.lit(None).cast("string")})
+    none = broadcasts.where(F.lit(False))
+    made = benchmark.documents(benchmark.Run(broadcasts, none, none, none, lags))
+    at = lambda path, kind="string": F.get_json_object("document", f"$.{path}").cast(kind)
+    slots = [c for s, _ in liveness.SLOTS for c in (at(f"liveness_metrics.{s}.lag_seconds", "double").alias(s), at(f"liveness_metrics.{s}.status").alias(f"{s}_status"))]
+    return made.select("broadcast_key", F.lit(len(liveness.SLOTS)).alias("sources"), at("total_benchmark_time_seconds", "double").alias("total"), *slots)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS comparison, round(max(value), 6) AS max_lag, count(*) AS n FROM events WHERE value < 100 GROUP BY 1, 2")
