@@ -200,14 +200,18 @@ def cell(value, cuts: list):
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)), F.lit(0))
 
 
-def sample_rows(df: DataFrame, most: int) -> DataFrame:
+def sample_rows(df: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """At most `most` rows of df, the ones with the smallest hashes of all their columns, with the hash as `at`; equal rows count once.
 
-    Only hashes are compared; the texts of rows that aren't chosen go nowhere. The chosen hashes are
-    broadcast, 8 bytes each.
+    by: at most `most` for each value of that column, so that a rare value gets its rows, too. Only hashes
+    are compared; the texts of rows that aren't chosen go nowhere. The chosen hashes are broadcast, 8 bytes each.
     """
     keyed = df.withColumn("at", F.xxhash64(*df.columns))
-    chosen = keyed.select("at").orderBy("at").limit(most).distinct()
+    if by is None:
+        chosen = keyed.select("at").orderBy("at").limit(most).distinct()
+    else:
+        first = F.row_number().over(Window.partitionBy(by).orderBy("at"))
+        chosen = keyed.select("at", by).withColumn("__n", first).where(F.col("__n") <= most).select("at").distinct()
     return keyed.join(F.broadcast(chosen), "at").dropDuplicates(["at"])
 
 

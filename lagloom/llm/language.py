@@ -180,14 +180,14 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, most: int = 4000, bits: int = 16, penalty: float = 12.0) -> Model:
+def train(labelled: DataFrame, most: int = 1000, bits: int = 16, penalty: float = 12.0) -> Model:
     """A model from labelled (doc_id, text, lang).
 
-    It learns from at most `most` different rows with a lang and a text, those with the smallest
-    hashes. N-grams are counted where the rows are and summed by Spark; the driver gets one number for
+    It learns from at most `most` different rows of each language with a text, those with the smallest
+    hashes. Without any rows it knows no language, and every text is `und`. N-grams are counted where the rows are and summed by Spark; the driver gets one number for
     each language and bucket, and for each language and script.
     """
-    chosen = sample_rows(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), most)
+    chosen = sample_rows(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), most, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +218,8 @@ def train(labelled: DataFrame, most: int = 4000, bits: int = 16, penalty: float
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and spans (array of start, end, lang, in characters) of every row of docs.
 
-    Whole texts are read; no column but doc_id and text is. Repeated rows have a row each.
+    Whole texts are read; no column but doc_id and text is. Repeated rows have a row each; an empty
+    table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -157,7 +157,7 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
     null or empty text it is 0. A null source is a source. Taken words of a source are its target
     rounded down: the last block drawn is cut. No document is taken over MOST times. The
     same rows and parameters give the same mix in any order of rows; rows that repeat doc_id and size
-    may trade places. Without words all targets are 0. Other columns are not read.
+    may trade places. Without words, and for an empty table, all targets are 0 and nothing is drawn. Other columns are not read.
     """
     b, spark = block_words, docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -200,7 +200,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     whatever its length: in each chunk of a source, from a start that hashing gives, copies are differences of
     the rounded running sum. Documents go by size there, so that words come near the target, too.
     Rows that repeat a doc_id are repeated as often as the mix takes all of them together. Rows
-    without words stay once.
+    without words stay once; an empty table stays empty.
     """
     id_, times, n = fresh(docs, "__id", "__times", "__n")
     plan = mix(docs, **parameters)

@@ -176,7 +176,10 @@ def learn_from(chosen: DataFrame, epochs: int = 4, bits: int = 18) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of docs, repeated ones too; other columns are not read."""
+    """doc_id and score of every row of docs, repeated ones too; other columns are not read.
+
+    A null text is scored like an empty one, a null doc_id stays null; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", colu
     """key, host, path, rule, verdict, pattern, tried of every row of pages; other columns are not read.
 
     A null URL has an empty host and path, no rule, and the default verdict; so has an empty one.
-    Repeated rows have a row each. rules are a parameter of the driver, broadcast with the task;
+    Repeated rows have a row each; an empty table gives an empty result. rules are a parameter of the driver, broadcast with the task;
     tokens are counted over all rows first.
     """
     urls = pages.select(F.col(key).alias("key"), F.col(column).alias("url"))

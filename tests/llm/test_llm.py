@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -158,6 +159,44 @@ def test_language_path_without_best():
     assert model.path(np.array([[2.5, -10, 0], [-10, 2.5, 0]])).tolist() == [0, 1]
 
 
+def test_language_word_scores():
+    languages, bits = ["a", "b", "c"], 10
+    rng = np.random.default_rng(9)
+    uses = np.ones((len(language._NAMES), 3), bool)
+    uses[language._NAMES.index("Greek")] = [False, True, False]
+    model = language.Model(languages, bits, rng.normal(size=(1 << bits, 3)), uses)
+    words = ["x", "straße", "λόγος", "word", "é" * 9]
+
+    def plain(word):
+        marked, total = [2, *map(ord, word), 3], np.zeros(3)
+        for n in (1, 2, 3, 4):
+            for i in range(len(marked) - n + 1):
+                if n == 1 and marked[i] <= 3:
+                    continue
+                h = 0
+                for k in range(n):
+                    h = (h + marked[i + k] + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    h ^= h >> 31
+                total += model.weights[h >> (64 - bits)]
+        return total / 4
+
+    got = model.score_words(words)
+    for w, row in zip(words, got, strict=True):
+        want = plain(w)
+        if w == "λόγος":
+            assert np.isclose(row[1], want[1]) and max(row[0], row[2]) <= row[1] - 2 * model.penalty
+        else:
+            assert np.allclose(row, want)
+
+
+def test_language_rare(spark):
+    rows = [(i, "the and of to in that is was " * 5, "en") for i in range(600)] + [(1000 + i, "žluťoučký kůň úpěl ďábelské ódy " * 3, "cs") for i in range(3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=20)
+    assert model.languages == ["cs", "en"] and model.read(["kůň úpěl"])[0][0] == "cs"
+    nothing_known = language.train(nothing(spark))
+    assert nothing_known.read(["some text"])[0][:2] == ("und", 0.0) and language.label_spans(nothing(spark), model).count() == 0
+
+
 def test_language_spans_and_scripts(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and the dog were in the house of the king", "en"), ("der Hund und die Katze waren in dem Haus des Königs", "de"), ("кошка и собака были в доме короля", "ru")] * 20)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), penalty=4.0)
@@ -294,6 +333,41 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.public_rules()).count() == 0
 
 
+def test_thousands_of_url_rules():
+    rnd = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnprst"]
+    hosts = [f"{rnd.choice(words)}.{rnd.choice(words)}.{t}" for t in ("com", "org", "net") for _ in range(60)]
+    rules = [url_filter.Rule(rnd.choice(["allow", "block"]), f"{rnd.choice(hosts)}/{rnd.choice(words)}", "prefix") for _ in range(1500)]
+    patterns = ["||{a}.*^", "||{a}.{b}^", "/{a}/*/{b}", "^{a}^", "/{a}-{b}.", "*{a}/{b}/*", "={a}&", "{a}*{b}^"]
+    rules += [url_filter.Rule("block", rnd.choice(patterns).format(a=rnd.choice(words), b=rnd.choice(words)), "pattern") for _ in range(1500)]
+    urls = [f"http{rnd.choice(['', 's'])}://{rnd.choice(['', 'www.', 'A.'])}{rnd.choice(hosts)}/{'/'.join(rnd.choices(words, k=rnd.randint(0, 4)))}{rnd.choice(['', '/', '.html', '?q=' + rnd.choice(words) + '&x', '-' + rnd.choice(words) + '.js'])}" for _ in range(1500)]
+    often = {}
+    for u in urls:
+        for t in url_filter.tokens_of(u):
+            often[t] = often.get(t, 0) + 1
+    index, tried, fitting = url_filter.RuleIndex(rules, often), 0, 0
+    for u in urls:
+        host, path = url_filter.parts_of(u)
+        fit = []
+        for r in rules:
+            if r.kind == "prefix":
+                own, slash, rest = r.text.partition("/")
+                if (host == own or host.endswith("." + own)) and path.startswith(slash + rest):
+                    fit.append(r)
+            else:
+                body = re.escape(r.text.removeprefix("||")).replace(r"\*", ".*").replace(r"\^", r"([^a-z0-9_.%-]|$)")
+                if re.search((r"^[^/?#]*://([^/?#]*\.)?" if r.text.startswith("||") else "") + body, u.lower()):
+                    fit.append(r)
+        prefix = max((r for r in fit if r.kind == "prefix"), key=lambda r: len(r.text), default=None)
+        pattern = next((r for r in fit if r.kind == "pattern"), None)
+        got = index.judge(u)
+        assert got[2] == (prefix and prefix.text) and got[4] == (pattern and pattern.text), (u, got)
+        assert got[3] == (prefix or pattern or url_filter.Rule("allow", "x", "pattern")).verdict
+        tried, fitting = tried + got[5], fitting + len(fit)
+    # Rules without a whole token run for every URL; of the others few do.
+    assert fitting > 100 and len(index.always) < 250 and tried - len(index.always) * len(urls) < 0.03 * len(rules) * len(urls)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-2, 3, 9).astype(float).tolist() if i % 3 else rng.normal(size=9).tolist()) for i in range(400)]
@@ -758,6 +832,66 @@ def test_quality(spark):
     assert len(held) > 50 and sum(r.predicted == r.quality for r in held) > 0.95 * len(held)
 
 
+def test_quality_features_plain():
+    mix, mask, bits = 0x9E3779B97F4A7C15, (1 << 64) - 1, 16
+    crc = lambda s: zlib.crc32(s.encode())
+
+    def plain(text):
+        words = re.findall(r"\w+|[^\w\s]+", text or "")
+        found, n, before, s1, s2, first = {}, len(words), 0, 1, 1, True
+        for w in words:
+            if w.isalpha():
+                shape = "x" if w.islower() else "X" if w.isupper() else "Xx" if w[1:].islower() else "xX"
+            elif w[0].isalnum() or w[0] == "_":
+                shape = "9" if w.isdigit() else "a9"
+            else:
+                shape = w[:4]
+            word = crc(w.lower())
+            same = not first and word == before
+            s = crc(shape) * 2 + same
+            both = ((s + 11) * mix + s1) & mask
+            for g in (word + (1 << 40), (word + 7) * mix + before, both, (both + 13) * mix + s2):
+                b = (g * mix & mask) >> (64 - bits)
+                found[b] = found.get(b, 0) + 1 / n / 4
+            before, s1, s2, first = word, s, s1, False
+        return found
+
+    texts = ["The cat sat on the the mat.", None, "", "X" * 50 + " 12 a9 — ...", "One. Two! THREE three Straße été", "a"]
+    buckets, values, first = quality.features(texts, bits)
+    for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        got = {}
+        for k, v in zip(buckets[a:b].tolist(), values[a:b].tolist(), strict=True):
+            got[k] = got.get(k, 0) + v
+        want = plain(t)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want), t
+
+
+def test_ftrl_plain():
+    rnd = random.Random(3)
+    model = quality.FTRL(bits=5)
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return ((model.l1 if z[i] > 0 else -model.l1) - z[i]) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(300):
+        at = rnd.sample(range(32), 6)
+        x, label = [rnd.random() / 6 for _ in at], rnd.randint(0, 1)
+        model.learn(np.array(at), np.array(x), label)
+        full = [(i, v * model.scale) for i, v in zip(at, x, strict=True)] + [(32, 1.0)]
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in full)))
+        ws = [weight(i) for i, _ in full]
+        for (i, v), w in zip(full, ws, strict=True):
+            g = (p - label) * v
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha
+            z[i] += g - sigma * w
+            n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(33)])
+    assert np.any(model.weights() == 0) or np.all(model.n[:32] > 0)
+
+
 def test_quality_awkward(spark):
     docs = awkward(spark)
     labelled = docs.select("doc_id", "text", F.when(F.col("text").contains("the"), 1).when(F.col("doc_id") % 5 == 0, None).otherwise(0).alias("label"))
