@@ -39,6 +39,21 @@ def with_fingerprints(alignments: DataFrame, comparisons: DataFrame) -> DataFram
     return found.join(named, ["broadcast_key", "__name"]).drop("__name")
 
 
+def within_deadline(df: DataFrame, took_ns, most_ns: int, what: str) -> DataFrame:
+    """df with an error for what took longer than most_ns; 0 is no limit. An earlier error stays."""
+    if not most_ns:
+        return df
+    late = F.lit(f"timeout: {what} took over {most_ns / 1e9:g}s")
+    return df.withColumn("error", F.coalesce("error", F.when(took_ns > most_ns, late)))
+
+
+def start_spread(streams: DataFrame, started: str, most_ms: float = 100.0) -> DataFrame:
+    """(broadcast_key, spread_ms, together): how far the starts of a broadcast's measurements lie apart, and whether no more than most_ms."""
+    ms = F.col(started).cast("timestamp").cast("double") * 1000
+    spread = F.max(ms) - F.min(ms)
+    return streams.groupBy("broadcast_key").agg(spread.alias("spread_ms"), (spread <= most_ms).alias("together"))
+
+
 def guard(broadcasts: DataFrame, streams: DataFrame, least: int = 2) -> DataFrame:
     """broadcasts with valid_streams and, below the least number, an error unless they have one."""
     counted = streams.where("error is null and validation.is_valid").groupBy("broadcast_key").agg(F.count("*").alias("valid_streams"))

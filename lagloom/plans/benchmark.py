@@ -38,7 +38,8 @@ def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places
     Everything is one lazy plan for each result. Pairs are joined to envelopes and fingerprints; samples are
     shuffled once, by stream, for the seconds that the fine search needs. hop: samples to a value of an envelope.
     """
-    streams = pairing.measurable(streams)
+    streams = pairing.within_deadline(pairing.measurable(streams), F.col("total_ns"), settings.operation_timeout, "a measurement")
+    broadcasts = pairing.within_deadline(broadcasts, F.col("total_s") * 1e9, settings.benchmark_timeout, "a broadcast")
     fine = pairing.without_errors(streams)
     guarded = pairing.guard(broadcasts, streams)
     pairs = pairing.passing(pairing.pair_streams(fine), guarded)

@@ -15,7 +15,7 @@ import os
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.functions import numbers, text
@@ -47,8 +47,10 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("hls")
     p.add_argument("--playlists", required=True)
     p.add_argument("--segments", type=int, default=10)
+    p.add_argument("--limit", type=int, help="rows of each table; all without")
     p = sub.add_parser("icecast")
     p.add_argument("--captures", required=True)
+    p.add_argument("--limit", type=int, help="rows; all without")
     p.add_argument("--follow", action="store_true")
     p = sub.add_parser("validate")
     p.add_argument("--catalog")
@@ -84,7 +86,10 @@ def load(spark: SparkSession, args) -> tuple[dict, RunSettings, object]:
     if wrong:
         raise ValueError("; ".join(wrong))
     streams = catalog.inherit(catalog_files.read_catalog(spark, args.catalog))
-    faults = [r.problem for r in catalog.problems(streams).orderBy("level", "group_key", "broadcast_key", "stream_name").limit(20).collect()]
+    wrong = catalog.problems(streams)
+    faults = [r.problem for r in wrong.orderBy("level", "group_key", "broadcast_key", "stream_name").limit(20).collect()]
+    if len(faults) == 20 and (more := wrong.count() - 20):
+        faults.append(f"and {more} more, which the command validate tells")
     if faults or not streams.head(1):
         raise ValueError("; ".join(faults) or "a catalogue needs a group")
     return settings, run, streams
@@ -118,22 +123,31 @@ def compare(spark: SparkSession, args) -> dict:
     return out
 
 
+def show(df: DataFrame, limit: int | None) -> None:
+    """All rows as lines of tabs, fetched a partition at a time; with a limit so many, and a line that says so."""
+    print("\t".join(df.columns))
+    for n, row in enumerate(df.toLocalIterator()):
+        if limit is not None and n >= limit:
+            print(f"... only {limit} rows are shown")
+            return
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def hls(spark: SparkSession, args) -> None:
     raw = playlists.read_playlists(spark, args.playlists)
     heads, parts, variants = playlists.playlists(raw), playlists.segments(raw), playlists.variants(raw)
-    heads.withColumns({"kind": text.playlist_kind(F.col("is_master"), F.col("is_live")), "result": text.pass_label(F.col("is_valid"))}).show(truncate=False)
-    segments.segment_summary(parts, args.segments).show(truncate=False)
-    segments.playlist_analysis(heads.select("playlist_url"), parts, variants).show(truncate=False)
-    segments.last_segment(parts).show(truncate=False)
+    heads = heads.withColumns({"kind": text.playlist_kind(F.col("is_master"), F.col("is_live")), "result": text.pass_label(F.col("is_valid"))})
+    for df in (heads, segments.segment_summary(parts, args.segments), segments.playlist_analysis(heads.select("playlist_url"), parts, variants), segments.last_segment(parts)):
+        show(df, args.limit)
 
 
 def icecast(spark: SparkSession, args) -> None:
     rows = captures.read_captures(spark, args.captures)
     if args.follow:
-        changed_titles(rows).select("stream", "ts", text.icy_title(F.col("title")).alias("t")).select("stream", "ts", "t.*").orderBy("stream", "ts").show(1000, truncate=False)
+        show(changed_titles(rows).select("stream", "ts", text.icy_title(F.col("title")).alias("t")).select("stream", "ts", "t.*").orderBy("stream", "ts"), args.limit)
         return
     score = numbers.quality_score(F.col("bitrate"), F.col("sample_rate"), F.col("codec"), F.coalesce(F.col("bytes_received") > 0, F.lit(False)))
-    rows.select("stream", "ts", score.alias("score"), numbers.rating(score).alias("rating"), numbers.buffer_band(F.col("buffer_health")).alias("buffer"), text.shown_headers(F.col("headers")).alias("headers")).show(1000, truncate=False)
+    show(rows.select("stream", "ts", score.alias("score"), numbers.rating(score).alias("rating"), numbers.buffer_band(F.col("buffer_health")).alias("buffer"), text.shown_headers(F.col("headers")).alias("headers")), args.limit)
 
 
 def main(argv: list[str] | None = None) -> int:

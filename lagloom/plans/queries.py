@@ -253,6 +253,18 @@ def round_decimals(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", numbers.round_places((F.col("l_discount") - F.col("l_tax")) * F.col("l_extendedprice") / 7, 3).alias("rounded"))
 
 
+@query("SELECT user_id AS broadcast_key, round(epoch_us(max(ts)) / 1e3 - epoch_us(min(ts)) / 1e3, 3) AS spread_ms, epoch_us(max(ts)) / 1e3 - epoch_us(min(ts)) / 1e3 <= 2e9 AS together FROM events GROUP BY user_id")
+def start_spread(spark, sf_dir):
+    made = pairing.start_spread(table(spark, sf_dir, "events").withColumn("broadcast_key", F.col("user_id")), "ts", 2e9)
+    return made.withColumn("spread_ms", F.round("spread_ms", 3))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'decode error' WHEN value > 100 THEN 'timeout: a measurement took over 100s' END AS error FROM events")
+def deadlines(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("error", F.when(F.col("event_type") == "error", "decode error"))
+    return pairing.within_deadline(rows, F.col("value") * 1e9, 100 * 10**9, "a measurement").select("event_id", "error")
+
+
 @query("""SELECT event_id, CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE x END AS clean, [0.0, CASE WHEN event_id % 5 = 1 THEN 0.0 ELSE value END]::VARCHAR AS list
  FROM (SELECT event_id, value, CASE event_id % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE value END AS x FROM events)""")
 def sanitize_nonfinite(spark, sf_dir):

@@ -171,6 +171,24 @@ def test_timers(spark):
     assert timers.response_seconds(df, ["a_b", "c"]).first()[0] == 4.0
 
 
+def test_large_series(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rnd.normal(size=3000)] + [("b", float(x)) for x in rnd.integers(0, 4, 2001)] + [(None, float(x)) for x in rnd.exponential(size=1000)] + [("small", 1.0), ("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(3)
+    key = lambda r: str(r.k)
+    want = sorted(stats.stats_by(df, ["k"], "value").collect(), key=key)
+    monkeypatch.setattr(stats, "LARGE", 500)
+    monkeypatch.setattr(stats, "CELLS", 20)
+    got = sorted(stats.stats_by(df, ["k"], "value").collect(), key=key)
+    assert [r.k for r in got] == [r.k for r in want] and all(np.allclose(g[1:], w[1:], atol=1e-12) for g, w in zip(got, want, strict=True))
+
+
+def test_deadlines_stop_a_run(spark):
+    rows = spark.createDataFrame([("k", 5, None), ("k", 11, None), ("k", 12, "dns failure")], "broadcast_key string, total_ns long, error string")
+    assert [r.error for r in pairing.within_deadline(rows, F.col("total_ns"), 10, "it").collect()] == [None, "timeout: it took over 1e-08s", "dns failure"]
+    assert pairing.within_deadline(rows, F.col("total_ns"), 0, "it") is rows
+
+
 def test_planted_lags():
     rng = np.random.default_rng(0)
     for n, lag in ((500, 17), (500, -40), (3000, 1000), (64, 0)):
