@@ -184,52 +184,56 @@ def shared_prefixes(pieces: list[bytes], most: int = CACHED_CHARS) -> list[int]:
     return same.tolist()
 
 
-#: Bytes of white space that is neither a space nor a line feed, and the first bytes of such characters beyond ASCII.
-_ODD_BYTE = np.zeros(256, bool)
-_ODD_BYTE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
-_ODD_LEAD = np.zeros(256, bool)
-_ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_ODD = re.compile("[\x85\xa0  -     　]")
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x0A]] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[0x2C, 0x2E]] = True
-_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
-#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is C3.
-_LATIN = np.array([0x80 <= i <= 0xBF and i not in (0x97, 0xB7) for i in range(256)])
-
-
-def odd_texts(data: np.ndarray, bounds: np.ndarray, text: Callable[[int], str]) -> np.ndarray:
-    """Which texts hold white space but for spaces and line feeds. data: UTF-8 of all, text i from bounds[i] to bounds[i + 1]."""
+# What a byte may be, a bit each: white space but for spaces and line feeds; the first byte of such a character
+# beyond ASCII, or of another one; a space or line feed; a comma or stop; a letter or number; the second
+# byte of a letter from U+00C0 to U+00FF, whose first byte is C3.
+_ODD_BYTE, _ODD_LEAD, _SPACE, _SIGN, _ALNUM, _LATIN = (np.uint8(1 << k) for k in range(6))
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in (
+    (_ODD_BYTE, [0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]),
+    (_ODD_LEAD, [0xC2, 0xE1, 0xE2, 0xE3]),
+    (_SPACE, [0x20, 0x0A]),
+    (_SIGN, [0x2C, 0x2E]),
+    (_ALNUM, [i for i in range(128) if chr(i).isalnum()]),
+    (_LATIN, [i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]),
+):
+    _KINDS[_bytes] |= _kind
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def odd_texts(kinds: np.ndarray, bounds: np.ndarray, text: Callable[[int], str]) -> np.ndarray:
+    """Which texts hold white space but for spaces and line feeds. kinds: of the UTF-8 of all, text i from bounds[i] to bounds[i + 1]."""
     found = np.zeros(len(bounds) - 1, bool)
-    found[np.searchsorted(bounds, np.flatnonzero(_ODD_BYTE[data]), "right") - 1] = True
+    found[np.searchsorted(bounds, np.flatnonzero(kinds & _ODD_BYTE), "right") - 1] = True
     # A first byte that such white space has in common with other characters.
-    for i in np.unique(np.searchsorted(bounds, np.flatnonzero(_ODD_LEAD[data]), "right") - 1).tolist():
+    for i in np.unique(np.searchsorted(bounds, np.flatnonzero(kinds & _ODD_LEAD), "right") - 1).tolist():
         found[i] = found[i] or _ODD.search(text(i)) is not None
     return found
 
 
-def piece_starts(data: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> np.ndarray:
+def piece_starts(data: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> np.ndarray:
     """Where the pieces begin that the texts are cut into: places that no match of the pattern crosses or looks past.
 
     Before a space or line feed after something else, after a line feed that stands alone, and
     before a comma or stop after a letter or number. Odd texts are one piece.
     """
     n = len(data)
-    space = _SPACE[data]
+    start = np.zeros(n + 1, bool)
+    space = (kinds & _SPACE) != 0
+    # Before the first and after the last character of a text nothing is cut.
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
-    start = np.zeros(n + 1, bool)
-    if n:
-        # Before the first and after the last character of a text nothing is cut.
+    if n > 1:
         inner = ~edge[1:n]
         after = ~space[:-1] & inner
         start[1:n] = space[1:] & after
-        word = _ALNUM[data]
-        word[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
-        start[1:n] |= _SIGN[data[1:]] & word[:-1] & inner
-        alone = (data[1:-1] == 0x0A) & after[:-1] & ~space[2:] & inner[1:] if n > 2 else np.zeros(0, bool)
-        start[2:n] |= alone
+        signs = np.flatnonzero(kinds[1:] & _SIGN) + 1
+        before = kinds[signs - 1]
+        latin = ((before & _LATIN) != 0) & (signs > 1) & (data[signs - 2] == 0xC3)
+        signs = signs[(((before & _ALNUM) != 0) | latin) & inner[signs - 1]]
+        start[signs] = True
+        feeds = np.flatnonzero(data[1:-1] == 0x0A) + 1
+        start[feeds[after[feeds - 1] & ~space[feeds + 1] & inner[feeds]] + 1] = True
     for i in np.flatnonzero(odd).tolist():
         start[bounds[i] + 1 : bounds[i + 1]] = False
     start[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
@@ -300,8 +304,9 @@ class ChunkCoder:
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8, bounds[-1] - bounds[0], bounds[0])
         bounds = bounds - bounds[0]
-        odd = odd_texts(data, bounds, lambda i: texts[i].as_py())
-        starts = piece_starts(data, bounds, odd)
+        kinds = _KINDS[data]
+        odd = odd_texts(kinds, bounds, lambda i: texts[i].as_py())
+        starts = piece_starts(data, kinds, bounds, odd)
         cuts = np.r_[starts, len(data)].astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
         ids = pa.array(self.look_up(strings_of(pieces.dictionary)), pa.binary()).take(pieces.indices)

@@ -19,6 +19,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -197,13 +198,14 @@ def encode_entries(docs: DataFrame, vocabulary, end_id: int) -> DataFrame:
                 # An end id after each document.
                 moved = np.full(len(ids) + len(part), end_id, ids.dtype)
                 n = np.diff(at)
-                moved[np.arange(len(ids)) + np.repeat(np.arange(len(part)), n)] = ids
+                for k, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    moved[x + k : y + k] = ids[x:y]
                 ends = at[1:] + np.arange(1, len(part) + 1)
                 stops = chunk_ends(moved, ends)
                 starts = np.r_[0, stops[:-1]]
                 data = memoryview(moved.tobytes())
                 spans = [data[x:y] for x, y in zip((starts * wide).tolist(), (stops * wide).tolist(), strict=True)]
-                keys = [hashlib.sha256(x).digest()[:DIGEST] for x in spans]
+                keys = [sha256(x).digest()[:DIGEST] for x in spans]
                 new: dict[bytes, memoryview] = {}
                 for k, x in zip(keys, spans, strict=True):
                     if k in again:
@@ -376,13 +378,13 @@ class TokenStore:
                 # The ids at full width, and with them the digests, which are of no use so.
                 full, times = memoryview(np.frombuffer(whole, f"<u{wide}").astype("<u4").tobytes()), 4 // wide
                 at = (bounds - bounds[0]).tolist()
-                keys, crc = [], []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    key = bytes(whole[a : a + DIGEST])
-                    if hashlib.sha256(whole[a + DIGEST : b]).digest()[:DIGEST] != key:
-                        raise ValueError(f"chunk {key.hex()} doesn't hold what its digest says")
-                    keys.append(key)
-                    crc.append(zlib.crc32(full[(a + DIGEST) * times : b * times]))
+                places = list(zip(at[:-1], at[1:], strict=True))
+                keys = [bytes(whole[a : a + DIGEST]) for a, _ in places]
+                digests = [sha256(whole[a + DIGEST : b]).digest()[:DIGEST] for a, b in places]
+                if keys != digests:
+                    wrong = next(k for k, d in zip(keys, digests, strict=True) if k != d)
+                    raise ValueError(f"chunk {wrong.hex()} doesn't hold what its digest says")
+                crc = [zlib.crc32(full[(a + DIGEST) * times : b * times]) for a, b in places]
                 times = np.array([salts.get(k, 1) for k in keys], np.int64)
                 salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 rows = pa.array(np.repeat(np.arange(len(keys)), times))
