@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagloom.llm import byte_bpe, exact_dedup, hilbert, language, mixing, quality, simhash, token_store, topk, url_filter
+from lagloom.llm import byte_bpe, edit_embedding, exact_dedup, hilbert, language, lexical, merkle, mixing, quality, simhash, token_store, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
         "op10_quality": quality.op10_quality,
+        "op11_edit_fingerprints": edit_embedding.op11_edit_fingerprints,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict:
         "op4_url_filter": url_filter.OP4_SQL,
         "op5_topk": topk.OP5_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
+        "op13_lexical_search": lexical.OP13_SQL,
     }
