@@ -644,8 +644,8 @@ def test_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     root = plain_near(texts)
     assert len(set(root)) < len(texts) - 40
-    for tile in (512, 2):
-        assert sorted(r.doc_id for r in near_copies.keep_one(docs, tile=tile).collect()) == sorted(set(root))
+    for tile in (8_000_000, 400):
+        assert sorted(r.doc_id for r in near_copies.keep_one(docs, tile_bytes=tile).collect()) == sorted(set(root))
     stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(root))
     # No text is lost to another one under its doc_id.
