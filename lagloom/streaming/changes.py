@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def changed(df: DataFrame, key: str, order: list[str], value: str, keep_empty: bool = True) -> DataFrame:
-    """Rows whose value differs from the one before of the same key, the first row included.
+def changed(df: DataFrame, key: str, order: list[str], value: str, keep_empty: bool = True, silent_s: float | None = None) -> DataFrame:
+    """Rows whose value differs from the one before of the same key, the first row included. state.follow() is the same on a stream.
 
-    Without keep_empty, null and empty values are passed over as if they weren't there.
+    Without keep_empty, null and empty values are passed over as if they weren't there. With silent_s a row
+    counts as a first one if the one before it is older than that; the first column of order is then its time.
     """
     rows = df if keep_empty else df.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "")
     w = Window.partitionBy(key).orderBy(*order)
     first = F.row_number().over(w) == 1
+    if silent_s is not None:
+        gap = F.col(order[0]).cast("timestamp").cast("double") - F.lag(F.col(order[0]).cast("timestamp").cast("double")).over(w)
+        first |= F.coalesce(gap > silent_s, F.lit(False))
     return rows.withColumn("__new", first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("__new").drop("__new")
 
 
@@ -29,33 +29,6 @@ def changed_playlists(captures: DataFrame) -> DataFrame:
     return changed(captures.where("media_sequence is not null"), "stream", ["ts"], "media_sequence")
 
 
-def follow(df: DataFrame, key: str, order: list[str], value: str, keep_empty: bool = True) -> DataFrame:
-    """changed() on a stream: the last value of each key is its state, across batches.
-
-    Rows of a batch are put in order; rows that come in a later batch than younger ones are not moved back.
-    """
-    columns = df.columns
-    value_type = df.schema[value].dataType.simpleString()
-    schema = df.schema
-
-    def step(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
-        if not keep_empty:
-            rows = rows[rows[value].notna() & (rows[value].astype(str) != "")]
-        if not len(rows):
-            return
-        same = lambda a, b: (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and a == b)
-        seen, last = state.exists, state.get[0] if state.exists else None
-        fresh = []
-        for v in rows[value]:
-            fresh.append(not seen or not same(v, last))
-            seen, last = True, v
-        state.update((None if pd.isna(last) else last.item() if hasattr(last, "item") else last,))
-        yield rows[fresh][columns]
-
-    return df.groupBy(key).applyInPandasWithState(step, schema, f"last {value_type}", "append", GroupStateTimeout.NoTimeout)
-
-
 def lag_windows(liveness: DataFrame, size: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Mean, largest and number of lags by comparison and window of event time; later rows than late are dropped by a stream.
 

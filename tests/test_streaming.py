@@ -2,25 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from lagloom.streaming.changes import changed, changed_playlists, changed_titles, follow, lag_windows
+from lagloom.streaming.changes import changed_playlists, changed_titles, lag_windows
 
 SF = "/root/testdata/sf0.001/events.parquet"
 
 
-def test_follow_equals_batch(spark, tmp_path):
-    events = spark.read.parquet(SF).select("event_id", F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("title"))
-    # Several files, so that state is carried from batch to batch.
-    ordered = events.orderBy("ts", "event_id").collect()
-    for n in range(0, len(ordered), 300):
-        spark.createDataFrame(ordered[n : n + 300], events.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:05d}")
-    for keep in (True, False):
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        q = follow(stream, "stream", ["ts", "event_id"], "title", keep).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck{keep}").option("path", f"{tmp_path}/out{keep}").trigger(availableNow=True).start()
-        q.awaitTermination(300)
-        got = {r.event_id for r in spark.read.parquet(f"{tmp_path}/out{keep}").collect()}
-        assert got == {r.event_id for r in changed(events, "stream", ["ts", "event_id"], "title", keep).collect()}
-
-
 def test_changes(spark):
     rows = [("s", 1, None, 5), ("s", 2, "a", 5), ("s", 3, "", 6), ("s", 4, "a", None), ("s", 5, "b", 6), ("t", 1, "a", -1)]
     df = spark.createDataFrame(rows, "stream string, ts long, title string, media_sequence long")
