@@ -20,6 +20,8 @@ from lagloom.functions.numbers import at_least
 # The frames of a fingerprint, its frequencies, its coefficients, and what each kind of feature weighs.
 WINDOW, HOP, LOW_HZ, HIGH_HZ, COEFFICIENTS = 1024, 256, 80.0, 8000.0, 12
 WEIGHTS = {"mfcc": 0.50, "spectral": 0.25, "temporal": 0.15, "speech": 0.10}
+#: Bins and frames of a median that tells tones from beats, and frames worked on at once.
+MEDIAN, FRAMES = 17, 512
 #: Seconds of sound that the search for the last samples of an offset goes over.
 FINE_S = 10
 
@@ -162,7 +164,7 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
     # A stream is asked for by the pairs it is in, which are those of one broadcast.
     asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key", "s.stream_name").agg(F.collect_list("s").alias("asked"))
     piece = lambda r: F.struct(r.alias("r"), F.slice("pcm", (r["first"] + 1).cast("int"), r["count"].cast("int")).alias("piece"))
-    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked, ["broadcast_key", "stream_name"]).select("broadcast_key", F.explode(F.transform("asked", piece)).alias("x"))
+    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), ["broadcast_key", "stream_name"]).select("broadcast_key", F.explode(F.transform("asked", piece)).alias("x"))
     pieces = pieces.select("broadcast_key", "x.r.*", "x.piece")
     keys = ["broadcast_key", "alignment_name"]
     whole = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("piece"))).alias(f"piece{n}") for n in (1, 2)], *[F.max(c).alias(c) for c in ("rate", "lag", "confidence", "begin", "length")])
@@ -191,18 +193,52 @@ def _bands(rate: int, count: int = 26) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-def features(pcm: np.ndarray, rate: int) -> np.ndarray:
-    """Means and deviations over frames of cepstral coefficients, spectral shape, loudness and zero crossings, each kind scaled by the root of its weight."""
+def _running_median(x: np.ndarray, width: int, axis: int) -> np.ndarray:
+    """The median of each value's neighbourhood along an axis, edges repeated."""
+    half = width // 2
+    padded = np.pad(x, [(half, half) if a == axis else (0, 0) for a in range(x.ndim)], mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width, axis=axis), axis=-1)
+
+
+def harmonic_parts(power: np.ndarray) -> np.ndarray:
+    """For each frame (row) of spectra the logarithms of what goes on in time, tones, against what goes through all frequencies, beats.
+
+    Medians along time leave tones, medians along frequency leave beats; each bin is dealt between both by
+    their squares.
+    """
+    tones, beats = _running_median(power, MEDIAN, 0), _running_median(power, MEDIAN, 1)
+    share = np.square(tones) / (np.square(tones) + np.square(beats) + 1e-20)
+    whole = power.sum(1) + 1e-12
+    return np.c_[(power * share).sum(1) / whole, (power * (1 - share)).sum(1) / whole]
+
+
+def _pitch_classes(rate: int) -> np.ndarray:
+    """Which of the twelve classes of pitch, from A on, a frequency of a window is of; what lies outside of the range is of none."""
+    f = np.fft.rfftfreq(WINDOW, 1 / rate)
+    heard = (f >= LOW_HZ) & (f <= HIGH_HZ)
+    classes = np.zeros((len(f), 12))
+    at = np.round(12 * np.log2(f[heard] / 440.0)).astype(int) % 12
+    classes[np.flatnonzero(heard), at] = 1
+    return classes
+
+
+def features(pcm: np.ndarray, rate: int, speech: bool = True, harmonic: bool = False, chroma: bool = False) -> np.ndarray:
+    """Means and deviations over frames, each kind of feature scaled by the root of its weight.
+
+    Kinds: cepstral coefficients, spectral shape and loudness always; zero crossings with speech, the shares of tones
+    and of beats with harmonic, the classes of pitch with chroma. The weight of speech is dealt evenly among
+    the kinds that are on beside the first three; what is off is 0, so that all fingerprints are of one length.
+    """
     pcm = np.nan_to_num(np.asarray(pcm, np.float64))
     if len(pcm) < WINDOW or rate <= 0:
         pcm = np.pad(pcm, (0, max(0, WINDOW - len(pcm))))
     total = []
-    bands = _bands(max(rate, 1))
+    bands, classes = _bands(max(rate, 1)), _pitch_classes(max(rate, 1))
     n, window = len(bands), np.hanning(WINDOW)
     cosines = np.cos(np.pi / n * (np.arange(n) + 0.5)[None, :] * np.arange(1, COEFFICIENTS + 1)[:, None])
     frames = np.lib.stride_tricks.sliding_window_view(pcm, WINDOW)[::HOP]
-    for at in range(0, len(frames), 2048):
-        part = frames[at : at + 2048]
+    for at in range(0, len(frames), FRAMES):
+        part = frames[at : at + FRAMES]
         power = np.square(np.abs(np.fft.rfft(part * window, axis=1)))
         mel = np.log(power @ bands.T + 1e-10)
         f = np.arange(power.shape[1]) / power.shape[1]
@@ -210,22 +246,33 @@ def features(pcm: np.ndarray, rate: int) -> np.ndarray:
         centre = power @ f / mass
         spread = np.sqrt(np.maximum(power @ (f * f) / mass - centre**2, 0))
         loud = np.log(np.square(part).mean(1) + 1e-10)
-        cross = (np.diff(np.signbit(part), axis=1) != 0).mean(1)
-        total.append(np.c_[mel @ cosines.T / n, centre, spread, loud / 10, cross])
+        cross = (np.diff(np.signbit(part), axis=1) != 0).mean(1) if speech else np.zeros(len(part))
+        parts = harmonic_parts(power) if harmonic else np.zeros((len(part), 2))
+        pitch = power @ classes / mass[:, None] if chroma else np.zeros((len(part), 12))
+        total.append(np.c_[mel @ cosines.T / n, centre, spread, loud / 10, cross, parts, pitch])
     rows = np.concatenate(total)
-    kinds = np.repeat([WEIGHTS["mfcc"], WEIGHTS["spectral"], WEIGHTS["temporal"], WEIGHTS["speech"]], [COEFFICIENTS, 2, 1, 1])
+    beside = WEIGHTS["speech"] / max(1, speech + harmonic + chroma)
+    kinds = np.repeat([WEIGHTS["mfcc"], WEIGHTS["spectral"], WEIGHTS["temporal"], beside * speech, beside * harmonic, beside * chroma], [COEFFICIENTS, 2, 1, 1, 2, 12])
     return np.r_[rows.mean(0) * np.sqrt(kinds), rows.std(0) * np.sqrt(kinds)]
 
 
 def fingerprints(streams: DataFrame) -> DataFrame:
-    """(broadcast_key, stream_name, fingerprint) of streams with pcm and sample_rate; null without samples."""
+    """(broadcast_key, stream_name, fingerprint) of streams with pcm, sample_rate and, if there is one, content_type; null without samples.
+
+    Which features count is what the content type's settings say; without a content type it is that of news.
+    """
+    from lagloom.operators.config import with_content_settings
+
+    kinds = ["speech_features", "harmonic_features", "chroma_features"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(np.asarray(x.values, np.float64), r) if x.is_valid and len(x.values) and r else None for x, r in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            chosen = zip(*[batch.column(c).to_pylist() for c in range(3, 7)], strict=True)
+            made = [features(np.asarray(x.values, np.float64), r, *on) if x.is_valid and len(x.values) and r else None for x, (r, *on) in zip(batch.column(2), chosen, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["broadcast_key", "stream_name", "fingerprint"])
 
-    return streams.select("broadcast_key", "stream_name", "pcm", "sample_rate").mapInArrow(run, "broadcast_key string, stream_name string, fingerprint array<double>")
+    typed = streams if "content_type" in streams.columns else streams.withColumn("content_type", F.lit("news"))
+    return with_content_settings(typed).select("broadcast_key", "stream_name", "pcm", "sample_rate", *kinds).mapInArrow(run, "broadcast_key string, stream_name string, fingerprint array<double>")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -122,7 +122,7 @@ def metric_values(broadcasts: DataFrame, streams: DataFrame, alignments: DataFra
 
     names = F.create_map(*[F.lit(x) for pair in LAG_SERIES.items() for x in pair])
     lags = of_good(liveness).where("status = 'MATCH'").select(F.element_at(names, F.col("comparison")).alias("metric"), F.abs("lag_seconds").alias("value")).where("metric is not null")
-    timed = of_good(streams).where("error is null").select(F.explode(F.create_map(F.lit("time_to_first_byte"), ns_to_ms(F.col("ttfb_ns")).cast("double"), F.lit("total_processing_time"), ns_to_ms(F.col("total_ns")).cast("double"))).alias("metric", "value"))
+    timed = of_good(streams).where("error is null").select(F.explode(F.create_map(F.lit("time_to_first_byte"), ns_to_ms(F.col("ttfb_ns")).cast("double"), F.lit("total_processing_time"), ns_to_ms(F.col("total_ns")).cast("double"))).alias("metric", "value")).where("value is not null")
     sure = of_good(alignments).where("error is null").select(F.lit("alignment_confidence").alias("metric"), F.col("offset_confidence").alias("value"))
     alike = of_good(comparisons).where("error is null").select(F.lit("fingerprint_similarity").alias("metric"), F.col("overall_similarity").alias("value"))
     return lags.unionByName(timed).unionByName(sure).unionByName(alike)

@@ -102,7 +102,7 @@ def compare(spark: SparkSession, args) -> dict:
     keyed = rows.withColumns({"key": text.measurement_key(F.col("group_key"), F.col("broadcast_key")), "error": F.lit(None).cast("string")})
     keyed = keyed.withColumn("broadcast_key", F.col("key")).drop("key")
     measured = audio_files.measure(keyed, audio_files.read_audio(spark, args.audio), run.audio_segment_duration / 1e9, os.path.abspath(args.audio) if "://" not in args.audio else args.audio)
-    broadcasts = keyed.groupBy("broadcast_key").agg(F.first("broadcast_name").alias("name"), F.first("broadcast_content_type").alias("content_type")).withColumns({"total_s": F.lit(0.0), "error": F.lit(None).cast("string")})
+    broadcasts = keyed.groupBy("broadcast_key").agg(F.first("broadcast_name").alias("name"), F.first("broadcast_content_type").alias("content_type")).withColumns({"total_s": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
     # Everything below goes back to the same samples.
     measured = measured.cache()
     made = benchmark.run(broadcasts, measured, run, settings["output.precision"])

@@ -14,6 +14,7 @@ from lagloom.functions import audio, numbers, text, urls
 from lagloom.operators import catalog, config, liveness, pairing, quality, segments, stats, timers, validate
 from lagloom.operators.alignment import best_lag
 from lagloom.streaming.changes import changed
+from lagloom.streaming.state import silences_of
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -438,6 +439,24 @@ def metadata_changes(spark, sf_dir):
     return changed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
+SILENT_S = 6 * 3600
+
+
+@query(f"""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS last, ts - lag(ts) OVER w > INTERVAL {SILENT_S} SECOND AS gone, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR gone OR event_type IS DISTINCT FROM last""")
+def metadata_sessions(spark, sf_dir):
+    """Changes of streams that are forgotten once they have been silent: the batch twin of state.follow()."""
+    return changed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", silent_s=SILENT_S).select("user_id", "event_id", "event_type")
+
+
+@query(f"""WITH e AS (SELECT user_id, ts FROM events UNION ALL SELECT c_custkey, TIMESTAMP '2024-01-03 00:00:00' FROM customer), m AS (SELECT user_id, (epoch_us(ts) + 999) // 1000 AS ms FROM e), g AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS heard FROM m)
+ SELECT user_id, ms AS since_ms, ms + {SILENT_S * 1000} AS until_ms, 'timeout: no data for {SILENT_S}s' AS error FROM g WHERE coalesce(heard, 1706659200000) - ms > {SILENT_S * 1000}""")
+def silent_streams(spark, sf_dir):
+    """Deadlines that streams have missed, customers being those expected since a day: the batch twin of state.silences()."""
+    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("2024-01-03 00:00:00").cast("timestamp").alias("started"))
+    found = silences_of(table(spark, sf_dir, "events"), "user_id", "ts", SILENT_S, F.timestamp_millis(F.lit(1706659200000)), expected)
+    return found.select("user_id", F.unix_millis("since").alias("since_ms"), F.unix_millis("ts").alias("until_ms"), "error")
+
+
 @query("""SELECT stream, ts, title FROM (SELECT *, lag(title) OVER w AS last, row_number() OVER w AS n FROM (SELECT user_id AS stream, event_id AS ts, nullif(nullif(event_type, 'error'), 'view') AS title FROM events) WHERE title IS NOT NULL WINDOW w AS (PARTITION BY stream ORDER BY ts)) WHERE n = 1 OR title <> last""")
 def title_changes(spark, sf_dir):
     title = F.when(F.col("event_type") == "error", "").when(F.col("event_type") != "view", F.col("event_type"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.operators import alignment
 from lagloom.operators.config import RunSettings
 from lagloom.operators.validate import stream_validation
 from lagloom.plans import benchmark
@@ -28,7 +29,13 @@ ERROR = "connection refused"
 TTFB = "vec_id * 1000003"
 
 
-def _sound(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+#: In a run with faults: what is on the air by content type, which copies sound dull, each sample taking in the one before, and which are noise of their own.
+CONTENT = "CASE vec_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'music' WHEN 2 THEN 'mixed' ELSE 'sports' END"
+DULL = {"ti_hls": "vec_id % 5 = 2", "bk_source": "vec_id % 7 = 3"}
+OTHER = {"ti_mp3": "vec_id % 6 = 1", "ss_ais_hls": "vec_id % 10 = 7"}
+
+
+def _sound(spark, sf_dir, faults: bool = False) -> tuple[DataFrame, DataFrame]:
     """broadcasts and stream measurements."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("g_"), F.col("vec_id").cast("string")).alias("broadcast_key"), "embedding")
     n = HOP * HOPS
@@ -45,7 +52,13 @@ def _sound(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     s = s.withColumn("pcm", F.when(F.col("error").isNull(), F.transform(at, lambda i: noise(i) * loud(i)))).drop("embedding", "shift")
     s = s.withColumns({"sample_rate": F.lit(RATE), "channels": F.lit(1), "url": F.lit("u"), "content_type": F.lit("news"), "enabled": F.lit(True), "ttfb_ns": F.expr(TTFB), "total_ns": F.expr(f"2 * {TTFB}"), "duration_s": F.lit(float(n // RATE))})
     s = s.withColumn("validation", stream_validation(F.col("type"), F.col("sample_rate"), F.col("channels"), F.size("pcm"), F.col("duration_s"), 1.0))
-    b = v.select("broadcast_key", F.lit("").alias("name"), F.lit("news").alias("content_type"), F.lit(1.5).alias("total_s"), F.lit(None).cast("string").alias("error"))
+    if faults:
+        named = lambda where: F.expr("CASE " + " ".join(f"WHEN stream_name = '{k}' THEN {w}" for k, w in where.items()) + " ELSE false END")
+        other = lambda x, i: (F.sin((i + 1) * 78.233 + F.col("vec_id") * 3.1) * 12543.8543) % 1 * 0.5
+        dull = lambda x, i: x + F.coalesce(F.get("pcm", i - 1), F.lit(0.0)) * 0.9
+        pcm = F.when(named(DULL), F.transform("pcm", dull)).when(named(OTHER), F.transform("pcm", other)).otherwise(F.col("pcm"))
+        s = s.withColumns({"pcm": F.when(F.col("pcm").isNotNull(), pcm), "content_type": F.expr(CONTENT)})
+    b = v.select("broadcast_key", F.lit("").alias("name"), (F.expr(CONTENT) if faults else F.lit("news")).alias("content_type"), F.lit(1.5).alias("total_s"), F.lit(None).cast("string").alias("error"))
     return b, s.drop("vec_id")
 
 
@@ -124,3 +137,46 @@ def run_reliability(spark, sf_dir):
     made = _run(spark, sf_dir).reliability()
     errors = lambda c: F.coalesce(F.try_element_at("error_distribution", F.lit(c)), F.lit(0)).cast("long").alias(c)
     return made.select(F.col("success_rate_by_type")["hls"].alias("hls"), F.col("success_rate_by_type")["icecast"].alias("icecast"), errors("network"), errors("processing"), "overall_success_rate", "retry_rate")
+
+
+def _faulty(spark, sf_dir) -> benchmark.Run:
+    """A run in which dull sound has the lag of the original but not the likeness, and noise of its own has no lag at all."""
+    settings = RunSettings(max_alignment_offset=0.08, min_alignment_confidence=0.6).filled()
+    return benchmark.run(*_sound(spark, sf_dir, faults=True), settings, hop=HOP)
+
+
+def _faults_sql(kinds: dict[str, str], name: str = "name") -> str:
+    return "(" + " OR ".join(f"({name} = '{k}' AND {where})" for k, where in kinds.items()) + ")"
+
+
+@query(f"""WITH {_pairs_sql()} SELECT 'g_' || vec_id AS broadcast_key, alignment_name, NOT {_faults_sql(OTHER)} AS is_valid, CASE WHEN NOT {_faults_sql(OTHER)} THEN round(lag, 9) ELSE 0 END AS latency_seconds,
+ CASE WHEN NOT {_faults_sql(OTHER)} THEN NOT {_faults_sql(DULL)} END AS is_match, CASE WHEN {_faults_sql(OTHER)} THEN 'cannot truncate: alignment is not valid' END AS error FROM p""")
+def run_faults(spark, sf_dir):
+    """Alignments of too little confidence, and fingerprints of the aligned that are too little alike."""
+    r = _faulty(spark, sf_dir)
+    prints = r.comparisons.select("broadcast_key", F.regexp_replace("alignment_name", "_fingerprint$", "").alias("alignment_name"), F.col("is_valid_match").alias("is_match"))
+    return r.alignments.select("broadcast_key", "alignment_name", "is_valid", F.round("latency_seconds", 9).alias("latency_seconds"), "error").join(prints, ["broadcast_key", "alignment_name"], "left")
+
+
+@query(f"""WITH {_pairs_sql()} SELECT 'g_' || vec_id AS broadcast_key, CASE name WHEN 'ti_hls' THEN 'hls_cloudfront_lag' WHEN 'ti_mp3' THEN 'icecast_cloudfront_lag' WHEN 'ss_ais_hls' THEN 'hls_ais_lag' ELSE 'source_lag' END AS comparison,
+ {LAG_SQL} AS lag_seconds, CASE WHEN {_faults_sql(DULL)} THEN 'NO_MATCH' WHEN name <> 'bk_source' AND {LAG_SQL} < 0 THEN 'NO_ALIGNMENT' ELSE 'MATCH' END AS status FROM p WHERE NOT {_faults_sql(OTHER)}""")
+def run_statuses(spark, sf_dir):
+    """MATCH, NO_MATCH and NO_ALIGNMENT of real fingerprints."""
+    return _faulty(spark, sf_dir).liveness.select("broadcast_key", "comparison", "lag_seconds", "status")
+
+
+@query(f"""WITH {_pairs_sql()} SELECT (SELECT avg(CAST(NOT {_faults_sql(OTHER)} AS INTEGER)) FROM p) AS alignment_success_rate, (SELECT avg(CAST(NOT {_faults_sql(DULL)} AS INTEGER)) FROM p WHERE NOT {_faults_sql(OTHER)}) AS fingerprint_match_rate""")
+def run_fault_rates(spark, sf_dir):
+    return _faulty(spark, sf_dir).quality().select("alignment_success_rate", "fingerprint_match_rate")
+
+
+@query("""SELECT vec_id, kind AS content_type, kind <> 'music' AS speech, kind IN ('music', 'mixed') AS harmonic, kind = 'music' AS chroma, kind IN ('news', 'talk', 'sports') AS like_news FROM embeddings, (VALUES ('music'), ('news'), ('talk'), ('sports'), ('mixed')) AS k(kind)""")
+def content_fingerprints(spark, sf_dir):
+    """The same sound under each content type: which kinds of features its fingerprint has, and whether it is that of news."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.array(*[F.lit(k) for k in ("music", "news", "talk", "sports", "mixed")])).alias("content_type"), F.transform("embedding", lambda x: x.cast("double")).alias("pcm"))
+    streams = v.select(F.col("vec_id").cast("string").alias("broadcast_key"), F.col("content_type").alias("stream_name"), "content_type", "pcm", F.lit(RATE).alias("sample_rate"))
+    prints = alignment.fingerprints(streams)
+    some = lambda first, last: F.exists(F.slice("fingerprint", first, last - first + 1), lambda x: x != 0)
+    news = prints.where("stream_name = 'news'").select("broadcast_key", F.col("fingerprint").alias("news"))
+    # The first half are means: 12 coefficients, 2 of shape, 1 of loudness, then speech, harmonic, chroma.
+    return prints.join(news, "broadcast_key").select(F.col("broadcast_key").cast("long").alias("vec_id"), F.col("stream_name").alias("content_type"), some(16, 16).alias("speech"), some(17, 18).alias("harmonic"), some(19, 30).alias("chroma"), (F.col("fingerprint") == F.col("news")).alias("like_news"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.audio import duration, first_seconds
@@ -74,12 +74,14 @@ def _bare(address: Column) -> Column:
 
 
 def found_recordings(streams: DataFrame, audio: DataFrame, root: str = "") -> DataFrame:
-    """(broadcast_key, stream_name, path, recordings): the file of audio (path) that holds a stream, and how many would do.
+    """(broadcast_key, stream_name, path, recordings, streams): the file of audio (path) that holds a stream, how many would do, and of how many streams it is taken for the sound.
 
     A stream that names a file (no http URL) is that very file, by its whole path or by its path below root. A
     URL is a file at its host and path, or at its path, below root, whatever comes after its own ending
     (`ti/master.m3u8.wav`). Else a capture named for the stream holds it: `{broadcast}_{stream}`, with or without its seconds and
-    ending, where broadcast is the whole key or the part after the group. Only the best of these kinds counts.
+    ending, where broadcast is the whole key or the part after the group. Only the best of these kinds counts. A path
+    without its host and a broadcast without its group may be those of other streams, too: then streams counts them. A
+    file that is named in full counts one stream, since several may have the very same URL.
     """
     below = F.when(F.lit(bool(root)) & F.contains(F.col("path"), F.lit(_folder(root))), F.substring_index(F.col("path"), _folder(root), -1)).otherwise(F.col("path"))
     last = F.regexp_replace(F.regexp_extract("path", r"[^/]*$", 0), r"\.[A-Za-z0-9]{2,4}$", "")
@@ -87,11 +89,14 @@ def found_recordings(streams: DataFrame, audio: DataFrame, root: str = "") -> Da
     url, named = F.col("url"), F.coalesce(split_key(F.col("broadcast_key"))["broadcast"], F.col("broadcast_key"))
     path = F.regexp_replace(_bare(url), r"^[^/]*/", "")
     capture = lambda b: F.concat(F.lit("\0"), b, F.lit("_"), F.col("stream_name"))
-    ways = F.when(is_local(url), F.array(_bare(url))).otherwise(F.array(_bare(url), F.nullif(path, F.lit(""))))
-    keyed = streams.select("broadcast_key", "stream_name", F.posexplode(F.concat(ways, F.array(capture(F.col("broadcast_key")), capture(named)))).alias("__kind", "__key"))
+    ways = [_bare(url), F.when(~is_local(url), F.nullif(path, F.lit(""))), capture(F.col("broadcast_key")), capture(named)]
+    keyed = streams.select("broadcast_key", "stream_name", F.posexplode(F.array(*ways)).alias("__kind", "__key"))
     matched = keyed.join(files, "__key").groupBy("broadcast_key", "stream_name").agg(F.min(F.struct("__kind", "path")).alias("best"), F.collect_set(F.struct("__kind", "path")).alias("all"))
     same = F.size(F.array_distinct(F.transform(F.filter("all", lambda x: x["__kind"] == F.col("best.__kind")), lambda x: x["path"])))
-    return matched.select("broadcast_key", "stream_name", F.col("best.path").alias("path"), same.alias("recordings"))
+    # The full capture name of a broadcast without a group is its short one, too.
+    loose = F.col("best.__kind").isin(1, 3)
+    sharing = F.count("*").over(Window.partitionBy("best.path"))
+    return matched.select("broadcast_key", "stream_name", F.col("best.path").alias("path"), same.alias("recordings"), F.when(loose, sharing).otherwise(1).alias("streams"))
 
 
 def _folder(root: str) -> str:
@@ -99,20 +104,20 @@ def _folder(root: str) -> str:
 
 
 def measure(streams: DataFrame, audio: DataFrame, segment_s: float = 90.0, root: str = "") -> DataFrame:
-    """stream_measurements of catalogue streams with the recordings of audio; streams without one, or with several, have an error.
+    """stream_measurements of catalogue streams with the recordings of audio; streams without one, with several, or with one that other streams would have, too, have an error.
 
-    The samples are cut to the segment, and the duration of a file counts whole seconds. Both times are 0.
+    The samples are cut to the segment, and the duration of a file counts whole seconds. How long a file took to come isn't known: both times are null.
     """
     found = found_recordings(streams, audio, root)
     joined = streams.drop("error").join(found, ["broadcast_key", "stream_name"], "left").join(audio, "path", "left")
-    several = F.col("recordings") > 1
-    cut = F.when(~several, first_seconds(F.col("pcm"), segment_s, F.col("sample_rate")))
+    several, shared = F.col("recordings") > 1, F.col("streams") > 1
+    cut = F.when(~several & ~shared, first_seconds(F.col("pcm"), segment_s, F.col("sample_rate")))
     address = F.coalesce("url", F.lit(""))
-    wrong = F.when(several, F.concat(F.lit("failed to load audio: several recordings of "), address)).when(F.col("path").isNull(), F.concat(F.lit("failed to load audio: connection: no recording of "), address))
-    made = joined.withColumns({"pcm": cut, "error": F.coalesce(wrong, F.col("error"), F.when(F.col("pcm").isNull(), F.concat(F.lit("failed to load audio: connection: no sound of "), address)))}).drop("path", "recordings")
+    wrong = F.when(several, F.concat(F.lit("failed to load audio: several recordings of "), address)).when(shared, F.concat(F.lit("failed to load audio: a recording of several streams for "), address)).when(F.col("path").isNull(), F.concat(F.lit("failed to load audio: connection: no recording of "), address))
+    made = joined.withColumns({"pcm": cut, "error": F.coalesce(wrong, F.col("error"), F.when(F.col("pcm").isNull(), F.concat(F.lit("failed to load audio: connection: no sound of "), address)))}).drop("path", "recordings", "streams")
     made = made.withColumn("duration_s", duration(F.col("pcm"), F.col("sample_rate"), whole_seconds=True))
     check = stream_validation(F.col("type"), F.col("sample_rate"), F.col("channels"), F.size("pcm"), F.col("duration_s"), segment_s)
-    return made.withColumns({"validation": F.when(F.col("error").isNull(), check), "ttfb_ns": F.lit(0).cast("long"), "total_ns": F.lit(0).cast("long")})
+    return made.withColumns({"validation": F.when(F.col("error").isNull(), check), "ttfb_ns": F.lit(None).cast("long"), "total_ns": F.lit(None).cast("long")})
 
 
 def replayed(spark: SparkSession, path: str, files_at_once: int = 10) -> DataFrame:

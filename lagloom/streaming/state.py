@@ -25,11 +25,12 @@ def with_store(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKS)
 
 
+_ZERO = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+
+
 def _ms(at: datetime.datetime) -> int:
     """Milliseconds since 1970, rounded up: a timer that has fired has the whole moment behind it."""
-    if at.tzinfo is None:
-        at = at.astimezone()
-    return -int(-at.timestamp() * 1000 // 1)
+    return -(-((at.astimezone() - _ZERO) // datetime.timedelta(microseconds=1)) // 1000)
 
 
 class _Timed(StatefulProcessor):
@@ -190,13 +191,13 @@ def silences_of(df: DataFrame, key: str, time: str, most_s: float, now, expected
     rows = df.select(key, F.col(time).cast("timestamp").alias("since")).where("since is not null")
     if expected is not None:
         rows = rows.unionByName(expected.select(key, F.col("started").cast("timestamp").alias("since")))
-    ms = lambda c: F.ceil(c.cast("double") * 1000)
+    ms = lambda c: F.ceil(F.unix_micros(c).cast("decimal(20, 0)") / 1000).cast("long")
     now = now if hasattr(now, "cast") else F.lit(now)
     until = F.coalesce(F.lead("since").over(Window.partitionBy(key).orderBy("since")), now.cast("timestamp"))
     most = int(most_s * 1000)
     found = rows.withColumn("__until", until).where(ms(F.col("__until")) - ms(F.col("since")) > most)
-    ends = F.timestamp_millis((ms(F.col("since")) + most).cast("long"))
-    return found.select(key, F.timestamp_millis(ms(F.col("since")).cast("long")).alias("since"), ends.alias("ts"), F.lit(f"timeout: no data for {most_s:g}s").alias("error"))
+    ends = F.timestamp_millis(ms(F.col("since")) + most)
+    return found.select(key, F.timestamp_millis(ms(F.col("since"))).alias("since"), ends.alias("ts"), F.lit(f"timeout: no data for {most_s:g}s").alias("error"))
 
 
 SOUND = "broadcast_key string, stream_name string, window long, first_sequence long, sample_rate int, channels int, pcm array<double>, error string"

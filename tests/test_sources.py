@@ -110,6 +110,22 @@ def test_recordings_of_streams(spark):
     assert got == {"pri_source": ("pri/master.m3u8.wav", 1), "ti_hls": ("h.com/ti/master.m3u8", 1), "ti_mp3": ("one_ti_mp3_30s.wav", 1), "own": ("data/two/own.wav", 1), "whole": ("abs/x.wav", 1)}
 
 
+def test_one_recording_one_stream(spark):
+    """A recording that the names of several streams would fit is an error for all of them; one that is named in full isn't."""
+    streams = [
+        ("g_b", "one", "https://cdn1.example.com/x/master.m3u8"), ("g_b", "two", "https://cdn2.example.com/x/master.m3u8"), ("g_b", "full", "https://cdn3.example.com/x/master.m3u8"),
+        ("g_n", "pri_source", "https://a.example.com/p"), ("h_n", "pri_source", "https://b.example.com/p"), ("h_n", "ti_hls", "https://b.example.com/q"),
+        ("g_s", "a", "https://same.example.com/s"), ("g_t", "b", "https://same.example.com/s"),
+    ]
+    streams = spark.createDataFrame(streams, "broadcast_key string, stream_name string, url string").withColumns({"error": F.lit(None).cast("string"), "type": F.lit("hls")})
+    names = ["x/master.m3u8.wav", "cdn3.example.com/x/master.m3u8.wav", "n_pri_source.wav", "h_n_ti_hls.wav", "same.example.com/s.wav"]
+    audio = spark.createDataFrame([(f"file:/rec/{n}", [0.5] * 100, 100, 1, None) for n in names], "path string, pcm array<double>, sample_rate int, channels int, error string")
+    got = {(r.broadcast_key, r.stream_name): r for r in audio_files.measure(streams, audio, 1.0, "/rec").collect()}
+    wrong = {k for k, r in got.items() if r.error and r.error.startswith("failed to load audio: a recording of several streams for https://")}
+    assert wrong == {("g_b", "one"), ("g_b", "two"), ("g_n", "pri_source"), ("h_n", "pri_source")} and all(got[k].pcm is None for k in wrong)
+    assert all(r.error is None and len(r.pcm) == 100 and r.ttfb_ns is None for k, r in got.items() if k not in wrong)
+
+
 def test_replayed(spark, tmp_path):
     recordings(tmp_path / "audio")
     rows = audio_files.decoded(audio_files.replayed(spark, str(tmp_path / "audio"), 2))
