@@ -95,9 +95,21 @@ class DigestIndex:
     def unknown(self, groups: DataFrame, parts: list[dict]) -> DataFrame:
         """The groups whose digest no part holds."""
         for part in parts:
-            groups = groups.join(self._part(part).select("digest").hint("merge"), "digest", "left_anti")
+            # Dealt as the part is, or else Spark would deal the part, if it has fewer buckets.
+            groups = groups.repartition(part["buckets"], "digest").join(self._part(part).select("digest").hint("merge"), "digest", "left_anti")
         return groups
 
+    def forget(self) -> None:
+        """Drops the tables of this session that read the index, which itself stays."""
+        for name in file_names(self.spark, self.path):
+            if name.startswith("part-"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table({'name': name})}")
+
+    def remove(self) -> None:
+        """Deletes the index. Results of add() stay as they are."""
+        self.forget()
+        delete(self.spark, self.path)
+
     def compact(self) -> None:
         """Makes one part of all, with one sorted file a bucket, and removes what doesn't count."""
         number, parts = self.state()
@@ -138,18 +150,20 @@ class DigestIndex:
         groups = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("here").alias("group_size"))
         number, parts = self.state()
         if named and any(p["batch"] in ("", batch) for p in parts):
-            parts = self._without(batch, number, parts)
-            number = self.state()[0]
+            # Nothing is published yet: a state without the batch would let others decide about its texts.
+            parts = self._without(batch, parts)
         if parts:
             groups = cut(groups)
         with settings(self.spark, ORDERED):
             part = self._write(self.unknown(groups, parts).withColumn("batch", F.lit(batch)), batch, total)
-        self._publish(number + 1, [*parts, part])
-        own = self._part(part).select("digest", F.col("group_size").alias("here"), "keep_id", "keep_row", F.col("group_size").alias("size"))
-        for old in parts:
-            here = groups.select("digest", F.col("group_size").alias("here"))
-            known = here.join(self._part(old).hint("merge"), "digest").select("digest", "here", "keep_id", F.lit(None).cast("long").alias("keep_row"), (F.col("group_size") + F.col("here")).alias("size"))
-            own = own.unionByName(known)
+            self._publish(number + 1, [*parts, part])
+            own = self._part(part).select("digest", F.col("group_size").alias("here"), "keep_id", "keep_row", F.col("group_size").alias("size"))
+            for old in parts:
+                here = groups.select("digest", F.col("group_size").alias("here")).repartition(old["buckets"], "digest")
+                known = here.join(self._part(old).hint("merge"), "digest").select("digest", "here", "keep_id", F.lit(None).cast("long").alias("keep_row"), (F.col("group_size") + F.col("here")).alias("size"))
+                own = own.unionByName(known)
+            # Parts may go with a later batch: what they say is read now.
+            own = cut(own)
         out = join_counted(rows, own, "digest", "here", total).select(
             "doc_id",
             "keep_id",
@@ -158,28 +172,27 @@ class DigestIndex:
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
         if len(parts) >= PARTS:
-            out = cut(out)  # it reads the parts that go
             self.compact()
+        self.forget()
         return out
 
-    def _without(self, batch: str, number: int, parts: list[dict]) -> list[dict]:
-        """The parts without the rows of a batch that is run again. Of a part of several batches a new one is written."""
+    def _without(self, batch: str, parts: list[dict]) -> list[dict]:
+        """The parts without the rows of a batch that is run again. Of a part of several batches a new one is written, which counts for nothing yet."""
         left = []
         for p in parts:
             if p["batch"] == "" and not (found := self._part(p)).where(F.col("batch") == batch).isEmpty():
                 left.append(self._write(found.where(F.col("batch") != batch), "", p["rows"]))
             elif p["batch"] != batch:
                 left.append(p)
-        if left != parts:
-            self._publish(number + 1, left)
         return left
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of docs that an index keeps, with all their columns.
 
-    Of rows that repeat a doc_id and a text, one stays. Texts are shuffled once, by doc_id; only where
-    doc_ids repeat are they hashed again and sorted.
+    Of rows that repeat a doc_id and a text, one stays; a null text equals an empty one, and a null doc_id is one
+    before all others. An empty table gives an empty one. Texts are shuffled once, by doc_id; only where doc_ids repeat
+    are they hashed again and sorted.
     """
     id_, sha, n = fresh(docs, "__id", "__sha", "__n")
     found = cut(index.add(docs).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), "kept"))
@@ -194,7 +207,10 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return DigestIndex(spark, shared_path(spark, "digests")).add(docs)
+    index = DigestIndex(spark, shared_path(spark, "digests"))
+    found = index.add(docs)
+    index.remove()  # it served this one batch
+    return found
 
 
 OP7_SQL = r"""

@@ -517,6 +517,39 @@ def test_index_batch_run_again(spark, monkeypatch):
     assert index.read().count() == 50 == index.read().select("digest").distinct().count()
 
 
+@pytest.mark.parametrize("step", ["_write 1", "_write 2", "_publish 1", "cut 3"])
+def test_index_batch_dies(spark, monkeypatch, step):
+    """A batch that is run again and dies between any two steps changes no decision, nor do batches that are run again after it, in any order."""
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    before = tables()
+    index = exact_dedup.DigestIndex(spark, common.shared_path(spark, "digests"), 2)
+    batches = {"x1": [(1, "a"), (2, "b"), (3, "a")], "x2": [(5, "a"), (6, "z")], "x3": [(7, "z"), (8, "y")]}
+    run = lambda b: sorted(map(tuple, index.add(spark.createDataFrame(batches[b], "doc_id long, text string"), b).select("doc_id", "keep_id", "kept").collect()))
+    want = {b: run(b) for b in batches}
+    held = index.add(spark.createDataFrame([(9, "q")], "doc_id long, text string"), "x4")
+    index.compact()  # all batches are in one part: x1 has to be taken out of it
+    name, calls = step.split()
+    left = [int(calls)]
+    owner = exact_dedup if name == "cut" else exact_dedup.DigestIndex
+    real = getattr(owner, name)
+
+    def dies(*args):
+        left[0] -= 1
+        if not left[0]:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(owner, name, dies)
+        with pytest.raises(RuntimeError):
+            run("x1")
+    for b in ("x2", "x1", "x3"):
+        assert run(b) == want[b], b
+    assert [tuple(r) for r in held.select("doc_id", "kept").collect()] == [(9, True)]  # a result outlives a compaction
+    assert tables() <= before
+    index.remove()
+
+
 def test_index_many_batches(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "PARTS", 2)
     monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
