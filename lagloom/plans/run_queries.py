@@ -106,7 +106,7 @@ def run_documents(spark, sf_dir):
 
 
 def _performance_sql() -> str:
-    stats = "count(value) AS count, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(quantile_cont(value, 0.5), 9), 0) AS median, coalesce(round(quantile_cont(value, 0.95), 9), 0) AS p95, coalesce(round(min(value), 9), 0) AS min, coalesce(round(max(value), 9), 0) AS max"
+    stats = "count(value) AS count, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(quantile_cont(value, 0.5), 9), 0) AS median, coalesce(round(quantile_cont(value, 0.95), 9), 0) AS p95, coalesce(round(quantile_cont(value, 0.99), 9), 0) AS p99, coalesce(round(stddev_pop(value), 6), 0) AS std_dev, coalesce(round(min(value), 9), 0) AS min, coalesce(round(max(value), 9), 0) AS max"
     series = {"latency_hls_cloudfront": "ti_hls", "latency_hls_ais": "ss_ais_hls", "latency_icecast_cloudfront": "ti_mp3", "latency_icecast_ais": "", "latency_source": "bk_source"}
     values = [f"SELECT '{m}' AS metric, abs({LAG_SQL}) AS value FROM p WHERE name = '{n}' AND (name = 'bk_source' OR {LAG_SQL} >= 0)" for m, n in series.items()]
     values += [f"SELECT '{m}', CAST({t} * {TTFB} // 1000000 AS DOUBLE) FROM b WHERE ok AND NOT ({failed})" for m, t in (("time_to_first_byte", 1), ("total_processing_time", 2)) for _, _, _, failed in STREAMS.values()]
@@ -117,7 +117,14 @@ def _performance_sql() -> str:
 @query(_performance_sql())
 def run_performance(spark, sf_dir):
     made = _run(spark, sf_dir).performance().where("metric not in ('alignment_confidence', 'fingerprint_similarity')")
-    return made.select("metric", "count", F.round("mean", 6).alias("mean"), *[F.round(c, 9).alias(c) for c in ("median", "p95", "min", "max")])
+    return made.select("metric", "count", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), *[F.round(c, 9).alias(c) for c in ("median", "p95", "p99", "min", "max")])
+
+
+@query(f"""WITH {_pairs_sql()} SELECT metric, (SELECT count(*) FROM p) AS count, 1.0::DOUBLE AS mean, 1.0::DOUBLE AS median, 1.0::DOUBLE AS p95, 1.0::DOUBLE AS p99, 1.0::DOUBLE AS min, 1.0::DOUBLE AS max, 0.0::DOUBLE AS std_dev FROM (VALUES ('alignment_confidence'), ('fingerprint_similarity')) AS t(metric)""")
+def run_confidences(spark, sf_dir):
+    """The series that sound decides, to a tenth: every copy is the original, moved."""
+    made = _run(spark, sf_dir).performance().where("metric in ('alignment_confidence', 'fingerprint_similarity')")
+    return made.select("metric", "count", *[F.round(c, 1).alias(c) for c in ("mean", "median", "p95", "p99", "min", "max", "std_dev")])
 
 
 @query(f"""WITH {_pairs_sql()} SELECT (SELECT sum(valid) FROM b WHERE ok) / (5.0::DOUBLE * (SELECT count(*) FROM b WHERE ok)) AS stream_validity_rate, 1.0::DOUBLE AS alignment_success_rate, 1.0::DOUBLE AS fingerprint_match_rate, 0.0::DOUBLE AS average_health_score,
