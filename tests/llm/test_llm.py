@@ -679,7 +679,7 @@ def test_near_copies(spark):
     assert len(set(root)) < len(texts) - 40
     for tile in (8_000_000, 400):
         assert sorted(r.doc_id for r in near_copies.keep_one(docs, tile_bytes=tile).collect()) == sorted(set(root))
-    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    stage = dict(corpus_pipeline.STAGES)["near-dedup by shingles"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(root))
     # No text is lost to another one under its doc_id.
     same = spark.createDataFrame([(3, "b " * 9), (7, "a " * 9), (7, "b " * 9)], docs.schema)

@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
             for r in sorted(before, key=lambda r: r["doc_id"]):
                 first.setdefault(hashlib.sha256(normal(r["text"]).encode()).digest(), r["doc_id"])
             assert sorted(r["doc_id"] for r in after) == sorted(first.values())
-        elif name == "simhash near-dedup":
+        elif name == "near-dedup by shingles":
             rows = sorted(before, key=lambda r: r["doc_id"])
             root = plain_near([r["text"] for r in rows])
             assert sorted(r["doc_id"] for r in after) == sorted({rows[r]["doc_id"] for r in root})
