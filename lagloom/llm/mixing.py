@@ -196,19 +196,26 @@ def mix(docs: DataFrame, block_words: int = 256, shard_blocks: int = 4096, seed:
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs as often as the mix takes them, rounded to whole documents: not at all up to MOST times.
 
-    What the mix takes of a document is rounded down or up so that its copies are right on average,
-    whatever its length: in each chunk of a source, from a start that hashing gives, copies are differences of
-    the rounded running sum. Documents go by size there, so that words come near the target, too.
-    Rows that repeat a doc_id are repeated as often as the mix takes all of them together. Rows
-    without words stay once; an empty table stays empty.
+    What the mix takes of a document is rounded down or up so that its copies are right on average, whatever its
+    length: copies are differences of the rounded running sum over all documents, by source and size, from a start
+    that hashing gives. A source's words so miss what the mix takes of it by about one document. Rows that
+    repeat a doc_id are repeated as often as the mix takes all of them together. Rows without words stay
+    once; an empty table stays empty. The running sum goes over ranges of that order and over the ranges' sums.
     """
     id_, times, n = fresh(docs, "__id", "__times", "__n")
     plan = mix(docs, **parameters)
     taken = plan.documents().groupBy(F.col("doc_id").alias(id_)).agg(F.min("key").alias("key"), F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    taken = taken.withColumn("chunk", F.pmod(F.xxhash64(id_), F.lit(plan.chunks))).withColumn("part", F.coalesce(F.expr(f"taken * {PARTS} div nullif(size, 0)"), F.lit(0)))
-    before = Window.partitionBy("key", "chunk").orderBy("size", id_).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.pmod(F.xxhash64(F.lit("copies"), "key", "chunk"), F.lit(PARTS))
-    taken = taken.withColumn("at", start + F.coalesce(F.sum("part").over(before), F.lit(0)))
+    taken = cut(taken.withColumn("part", F.coalesce(F.expr(f"taken * {PARTS} div nullif(size, 0)"), F.lit(0))))
+    order = ["key", "size", id_]
+    ranged = cut(taken.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("range", F.shiftright("place", 33))
+    zero = F.lit(0).cast("long")
+    sums = ranged.groupBy("range").agg(F.sum("part").alias("sum"))
+    # One row for each range.
+    offsets = sums.select("range", F.coalesce(F.sum("sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("offset"))
+    before = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.pmod(F.xxhash64(F.lit("copies")), F.lit(PARTS))
+    taken = ranged.withColumn("inside", F.coalesce(F.sum("part").over(before), zero)).join(F.broadcast(offsets), "range").withColumn("at", start + F.col("inside") + F.col("offset"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr(f"(at + part) div {PARTS} - at div {PARTS}")).cast("int")
     found = taken.select(id_, copies.alias(times)).where(F.col(times) > 0)
     return docs.join(found, docs["doc_id"].eqNullSafe(found[id_])).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, n)

@@ -290,7 +290,8 @@ def test_mixed_words_near_target(spark):
         got[r.source] = got.get(r.source, 0) + len(r.text.split())
         long += r.source == "s00" and len(r.text.split()) > 2560
     assert want["s00"] < 0.3 * sizes["s00"] and long > 0
-    assert all(abs(got[s] - want[s]) < 0.1 * want[s] for s in want), {s: (got.get(s), want[s]) for s in want}
+    largest = {s: max(n for t, n in lengths if t == s) for s in want}
+    assert all(abs(got[s] - want[s]) <= largest[s] + 1 for s in want), {s: (got.get(s), want[s], largest[s]) for s in want}
 
 
 def test_targets_held(spark):
