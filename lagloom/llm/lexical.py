@@ -116,21 +116,21 @@ def _batch(block: list, term: list, offsets: pa.Array, lists: list, ids: pa.Arra
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(term, pa.string()), at, tf, ids, n], ["block", "term", "at", "tf", "ids", "n"])
 
 
-def postings(docs: DataFrame, wanted: list[str] | None) -> DataFrame:
+def postings(docs: DataFrame, wanted: list[str] | None, most: int = BLOCK) -> DataFrame:
     """block, term, at, tf for each term of a block: which of its documents hold it, and how often.
 
     The row of a block whose term is null has ids and n instead: its documents' ids, and how many terms each has.
-    wanted: the terms that count, all if None. Blocks are made where the documents lie; nothing is shuffled.
+    wanted: the terms that count, all if None. most: documents of a block. Blocks are made where the documents lie; nothing is shuffled.
     """
     numbers = None if wanted is None else {t: i for i, t in enumerate(wanted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, partition = _Block(numbers), TaskContext.get().partitionId()
+        block, partition, rows = _Block(numbers), TaskContext.get().partitionId(), min(ROWS, most)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
                 block.add(part.column(0), part.column(1))
-                if block.docs > BLOCK - ROWS or block.postings >= POSTINGS:
+                if block.docs > most - rows or block.postings >= POSTINGS:
                     yield from block.rows(partition)
         yield from block.rows(partition)
 
@@ -308,7 +308,7 @@ class _Group:
         return pa.RecordBatch.from_arrays([keys, pa.array(ids, mask=null).cast(kinds[1]), pa.array(scores)], ["key", "doc_id", "score"])
 
 
-def search(docs: DataFrame, items: DataFrame, key: str = "item_id", k: int = 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, key: str = "item_id", k: int = 20, block: int = BLOCK) -> DataFrame:
     """key, rank (from 1), doc_id, score: for each item its k best documents with a score above 0.
 
     docs: doc_id (a whole number), text; items: key, text. A document's score sums over the item's terms, repeats
@@ -323,7 +323,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", k: int = 20)
     asked = cut(question_terms(items, key))
     count = asked.groupBy("term").count().agg(F.coalesce(F.sum(F.octet_length("term") + 60), F.lit(0)), F.count("*")).first()
     wanted = [r.term for r in asked.select("term").distinct().collect()] if count[0] <= VOCABULARY else None
-    rows = postings(docs, wanted)
+    rows = postings(docs, wanted, block)
     if wanted is None:
         rows = rows.join(asked.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left").where("term is null or _t is not null").drop("_t")
     rows = cut(rows)
@@ -337,7 +337,8 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", k: int = 20)
     chunks = max(1, -(-questions.count() // QUESTIONS))
     groups = max(1, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")
-    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+    # Blocks are numbered within the task that made them: so dealt, groups have about as many each.
+    group = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * 7919, F.lit(groups)).cast("int")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     key_kind = items.schema[key].dataType.simpleString()
 
@@ -357,7 +358,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", k: int = 20)
         no("terms", "array<string>"), no("times", "array<long>"), no("w", "array<long>"), "term", "at", "tf", "ids", "n",
     )
     order = ["chunk", "group", "block", "kind"]
-    moved = ask.unionByName(tell).repartition("chunk", "group").sortWithinPartitions(*order)
+    moved = ask.unionByName(tell).repartitionById(chunks * groups, F.col("chunk") * groups + F.col("group")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, here, types = None, None, None
