@@ -64,6 +64,7 @@ PRESETS: dict[str, dict[str, Any]] = {
     "output.table": {"colors": True, "pager": True, "precision": 2},
 }
 
+# What requests send and streams are expected to be, profiles of test runs, regions.
 HEADERS = {"User-Agent": "lagloom/1.0", "Accept": "audio/*, application/vnd.apple.mpegurl, application/x-mpegurl", "Cache-Control": "no-cache", "Connection": "keep-alive"}
 EXPECTED_METADATA = {"bitrate": 128, "sample_rate": 44100, "channels": 2, "codec": "aac", "format": "auto"}
 #: Profiles of a test run: seconds, metrics, and the preset of its quality thresholds (none: the defaults).

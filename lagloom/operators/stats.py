@@ -9,6 +9,7 @@ from lagloom.functions.numbers import finite, ns_to_ms
 
 FIELDS = ["count", "mean", "median", "p95", "p99", "min", "max", "std_dev"]
 
+# Names of the report's series.
 #: Slots of the lag report, by comparison; the last four start from the backup source and stay empty.
 LAG_SERIES = {
     "hls_cloudfront_lag": "latency_hls_cloudfront",
