@@ -470,6 +470,29 @@ def percent_of_total(spark, sf_dir):
     return timers.shares(by).select("event", F.round("seconds", 4).alias("seconds"), F.round("percent", 6).alias("percent"), "title")
 
 
+@query("""SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'a=1&b=2' AS suffixed, regexp_replace('file://' || url, '^file://', '') AS bare FROM pages""")
+def url_suffixes(spark, sf_dir):
+    """A ready query string behind each URL, and what is left of a file's URL."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.with_suffix(url, "a=1&b=2").alias("suffixed"), urls.local_path(F.concat(F.lit("file://"), url)).alias("bare"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Master Playlist' WHEN page_id % 2 = 0 THEN 'Live Media Playlist' ELSE 'VOD Media Playlist' END AS kind,
+ CASE WHEN page_id % 5 = 0 THEN 'PASS' ELSE 'FAIL' END AS result, CASE WHEN contains(url, '#') THEN 'Healthy' ELSE 'Unhealthy' END AS health FROM pages""")
+def report_labels(spark, sf_dir):
+    n = F.col("page_id")
+    return table(spark, sf_dir, "pages").select("page_id", text.playlist_kind(n % 3 == 0, n % 2 == 0).alias("kind"), text.pass_label(n % 5 == 0).alias("result"), text.health_label(F.contains("url", F.lit("#"))).alias("health"))
+
+
+@query("""SELECT user_id, round(sum(CASE WHEN event_type IN ('click', 'purchase') THEN value END), 4) AS seconds FROM events GROUP BY user_id HAVING user_id = (SELECT min(user_id) FROM events)""")
+def response_time(spark, sf_dir):
+    """The sum of several named events of the first user."""
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("user_id").alias("user_id"))
+    own = events.join(F.broadcast(first), "user_id").select("user_id", F.col("event_type").alias("event"), F.col("value").alias("seconds"))
+    return timers.response_seconds(own, ["click", "purchase"]).join(F.broadcast(first)).select("user_id", F.round("seconds", 4).alias("seconds"))
+
+
 @query("SELECT user_id, event_type, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 > 3600 AS slow, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM events GROUP BY user_id, event_type")
 def event_timer(spark, sf_dir):
     made = timers.durations(table(spark, sf_dir, "events"), ["user_id", "event_type"])
