@@ -199,7 +199,7 @@ def forest_edges(nodes: DataFrame, max_bits: int = 4, exact_blocks: int = 2, til
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4, exact_blocks: int | None = None, tile: int = 1024) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and row_in_component, one row for each row of docs.
+    """doc_id, fingerprint (16 hex digits) and component_id, one row for each row of docs.
 
     component_id is the smallest doc_id that links of at most max_bits differing bits reach.
     Texts that are null, empty or white space have fingerprint 0, which links like any other.
