@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.operators import alignment
+from lagloom.operators import alignment, long_sound
 from lagloom.operators.config import RunSettings
 from lagloom.operators.validate import stream_validation
 from lagloom.plans import benchmark
@@ -83,6 +83,19 @@ def run_alignments(spark, sf_dir):
     return _run(spark, sf_dir).alignments.select("broadcast_key", "alignment_name", F.round("latency_seconds", 9).alias("latency_seconds"), "is_valid")
 
 
+@query(f"WITH {_pairs_sql()} SELECT 'g_' || vec_id AS broadcast_key, alignment_name, round(lag, 9) AS latency_seconds, true AS is_valid FROM p")
+def block_alignments(spark, sf_dir):
+    """The lags of run_alignments, from sound in blocks of 256 samples."""
+    b, s = _sound(spark, sf_dir)
+    heard = s.where("pcm is not null")
+    named = heard.select("broadcast_key", "stream_name", "error")
+    first = named.where("stream_name = 'pri_source'").select("broadcast_key", F.col("stream_name").alias("stream1"))
+    other = named.where("stream_name <> 'pri_source'").select("broadcast_key", F.col("stream_name").alias("stream2"))
+    pairs = first.join(other, "broadcast_key").withColumn("alignment_name", F.concat_ws("_vs_", "stream1", "stream2"))
+    made = long_sound.align_blocks(pairs, long_sound.cut(heard, 256), 0.08, hop=HOP, size=256)
+    return made.select("broadcast_key", "alignment_name", F.round("latency_seconds", 9).alias("latency_seconds"), "is_valid")
+
+
 def _slot_sql(name: str, source: bool = False) -> str:
     status = "'MATCH'" if source else f"CASE WHEN {LAG_SQL} < 0 THEN 'NO_ALIGNMENT' ELSE 'MATCH' END"
     return f"(SELECT max({LAG_SQL}) FROM p WHERE p.vec_id = b.vec_id AND name = '{name}') AS {name}_lag, (SELECT max({status}) FROM p WHERE p.vec_id = b.vec_id AND name = '{name}') AS {name}_status"

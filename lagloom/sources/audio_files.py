@@ -17,11 +17,8 @@ from lagloom.functions.urls import is_local
 from lagloom.operators.validate import stream_validation
 
 
-def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
-    """Samples of all channels averaged, -1 to 1; rate; channels. Integer PCM of 8 to 32 bits."""
-    with wave.open(io.BytesIO(data)) as w:
-        rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-        raw = w.readframes(w.getnframes())
+def samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples of all channels averaged, -1 to 1, of integer PCM of 8 to 32 bits."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif width == 3:
@@ -29,7 +26,15 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(1), rate, channels
+    return x.reshape(-1, channels).mean(1)
+
+
+def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
+    """Samples, rate and channels of a file."""
+    with wave.open(io.BytesIO(data)) as w:
+        rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
+        raw = w.readframes(w.getnframes())
+    return samples(raw, width, channels), rate, channels
 
 
 def encode_wav(samples: list[int], rate: int) -> bytes:

@@ -1,4 +1,4 @@
-"""Results: documents as JSON, YAML, CSV or a table, metric rows, and samples as sound files."""
+"""Results: documents as JSON, YAML, CSV or a table, and metric rows; for samples see sound_files."""
 
 from __future__ import annotations
 
@@ -6,13 +6,10 @@ import csv
 import io
 import json
 import math
-from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def scrub(value: Any) -> Any:
@@ -72,28 +69,3 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 def write_metric_stream(rows: DataFrame, path: str, checkpoint: str):
     """Metric rows of a stream, each batch once."""
     return rows.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").start(path)
-
-
-def write_audio(streams: DataFrame, folder: str) -> None:
-    """The samples of each stream as a 16-bit WAV, a row each: (file, data), as Parquet; see export_audio()."""
-    from lagloom.functions.audio import pcm16
-    from lagloom.functions.urls import file_name
-    from lagloom.sources.audio_files import encode_wav
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [encode_wav(x.values.to_numpy(zero_copy_only=False), r) for x, r in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["file", "data"])
-
-    made = streams.where("pcm is not null").select(F.concat(file_name(F.col("url")), F.lit(".wav")).alias("file"), pcm16(F.col("pcm")).alias("pcm"), "sample_rate")
-    made.mapInArrow(encode, "file string, data binary").write.mode("overwrite").parquet(folder)
-
-
-def export_audio(spark: SparkSession, folder: str, to: str) -> int:
-    """Writes what write_audio left in folder as sound files on this machine, one after another; returns how many. Of equal names the last stays."""
-    Path(to).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for row in spark.read.parquet(folder).toLocalIterator():
-        (Path(to) / row.file).write_bytes(row.data)
-        n += 1
-    return n

@@ -88,15 +88,6 @@ def recordings(folder, rate=8000, seconds=8):
     return delays
 
 
-def test_sound_files(spark, tmp_path):
-    streams = spark.createDataFrame([("http://h.com/a?x=1", [0.0, 0.5, -0.5, 2.0], 100), ("http://h.com/b", None, 100)], "url string, pcm array<double>, sample_rate int")
-    sinks.write_audio(streams, str(tmp_path / "rows"))
-    assert sinks.export_audio(spark, str(tmp_path / "rows"), str(tmp_path / "out")) == 1
-    (file,) = (tmp_path / "out").iterdir()
-    pcm, rate, channels = audio_files.decode_wav(file.read_bytes())
-    assert file.suffix == ".wav" and (rate, channels) == (100, 1) and pcm == pytest.approx([0.0, 0.5, -0.5, 1.0], abs=1e-4)
-
-
 def test_recordings_of_streams(spark):
     streams = [
         ("g_one", "pri_source", "http://h.com/pri/master.m3u8?x=1"), ("g_one", "ti_hls", "http://h.com/ti/master.m3u8"), ("g_one", "ais", "http://h.com/ais/master.m3u8"), ("g_one", "ti_mp3", "http://h.com/live"),
