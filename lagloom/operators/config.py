@@ -7,6 +7,7 @@ neutral and meant to be replaced.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from typing import Any
@@ -115,7 +116,7 @@ def layered(*layers: Mapping[str, Any]) -> dict[str, Any]:
     """Later layers override earlier ones, key by key; None doesn't count as a value. Defaults lie below all."""
     out = dict(DEFAULTS)
     for layer in layers:
-        out |= {("output_format" if k == "output" and not isinstance(v, Mapping) else k): v for k, v in layer.items() if v is not None}
+        out |= {k: v for k, v in layered_names(layer).items() if v is not None}
     return out
 
 
@@ -124,6 +125,38 @@ def merge_layers(layers: DataFrame, key: str = "key", value: str = "value", prio
     return layers.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, priority).alias(value))
 
 
+def traced_layers(layers: DataFrame, key: str = "key", value: str = "value", layer: str = "layer", priority: str = "priority") -> DataFrame:
+    """key, value, layer, hidden: for each key its value, the layer that it came from, and the layers whose values it hides, the highest first.
+
+    A null isn't a value; a key without any has no row. Of layers with one priority the last name counts, so that a layer
+    that has a key twice gives its largest value.
+    """
+    own = layers.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(priority).alias("priority"), F.col(layer).alias("layer")).agg(F.max(value).alias("value"))
+    ranked = F.sort_array(F.collect_list(F.struct("priority", "layer", "value")), asc=False)  # one entry a layer
+    top = F.col("r")[0]
+    return own.groupBy("key").agg(ranked.alias("r")).select("key", top["value"].alias("value"), top["layer"].alias("layer"), F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["layer"]).alias("hidden"))
+
+
+def layer_rows(layers: Mapping[str, Mapping[str, Any]]) -> list[tuple[str, str, str, int]]:
+    """Rows (key, layer, value, priority) of named layers, the lowest first; values as JSON, without those that are None."""
+    return [(k, name, json.dumps(v, sort_keys=True), n) for n, (name, layer) in enumerate(layers.items()) for k, v in layered_names(layer).items() if v is not None]
+
+
+def layered_names(layer: Mapping[str, Any]) -> dict[str, Any]:
+    """A layer under the names of the settings: output as a plain value is output_format."""
+    return {("output_format" if k == "output" and not isinstance(v, Mapping) else k): v for k, v in layer.items()}
+
+
+def typed(key: str, raw: str) -> Any:
+    """What a text means for a setting, by its default: durations in nanoseconds, words for flags, JSON for the rest; plain text for keys without a default."""
+    default = DEFAULTS.get(key)
+    if _is_duration(key):
+        return int(raw) if raw.isdigit() else nanoseconds(raw)
+    if isinstance(default, bool):
+        return raw.lower() in ("1", "true", "yes")
+    return raw if default is None or isinstance(default, str) else json.loads(raw)
+
+
 def with_defaults(settings: DataFrame, defaults: DataFrame, key: str = "key") -> DataFrame:
     """settings and those rows of defaults whose key it doesn't have."""
     return settings.unionByName(defaults.join(settings.select(key), key, "left_anti").select(*settings.columns))

@@ -4,6 +4,7 @@
     python -m lagloom hls --playlists folder/
     python -m lagloom icecast --captures folder/
     python -m lagloom validate --catalog broadcasts.yaml
+    python -m lagloom settings [--settings app.yaml] [--set test.timeout=30s]
     python -m lagloom example --catalog broadcasts.yaml --settings app.yaml
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions import numbers, text
 from lagloom.functions.durations import nanoseconds
-from lagloom.operators import catalog, config, segments
+from lagloom.operators import catalog, config, rules, segments
 from lagloom.operators.config import RunSettings
 from lagloom.plans import benchmark
 from lagloom.sources import audio_files, captures, catalog_files, playlists, sinks
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--catalog", required=True)
     p.add_argument("--audio", required=True, help="folder of WAV files at the paths of the URLs, or named {broadcast}_{stream}.wav")
     p.add_argument("--settings")
+    p.add_argument("--set", action="append", metavar="KEY=VALUE", help="a general setting, over file and environment")
     p.add_argument("--index", type=int, help="only the broadcast at this place")
     p.add_argument("--timeout", default="30m")
     p.add_argument("--segment-duration", default="0s")
@@ -47,14 +49,19 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("hls")
     p.add_argument("--playlists", required=True)
     p.add_argument("--segments", type=int, default=10)
+    p.add_argument("--rules", help="a file of rules (name, severity, broken, found) in place of those built in")
     p.add_argument("--limit", type=int, help="rows of each table; all without")
     p = sub.add_parser("icecast")
     p.add_argument("--captures", required=True)
     p.add_argument("--limit", type=int, help="rows; all without")
     p.add_argument("--follow", action="store_true")
+    p.add_argument("--check", action="store_true", help="the rules that streams break")
     p = sub.add_parser("validate")
     p.add_argument("--catalog")
     p.add_argument("--settings")
+    p = sub.add_parser("settings")
+    p.add_argument("--settings")
+    p.add_argument("--set", action="append", metavar="KEY=VALUE")
     p = sub.add_parser("example")
     p.add_argument("--catalog")
     p.add_argument("--settings")
@@ -66,21 +73,39 @@ def environment(prefix: str = "LAGLOOM_") -> dict[str, str]:
     found = {}
     for key, default in config.DEFAULTS.items():
         raw = os.environ.get(prefix + text.setting_key(key))
-        if raw is None:
-            continue
-        if config._is_duration(key):
-            found[key] = int(raw) if raw.isdigit() else nanoseconds(raw)
-        elif isinstance(default, (str, bool)) or default is None:
-            found[key] = raw.lower() in ("1", "true", "yes") if isinstance(default, bool) else raw
-        else:
-            found[key] = json.loads(raw)
+        if raw is not None:
+            found[key] = config.typed(key, raw)
+    return found
+
+
+def flags(given: list[str] | None) -> dict[str, object]:
+    """Settings from flags `--set key=value`; a key that no default has is an error."""
+    found = {}
+    for each in given or []:
+        key, mark, raw = each.partition("=")
+        if not mark or key not in config.DEFAULTS:
+            raise ValueError(f"--set {each}: not a setting")
+        found[key] = config.typed(key, raw)
     return found
 
 
+def layers_of(args) -> dict[str, dict]:
+    """All layers of general settings, the lowest first: defaults, the file (given or found on the search path), environment, flags."""
+    path = args.settings or catalog_files.found_settings()
+    return {"defaults": config.DEFAULTS, "file": catalog_files.read_settings(path) if path else {}, "environment": environment(), "flags": flags(args.set)}
+
+
+def settings_table(spark: SparkSession, args) -> None:
+    """Every setting, its value, the layer that it is from, and those that it hides."""
+    rows = spark.createDataFrame(config.layer_rows(layers_of(args)), "key string, layer string, value string, priority int")
+    show(config.traced_layers(rows).withColumn("hidden", F.array_join("hidden", ", ")).orderBy("key"), None)
+
+
 def load(spark: SparkSession, args) -> tuple[dict, RunSettings, object]:
     """Settings, run settings and catalogue, all checked."""
-    settings = config.layered(catalog_files.read_settings(args.settings) if args.settings else {}, environment())
-    own = catalog_files.read_run_settings(args.settings) if args.settings else RunSettings()
+    settings = config.layered(*layers_of(args).values())
+    path = args.settings or catalog_files.found_settings()
+    own = catalog_files.read_run_settings(path) if path else RunSettings()
     run = own.under_flags(nanoseconds(args.timeout), nanoseconds(args.segment_duration), args.max_concurrent, args.output_format or "", args.detailed_analysis, args.skip_fingerprint)
     wrong = config.problems(settings) + run.problems()
     if wrong:
@@ -137,7 +162,10 @@ def hls(spark: SparkSession, args) -> None:
     raw = playlists.read_playlists(spark, args.playlists)
     heads, parts, variants = playlists.playlists(raw), playlists.segments(raw), playlists.variants(raw)
     heads = heads.withColumns({"kind": text.playlist_kind(F.col("is_master"), F.col("is_live")), "result": text.pass_label(F.col("is_valid"))})
-    for df in (heads, segments.segment_summary(parts, args.segments), segments.playlist_analysis(heads.select("playlist_url"), parts, variants), segments.last_segment(parts)):
+    own = rules.from_rows(catalog_files.read_document(args.rules)["rules"]) if args.rules else rules.PLAYLIST_RULES
+    checked = rules.playlist_rows(raw)
+    broken = rules.violations(checked, ["playlist_url"], own)
+    for df in (broken, rules.verdicts(checked, broken, ["playlist_url"]), heads, segments.segment_summary(parts, args.segments), segments.playlist_analysis(heads.select("playlist_url"), parts, variants), segments.last_segment(parts)):
         show(df, args.limit)
 
 
@@ -146,6 +174,11 @@ def icecast(spark: SparkSession, args) -> None:
     if args.follow:
         show(changed_titles(rows).select("stream", "ts", text.icy_title(F.col("title")).alias("t")).select("stream", "ts", "t.*").orderBy("stream", "ts"), args.limit)
         return
+    if args.check:
+        broken = rules.violations(rows, ["stream"], rules.STREAM_RULES)
+        show(broken, args.limit)
+        show(rules.verdicts(rows, broken, ["stream"]), args.limit)
+        return
     score = numbers.quality_score(F.col("bitrate"), F.col("sample_rate"), F.col("codec"), F.coalesce(F.col("bytes_received") > 0, F.lit(False)))
     show(rows.select("stream", "ts", score.alias("score"), numbers.rating(score).alias("rating"), numbers.buffer_band(F.col("buffer_health")).alias("buffer"), text.shown_headers(F.col("headers")).alias("headers")), args.limit)
 
@@ -168,5 +201,5 @@ def main(argv: list[str] | None = None) -> int:
             wrong += config.problems(config.layered(catalog_files.read_settings(args.settings))) + catalog_files.read_run_settings(args.settings).filled().problems()
         print("\n".join(wrong) or "valid")
         return int(bool(wrong))
-    {"compare": compare, "hls": hls, "icecast": icecast}[args.command](spark, args)
+    {"compare": compare, "hls": hls, "icecast": icecast, "settings": settings_table}[args.command](spark, args)
     return 0

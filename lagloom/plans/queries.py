@@ -413,6 +413,23 @@ def config_priority_merge(spark, sf_dir):
     return config.with_defaults(merged, table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("value")))
 
 
+# Settings of customers in four layers: their region's, nation's, segment's, and those of their orders, of which there are many.
+TRACED_SQL = """l AS (SELECT c_custkey AS key, 'region' AS layer, 1 AS priority, CAST(n_regionkey AS BIGINT) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 'nation', 2, c_nationkey + 100 FROM customer WHERE c_nationkey % 2 = 0
+ UNION ALL SELECT c_custkey, 'segment', 3, CASE WHEN c_custkey % 3 = 0 THEN length(c_mktsegment) END FROM customer UNION ALL SELECT o_custkey, 'orders', 4, o_orderkey FROM orders WHERE o_custkey % 5 <> 0)"""
+
+
+@query(f"WITH {TRACED_SQL}, o AS (SELECT key, layer, priority, max(value) AS value FROM l WHERE value IS NOT NULL GROUP BY ALL) SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer, array_to_string(list(layer ORDER BY priority DESC)[2:], ',') AS hidden FROM o GROUP BY key")
+def traced_settings(spark, sf_dir):
+    c, n, o = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
+    row = lambda key, layer, priority, value: (F.col(key).alias("key"), F.lit(layer).alias("layer"), F.lit(priority).alias("priority"), value.cast("long").alias("value"))
+    layers = [
+        c.join(n, c.c_nationkey == n.n_nationkey).select(*row("c_custkey", "region", 1, F.col("n_regionkey"))), c.where("c_nationkey % 2 = 0").select(*row("c_custkey", "nation", 2, F.col("c_nationkey") + 100)),
+        c.select(*row("c_custkey", "segment", 3, F.when(F.col("c_custkey") % 3 == 0, F.length("c_mktsegment")))), o.where("o_custkey % 5 <> 0").select(*row("o_custkey", "orders", 4, F.col("o_orderkey"))),
+    ]
+    made = config.traced_layers(layers[0].unionByName(layers[1]).unionByName(layers[2]).unionByName(layers[3]))
+    return made.withColumn("hidden", F.array_join("hidden", ","))
+
+
 @query("""SELECT p_partkey, rate > 0 AND channels > 0 AND samples > 0 AS is_valid, array_to_string(list_filter([CASE WHEN rate <= 0 THEN 'invalid sample rate' END, CASE WHEN channels <= 0 THEN 'invalid channel count' END, CASE WHEN samples = 0 THEN 'no audio data' END,
  CASE WHEN d < -1 OR d > 5 THEN printf('unexpected audio duration: got %.1fs, expected 20.0s', d + 20) END], lambda x: x IS NOT NULL), '; ') AS errors
  FROM (SELECT p_partkey, p_size % 5 AS rate, p_partkey % 3 AS channels, p_size % 7 AS samples, p_size - 20.0::DOUBLE AS d FROM part)""")

@@ -6,6 +6,7 @@ These documents are small and are read on the driver; what comes out is a table.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
@@ -81,6 +82,14 @@ def read_settings(path: str) -> dict[str, Any]:
     return {k: v for k, v in flatten({k: v for k, v in read_document(path).items() if k != "benchmark"}).items()}
 
 
+def found_settings(name: str = "lagloom") -> str | None:
+    """The first settings file on the search path: what the variable LAGLOOM_SETTINGS names, ./configs, the home folder, its .config, /etc."""
+    if own := os.environ.get("LAGLOOM_SETTINGS"):
+        return own
+    folders = [Path("configs"), Path.home(), Path.home() / ".config" / name, Path("/etc") / name]
+    return next((str(f) for folder in folders for end in ("yaml", "yml", "json") if (f := folder / f"{name}.{end}").is_file()), None)
+
+
 def read_run_settings(path: str) -> RunSettings:
     return RunSettings.read(read_document(path).get("benchmark") or {})
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lagloom.operators import config
 from lagloom.plans import cli
 from lagloom.sources import audio_files, captures, catalog_files, playlists, sinks
 
@@ -163,3 +164,42 @@ def test_environment(monkeypatch):
     monkeypatch.setenv("LAGLOOM_TEST_CONCURRENT", "true")
     monkeypatch.setenv("LAGLOOM_AUDIO_CHANNELS", "1")
     assert cli.environment() == {"test.timeout": 3 * 10**9, "test.concurrent": True, "audio.channels": 1}
+
+
+def test_layers_of_settings(spark, tmp_path, monkeypatch, capsys):
+    """A file found on the search path, environment and flags, each over the one before."""
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("LAGLOOM_SETTINGS", raising=False)
+    assert catalog_files.found_settings() is None
+    (tmp_path / "home" / ".config" / "lagloom").mkdir(parents=True)
+    (tmp_path / "home" / ".config" / "lagloom" / "lagloom.json").write_text("{}")
+    (tmp_path / "configs").mkdir()
+    (tmp_path / "configs" / "lagloom.json").write_text(json.dumps({"test": {"timeout": "7s", "max_concurrency": 9}, "output": "csv"}))
+    assert catalog_files.found_settings() == "configs/lagloom.json"
+    monkeypatch.setenv("LAGLOOM_TEST_TIMEOUT", "8s")
+    args = cli.parser().parse_args(["settings", "--set", "test.timeout=9s", "--set", "audio.channels=1"])
+    layers = cli.layers_of(args)
+    merged = config.layered(*layers.values())
+    assert (merged["test.timeout"], merged["test.max_concurrency"], merged["audio.channels"], merged["output_format"]) == (9 * 10**9, 9, 1, "csv")
+    cli.settings_table(spark, args)
+    told = {line.split("\t")[0]: line.split("\t")[1:] for line in capsys.readouterr().out.splitlines()}
+    assert told["test.timeout"] == [str(9 * 10**9), "flags", "environment, file, defaults"]
+    assert told["output_format"] == ['"csv"', "file", "defaults"] and told["audio.channels"] == ["1", "flags", "defaults"] and told["audio.sample_rate"] == ["44100", "defaults", ""]
+    for wrong in ("test.timeout", "no.such=1"):
+        with pytest.raises(ValueError, match="not a setting"):
+            cli.flags([wrong])
+
+
+def test_rules_told(spark, tmp_path, capsys):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.m3u8").write_text("#EXTM3U\n#EXT-X-TARGETDURATION:4\n#EXTINF:9,\na.ts\n#EXT-X-ENDLIST\n")
+    cli.hls(spark, cli.parser().parse_args(["hls", "--playlists", str(tmp_path / "p")]))
+    assert "over_target_duration\terror\t1.0" in capsys.readouterr().out
+    (tmp_path / "r.json").write_text(json.dumps({"rules": [{"name": "few", "severity": "info", "broken": "count(uri) < 3", "found": "count(uri)"}]}))
+    cli.hls(spark, cli.parser().parse_args(["hls", "--playlists", str(tmp_path / "p"), "--rules", str(tmp_path / "r.json")]))
+    out = capsys.readouterr().out
+    assert "few\tinfo\t1.0" in out and "over_target" not in out
+    (tmp_path / "c.json").write_text(json.dumps({"stream": "s", "bytes_received": 3, "title": "t"}))
+    cli.icecast(spark, cli.parser().parse_args(["icecast", "--captures", str(tmp_path / "c.json"), "--check"]))
+    assert "no_content_type\terror" in capsys.readouterr().out
