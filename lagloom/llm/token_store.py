@@ -466,7 +466,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "n_tokens", "ids"])
 
         whole = rows.drop("chunks").join(joined, "ord").select("doc_id", "start", "n_tokens", "parts")
-        return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+        return whole.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids array<long>")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

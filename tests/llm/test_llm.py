@@ -757,6 +757,15 @@ def test_token_store(spark):
     assert empty.checksums().count() == 0 and empty.verify_manifest()
 
 
+def test_store_of_string_ids(spark):
+    docs = spark.createDataFrame([("b", "two words", 1), ("a", "one", 2), (None, None, 3), ("a", "", 4)], "doc_id string, text string, start int")
+    store = token_store.TokenStore(spark, common.shared_path(spark, "tokens"))
+    store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {r.start: (r.doc_id, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in store.read_documents().collect()}
+    assert whole == {r.start: (r.doc_id, r.n_tokens, r.ids_crc32) for r in store.checksums().collect()}
+    assert sorted((d or "") for d, *_ in whole.values()) == ["", "a", "a", "b"]
+
+
 def test_store_tampered(spark, monkeypatch):
     monkeypatch.setattr(token_store, "FAN", 2)  # a tree of several levels
     docs = spark.createDataFrame([(i, " ".join(f"{i} word{k}" for k in range(400))) for i in range(5)], "doc_id long, text string")
@@ -939,3 +948,7 @@ def test_quality_awkward(spark):
     assert np.array_equal(model.weights, again.weights)
     assert {r.score for r in quality.score(docs, quality.train(labelled.limit(0))).collect()} == {0.5}
     assert quality.score(nothing(spark), model).count() == 0
+    # A text's score is the same alone and among others, to the last digit.
+    texts = [r.text for r in docs.collect()]
+    assert [model.score([t])[0] for t in texts] == model.score(texts).tolist() == model.score(texts[::-1])[::-1].tolist()
+    assert model.score(["", None]).tolist() == model.score([None]).tolist() * 2 and model.score([]).tolist() == []
