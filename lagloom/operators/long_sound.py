@@ -95,7 +95,8 @@ def align_blocks(pairs: DataFrame, blocks: DataFrame, max_offset_s: float = 15.0
     if size % hop:
         raise ValueError("a block must be of whole hops")
     hops = size // hop
-    shapes = block_envelopes(blocks, hop)
+    # Dealt by stream and block, as the joins want them: one exchange for Spark to use again, rather than making envelopes for every join.
+    shapes = block_envelopes(blocks, hop).repartition("broadcast_key", "stream_name", "block")
     rates = blocks.groupBy("broadcast_key", F.col("stream_name").alias("stream1")).agg(F.max(F.col("sample_rate").cast("int")).alias("rate"))
     total = lambda f: F.sum(F.aggregate("envelope", F.lit(0.0), f))
     streams = shapes.groupBy("broadcast_key", "stream_name").agg(total(lambda s, x: s + x).alias("loud"), total(lambda s, x: s + x * x).alias("energy"), F.sum(F.size("envelope")).alias("n"))
