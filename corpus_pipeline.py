@@ -29,7 +29,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more, over shingles of five words, connect the one with the smallest doc_id."""
+    """Of documents that links of similarity 0.8 or more, over shingles of five words, connect the one with the smallest doc_id.
+
+    Candidates are what SimHash links, as in op8, over those shingles; MinHash bands add what its links miss. All are checked exactly.
+    """
     return near_copies.keep_one(docs, shingle=5, similarity=0.8)
 
 

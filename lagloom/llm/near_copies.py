@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles, checked exactly.
+"""Near copies by SimHash, checked exactly by the Jaccard similarity of word shingles.
 
-MinHash bands deal documents to buckets; texts as alike as asked for share one of BANDS bands but for
-(1 - s**4) ** BANDS of the pairs, 3 in 100,000 at 0.8. In a bucket the sets of shingles themselves are
-compared, in tiles of bounded bytes (buckets.py), by lists of the sets that hold a shingle.
+Documents that links of few differing bits of their fingerprints connect (simhash.py) share a bucket. At a similarity
+of 0.8 fingerprints differ in 4 to 14 bits, so that MinHash bands add the near copies that such links miss; texts
+as alike as asked for share one of BANDS bands but for (1 - s**4) ** BANDS of the pairs, 3 in 100,000 at 0.8. In a
+bucket the sets of shingles themselves are compared, in tiles of bounded bytes (buckets.py), by lists of the
+sets that hold a shingle.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.llm import simhash
 from lagloom.llm.buckets import TILE_BYTES, forest_edges, shared_buckets
 from lagloom.llm.common import components, cut, fresh, held, small_batches
 
@@ -73,12 +76,14 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_bytes: int = TILE_BYTES, together: DataFrame | None = None) -> DataFrame:
     """node, component of the documents (node, text) that links of at least that similarity connect with others.
 
     component is the smallest node. Null, empty and white texts have the same one shingle, the empty sequence. A node
     is to come once. An empty table, and one without near copies, gives no rows. Very long texts count
     whole; a tile holds one of them, or several up to tile_bytes of their hashes.
+
+    together: (node, key), once each; nodes of one key are compared, too, beside those that share a MinHash band.
     """
     small_batches(docs.sparkSession)
 
@@ -100,13 +105,24 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile
 
     docs = docs.select("node", "text")
     dealt = cut(docs.mapInArrow(keyed, "node binary, keys array<long>, size long"))
-    total = dealt.count() * BANDS
-    members = shared_buckets(dealt.select("node", "size", F.explode("keys").alias("key")), total, tile_bytes)
+    total = dealt.count() * (BANDS + (together is not None))
+    rows = dealt.select("node", "size", F.explode("keys").alias("key"))
+    if together is not None:
+        rows = rows.unionByName(dealt.select("node", "size").join(together, "node").select("node", "size", "key"))
+    members = shared_buckets(rows, total, tile_bytes)
     sets = cut(docs.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(listed, "node binary, payload binary"))
     return components(forest_edges(members, sets, lambda found: forest([np.frombuffer(p, np.uint64) for p in found], similarity)))
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def alike_bits(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, key) of the documents (doc_id, text), one row for each doc_id that SimHash links connect with another text; key: a hash of the component."""
+    found = simhash.near_duplicates(docs, shingle)
+    alike = found.groupBy("doc_id").agg(F.first("component_id").alias("component"))  # all rows of a doc_id are of one component
+    large = found.groupBy(F.col("component_id").alias("component")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return alike.join(large, "component").select("doc_id", F.xxhash64(F.lit("simhash"), "component").alias("key"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, **parameters) -> DataFrame:
     """The rows of docs but those that a near copy with a smaller doc_id (of equal doc_ids, another text) stands for.
 
     A document is a doc_id with a text: rows that repeat both stay or go together, and rows that
@@ -117,7 +133,9 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     # Sixteen bytes, in the order of doc_id.
     half = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     name = F.concat(half(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), half(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    found = near_copies(docs.where("doc_id is not null").select(name.alias("node"), "text"), **parameters)
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("node"), "text")
+    together = cut(known.select("doc_id", "node").distinct().join(alike_bits(known.select("doc_id", "text"), shingle), "doc_id").select("node", "key"))
+    found = near_copies(known.select("node", "text"), shingle, together=together, **parameters)
     gone = found.where("node != component").select(F.col("node").alias(node))
     named = docs.withColumn(node, name)
     return named.join(gone, node, "left_anti").drop(node)

@@ -53,3 +53,30 @@ def test_awkward_and_empty(spark):
             assert out.count() <= 3 * docs.count()
             if name != "byte-level BPE":
                 assert out.columns == docs.columns
+
+
+def test_near_dedup_takes_simhash_links(spark, monkeypatch):
+    """The stage compares what SimHash links, exactly, also where no MinHash band is shared."""
+    import random
+
+    from lagloom.llm import near_copies, simhash
+
+    # Of similarity 0.3 or more, without a common band: only the SimHash buckets hold both.
+    for seed in range(100):
+        rnd = random.Random(seed)
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        other = words[:35] + [f"v{rnd.randrange(10**6)}" for _ in range(25)]
+        sets = [near_copies.shingle_set(" ".join(w)) for w in (words, other)]
+        alike = len(set(sets[0]) & set(sets[1])) / len(set(sets[0]) | set(sets[1]))
+        if alike >= 0.36 and not set(near_copies.band_keys(sets[0])) & set(near_copies.band_keys(sets[1])):
+            break
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "some other text")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "near_duplicates", lambda d, shingle: d.selectExpr("doc_id", "'' as fingerprint", "1L as component_id"))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, similarity=0.36).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, similarity=0.5).collect()) == [1, 2, 3]
+    # Without stand-ins: fingerprints of a long text and of one with its last word changed are linked.
+    monkeypatch.undo()
+    long = [f"w{i % 7}x{i}" for i in range(2000)]
+    same = spark.createDataFrame([(1, " ".join(long)), (2, " ".join([*long[:-1], "end"])), (3, "some other text")], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.alike_bits(same).collect()} == {1, 2}
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, same, SF).orderBy("doc_id").collect()] == [1, 3]
