@@ -8,6 +8,7 @@ Arrow function, n log n for a pair. Fingerprints are vectors of log-band energie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,17 +135,28 @@ def envelopes(sound: DataFrame, hop: int = HOP) -> DataFrame:
     return sound.select("broadcast_key", "stream_name", "pcm", F.col("sample_rate").cast("int")).mapInArrow(run, "broadcast_key string, stream_name string, sample_rate int, envelope array<double>")
 
 
+def by_pair(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(broadcast_key, alignment_name, stream1, stream2, value1, value2) of pairs of which both streams have a row in values (broadcast_key, stream_name, value).
+
+    values is read once. Everything of a broadcast meets in one place, as its pairs do.
+    """
+    sides = F.array(*[F.struct(F.col(f"stream{n}").alias("stream_name"), F.lit(n).alias("side"), "alignment_name") for n in (1, 2)])
+    asked = pairs.select("broadcast_key", F.explode(sides).alias("s")).groupBy("broadcast_key").agg(F.collect_list("s").alias("asked"))
+    own = F.filter("asked", lambda r: r["stream_name"] == F.col("stream_name"))
+    met = values.join(asked, "broadcast_key").select("broadcast_key", "stream_name", "value", F.explode(own).alias("r")).select("broadcast_key", "r.alignment_name", "r.side", "stream_name", F.struct("value").alias("value"))
+    side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c))).alias(c.replace("_name", "") + str(n))
+    whole = met.groupBy("broadcast_key", "alignment_name").agg(side(1, "stream_name"), side(2, "stream_name"), side(1, "value"), side(2, "value")).where("value1 is not null and value2 is not null")
+    return whole.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.value").alias("value1"), F.col("value2.value").alias("value2"))
+
+
 def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP) -> DataFrame:
     """What align() gives, for pairs (broadcast_key, alignment_name, stream1, stream2) of the streams of sound.
 
-    Envelopes are made where the samples lie, and only they are joined to pairs. Of the samples only the
-    spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream.
+    Envelopes are made where the samples lie, once for each stream, and only they are joined to pairs. Of the samples only
+    the spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream.
     """
-    shapes = envelopes(sound, hop)
-    both = pairs.select("broadcast_key", "alignment_name", "stream1", "stream2")
-    for n in (1, 2):
-        side = shapes.select("broadcast_key", F.col("stream_name").alias(f"stream{n}"), F.col("envelope").alias(f"envelope{n}"), F.col("sample_rate").alias(f"rate{n}"))
-        both = both.join(side, ["broadcast_key", f"stream{n}"])
+    shapes = envelopes(sound, hop).select("broadcast_key", "stream_name", F.struct("sample_rate", "envelope").alias("value"))
+    both = by_pair(pairs, shapes).select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.envelope").alias("envelope1"), F.col("value2.envelope").alias("envelope2"), F.col("value1.sample_rate").alias("rate1"))
     names = ["broadcast_key", "alignment_name", "stream1", "stream2", "rate", "lag", "confidence", "begin", "length", "first1", "count1", "first2", "count2"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +173,11 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
     coarse = both.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("rate1").alias("rate"), "envelope1", "envelope2").mapInArrow(search, schema)
     known = [F.col(c) for c in ("alignment_name", "rate", "lag", "confidence", "begin", "length")]
     sides = [F.struct(F.col(f"stream{n}").alias("stream_name"), F.lit(n).alias("side"), F.col(f"first{n}").alias("first"), F.col(f"count{n}").alias("count"), *known) for n in (1, 2)]
-    # A stream is asked for by the pairs it is in, which are those of one broadcast.
-    asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key", "s.stream_name").agg(F.collect_list("s").alias("asked"))
+    # A stream is asked for by the pairs it is in, which are those of one broadcast: dealt by broadcasts, samples and the pieces cut from them stay in one place.
+    asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key").agg(F.collect_list("s").alias("asked"))
     piece = lambda r: F.struct(r.alias("r"), F.slice("pcm", (r["first"] + 1).cast("int"), r["count"].cast("int")).alias("piece"))
-    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), ["broadcast_key", "stream_name"]).select("broadcast_key", F.explode(F.transform("asked", piece)).alias("x"))
+    own = F.filter("asked", lambda r: r["stream_name"] == F.col("stream_name"))
+    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), "broadcast_key").select("broadcast_key", F.explode(F.transform(own, piece)).alias("x"))
     pieces = pieces.select("broadcast_key", "x.r.*", "x.piece")
     keys = ["broadcast_key", "alignment_name"]
     whole = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("piece"))).alias(f"piece{n}") for n in (1, 2)], *[F.max(c).alias(c) for c in ("rate", "lag", "confidence", "begin", "length")])
@@ -183,6 +196,7 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
     return judged(ordered.mapInArrow(refine, "broadcast_key string, alignment_name string, temporal_offset double, offset_confidence double"), min_confidence)
 
 
+@lru_cache(16)
 def _bands(rate: int, count: int = 26) -> np.ndarray:
     """Triangles over the frequencies of a window, evenly spaced by mel."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
@@ -212,6 +226,7 @@ def harmonic_parts(power: np.ndarray) -> np.ndarray:
     return np.c_[(power * share).sum(1) / whole, (power * (1 - share)).sum(1) / whole]
 
 
+@lru_cache(16)
 def _pitch_classes(rate: int) -> np.ndarray:
     """Which of the twelve classes of pitch, from A on, a frequency of a window is of; what lies outside of the range is of none."""
     f = np.fft.rfftfreq(WINDOW, 1 / rate)

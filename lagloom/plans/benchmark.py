@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,17 @@ from lagloom.operators import alignment, liveness, pairing, quality, stats
 from lagloom.operators.config import RunSettings
 
 
-@dataclass
-class Run:
-    broadcasts: DataFrame
-    streams: DataFrame
-    alignments: DataFrame
-    comparisons: DataFrame
-    liveness: DataFrame
+def once(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that spark.checkpoint.dir names; where there is none, persisted."""
+    sc = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
+class Results:
+    """What a run tells, of its broadcasts, streams, alignments, comparisons and liveness."""
 
     def metrics(self) -> DataFrame:
         return liveness.metric_rows(liveness.pivot(self.liveness), self.broadcasts)
@@ -32,34 +37,64 @@ class Run:
         return quality.reliability_metrics(self.broadcasts, self.streams)
 
 
-def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places: int = 3, hop: int = alignment.HOP) -> Run:
+@dataclass
+class Run(Results):
+    """A run whose tables are there already."""
+
+    broadcasts: DataFrame
+    streams: DataFrame
+    alignments: DataFrame
+    comparisons: DataFrame
+    liveness: DataFrame
+
+
+@dataclass
+class Comparison(Results):
+    """broadcasts and streams are plans. Alignments and comparisons are computed when they are first asked for, and once: all that a run tells is made of them."""
+
+    broadcasts: DataFrame
+    streams: DataFrame
+    pairs: DataFrame
+    fine: DataFrame
+    settings: RunSettings
+    places: int
+    hop: int
+
+    @cached_property
+    def alignments(self) -> DataFrame:
+        sound = self.fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
+        aligned = alignment.align_streams(self.pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop)
+        return once(self.pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")))
+
+    @cached_property
+    def comparisons(self) -> DataFrame:
+        if self.settings.skip_fingerprint_comparison:
+            return self.pairs.where(F.lit(False)).select("broadcast_key", "alignment_name", F.lit(None).cast("double").alias("overall_similarity"), F.lit(False).alias("is_valid_match"), F.lit(None).cast("string").alias("error"))
+        prints = alignment.fingerprints(self.fine).withColumnRenamed("fingerprint", "value")
+        both = alignment.by_pair(pairing.valid_alignments(self.alignments), prints).withColumnsRenamed({"value1": "fingerprint1", "value2": "fingerprint2"})
+        named = both.withColumn("alignment_name", F.concat("alignment_name", F.lit("_fingerprint")))
+        return once(alignment.compare(named, self.settings.min_fingerprint_similarity).select("broadcast_key", "alignment_name", "overall_similarity", "is_valid_match", "error"))
+
+    @cached_property
+    def liveness(self) -> DataFrame:
+        return liveness.classify(pairing.with_fingerprints(self.alignments, self.comparisons), self.settings.min_fingerprint_similarity, self.places)
+
+
+def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places: int = 3, hop: int = alignment.HOP) -> Comparison:
     """broadcasts: broadcast_key, name, content_type, total_s, error. streams: stream_measurements with pcm.
 
-    Everything is one lazy plan for each result. Pairs are joined to envelopes and fingerprints; samples are
-    shuffled once, by stream, for the seconds that the fine search needs. hop: samples to a value of an envelope.
+    What a result doesn't need isn't computed. Pairs are joined to envelopes and fingerprints; samples are
+    shuffled once, by broadcast, for the seconds that the fine search needs. hop: samples to a value of an envelope.
     """
     streams = pairing.within_deadline(pairing.measurable(streams), F.col("total_ns"), settings.operation_timeout, "a measurement")
     broadcasts = pairing.within_deadline(broadcasts, F.col("total_s") * 1e9, settings.benchmark_timeout, "a broadcast")
     fine = pairing.without_errors(streams)
     guarded = pairing.guard(broadcasts, streams)
     pairs = pairing.passing(pairing.pair_streams(fine), guarded)
-    sound = fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
-    aligned = alignment.align_streams(pairs, sound, settings.max_alignment_offset, settings.min_alignment_confidence, hop)
-    alignments = pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid"))
-    if settings.skip_fingerprint_comparison:
-        comparisons = alignments.where(F.lit(False)).select("broadcast_key", "alignment_name", F.lit(None).cast("double").alias("overall_similarity"), F.lit(False).alias("is_valid_match"), F.lit(None).cast("string").alias("error"))
-    else:
-        prints = alignment.fingerprints(fine)
-        both = pairing.valid_alignments(alignments).select("broadcast_key", "alignment_name", "stream1", "stream2")
-        for n in (1, 2):
-            both = both.join(prints.select("broadcast_key", F.col("stream_name").alias(f"stream{n}"), F.col("fingerprint").alias(f"fingerprint{n}")), ["broadcast_key", f"stream{n}"])
-        named = both.withColumn("alignment_name", F.concat("alignment_name", F.lit("_fingerprint")))
-        comparisons = alignment.compare(named, settings.min_fingerprint_similarity).select("broadcast_key", "alignment_name", "overall_similarity", "is_valid_match", "error")
-    lags = liveness.classify(pairing.with_fingerprints(alignments, comparisons), settings.min_fingerprint_similarity, places)
-    return Run(guarded.withColumn("health_score", F.lit(None).cast("double")), streams, alignments, comparisons, lags)
+    return Comparison(guarded.withColumn("health_score", F.lit(None).cast("double")), streams, pairs, fine, settings, places, hop)
 
 
-def documents(r: Run, verbose: bool = False) -> DataFrame:
+def documents(r: Results, verbose: bool = False) -> DataFrame:
     """(broadcast_key, document): each broadcast's part of the result as JSON, without samples and fingerprints.
 
     NaN and infinity become 0. Verbose adds maps of streams, alignments and comparisons.

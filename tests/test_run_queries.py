@@ -24,3 +24,19 @@ def test_dull_sound_is_never_alike(spark, tmp_path, name):
     rows = {r["vec_id"]: r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()}
     pq.write_table(pa.Table.from_pylist([rows[v % 500] | {"vec_id": v} for v in (19452, 55757, 3)], pq.read_schema(f"{SF}/embeddings.parquet")), tmp_path / "embeddings.parquet")
     assert same_as_sql(spark, name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["run_documents", "run_performance", "run_confidences", "run_quality", "run_reliability", "run_fault_rates", "run_statuses"])
+def test_a_run_is_computed_once(spark, name):
+    """What a run tells is made of alignments and comparisons that are there already: its plan aligns nothing again, and makes samples at most once."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") <= (name == "run_documents")
+
+
+def test_streams_of_one_value(spark):
+    """A pair of which one stream is missing is dropped; empty values are values."""
+    from lagloom.operators import alignment
+
+    pairs = spark.createDataFrame([("g", "a_vs_b", "a", "b"), ("g", "a_vs_c", "a", "c"), ("h", "a_vs_b", "a", "b")], "broadcast_key string, alignment_name string, stream1 string, stream2 string")
+    values = spark.createDataFrame([("g", "a", [1.0]), ("g", "b", None), ("h", "b", [2.0])], "broadcast_key string, stream_name string, value array<double>")
+    assert [tuple(r) for r in alignment.by_pair(pairs, values).collect()] == [("g", "a_vs_b", "a", "b", [1.0], None)]
