@@ -23,8 +23,12 @@ WINDOW, HOP, LOW_HZ, HIGH_HZ, COEFFICIENTS = 1024, 256, 80.0, 8000.0, 12
 WEIGHTS = {"mfcc": 0.50, "spectral": 0.25, "temporal": 0.15, "speech": 0.10}
 #: Bins and frames of a median that tells tones from beats, and frames worked on at once.
 MEDIAN, FRAMES = 17, 512
+#: Values of spectra, and of what is made of them, for each sample: windows overlap.
+SPECTRA = 4
 #: Seconds of sound that the search for the last samples of an offset goes over.
 FINE_S = 10
+#: Values of recordings that are worked on at once.
+TOGETHER = 1 << 18
 
 
 def best_lag(a: Column, b: Column, most: int) -> Column:
@@ -38,59 +42,98 @@ def best_lag(a: Column, b: Column, most: int) -> Column:
 
 
 def envelope(pcm: np.ndarray, hop: int = HOP) -> np.ndarray:
-    """Loudness of each hop of samples."""
-    n = len(pcm) // hop
-    return np.sqrt(np.square(np.nan_to_num(pcm[: n * hop].reshape(n, hop))).mean(1)) if n else np.zeros(0)
+    """Loudness of each hop of samples, along the last axis."""
+    n = pcm.shape[-1] // hop
+    return np.sqrt(np.square(np.nan_to_num(pcm[..., : n * hop].reshape(*pcm.shape[:-1], n, hop))).mean(-1))
+
+
+def alike(*keys: np.ndarray, values: int = 1) -> Iterator[np.ndarray]:
+    """Places of rows whose keys are all the same, as many at once as have TOGETHER values, or one."""
+    if not len(keys[0]):
+        return
+    which = np.unique(np.stack(keys), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(which, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+        step = max(1, TOGETHER // max(1, int(values[own[0]]) if np.ndim(values) else values))
+        for at in range(0, len(own), step):
+            yield own[at : at + step]
+
+
+class Lists:
+    """A column of lists of numbers: how long each is, and rows of those that are of one length. Null counts as empty, what is null in a list as NaN."""
+
+    def __init__(self, column: pa.Array):
+        self.begins, there = column.offsets.to_numpy()[:-1], column.is_valid().to_numpy(zero_copy_only=False)
+        self.lengths = np.where(there, np.diff(column.offsets.to_numpy()), 0)
+        self.values = np.asarray(column.values, np.float64)
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return self.values[self.begins[places][:, None] + np.arange(self.lengths[places[0]])]
+
+
+def correlate_rows(a: np.ndarray, b: np.ndarray, most: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the best lag of b behind a, from least (-most without) to most, and the normalised correlation there, over the overlap of each lag."""
+    (count, n), m = a.shape, b.shape[1]
+    low, high = max(-most if least is None else least, 1 - n), min(most, m - 1)
+    if not n or not m or low > high:
+        return np.zeros(count, np.int64), np.zeros(count)
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    lags = np.arange(low, high + 1)
+    # So long that no lag that is asked for meets another one's products.
+    least_size = max(high + n, m - low)
+    power = (least_size - 1).bit_length()
+    size = 3 << power - 2 if power > 1 and 3 << power - 2 >= least_size else 1 << power
+    both = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[:, lags]
+    left, right = (np.concatenate([np.zeros((count, 1)), np.cumsum(x * x, 1)], 1) for x in (a, b))
+    begin, end = np.maximum(0, -lags), np.minimum(n, m - lags)
+    scale = np.sqrt((left[:, end] - left[:, begin]) * (right[:, end + lags] - right[:, begin + lags]))
+    floor = 1e-9 * (np.sqrt(left[:, -1:] * right[:, -1:]) + 1e-300)
+    fit = np.where((scale > floor) & (end - begin >= min(n, m, 8)), both / np.maximum(scale, floor), 0.0)
+    near = np.lexsort((-lags, np.abs(lags)))
+    at = near[np.argmax(fit[:, near] >= fit.max(1, keepdims=True) - 1e-12, axis=1)]
+    return lags[at], np.clip(fit[np.arange(count), at], -1, 1)
 
 
 def correlate(a: np.ndarray, b: np.ndarray, most: int, least: int | None = None) -> tuple[int, float]:
-    """Best lag of b behind a, from least (-most without) to most, and the normalised correlation there, over the overlap of each lag."""
-    if not len(a) or not len(b):
-        return 0, 0.0
-    a, b = a - a.mean(), b - b.mean()
-    size = 1 << (len(a) + len(b) - 1).bit_length()
-    transform = lambda x, y: np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
-    both, left, right = transform(a, b), transform(a * a, np.ones(len(b))), transform(np.ones(len(a)), b * b)
-    low, high = max(-most if least is None else least, 1 - len(a)), min(most, len(b) - 1)
-    if low > high:
-        return 0, 0.0
-    lags = np.arange(low, high + 1)
-    shared = np.minimum(len(a), len(b) - lags) - np.maximum(0, -lags)
-    scale = np.sqrt(np.maximum(left[lags], 0) * np.maximum(right[lags], 0))
-    floor = 1e-9 * (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-300)
-    fit = np.where((scale > floor) & (shared >= min(len(a), len(b), 8)), both[lags] / np.maximum(scale, floor), 0.0)
-    at = min(np.flatnonzero(fit >= fit.max() - 1e-12), key=lambda i: (abs(lags[i]), -lags[i]))
-    return int(lags[at]), float(np.clip(fit[at], -1, 1))
-
-
-def coarse_lag(x: np.ndarray, y: np.ndarray, rate: int, max_offset_s: float, hop: int = HOP) -> tuple[int, float, int, int]:
-    """Of two envelopes: lag in hops, confidence, and begin and length, in hops of the first, of the loudest stretch they share."""
-    lag, confidence = correlate(x, y, int(max_offset_s * rate / hop) + 1)
-    low, high = max(0, -lag), min(len(x), len(y) - lag)
-    length = max(0, min(high - low, -(-FINE_S * rate // hop)))
-    if not length:
-        return lag, confidence, 0, 0
-    loud = np.r_[0.0, np.cumsum(x[low:high] * y[low + lag : high + lag])]
-    return lag, confidence, low + int(np.argmax(loud[length:] - loud[:-length])), length
-
-
-def spans(lag: int, begin: int, length: int, hop: int = HOP) -> tuple[int, int, int, int]:
+    """correlate_rows() of a single row."""
+    lag, fit = correlate_rows(a[None], b[None], most, least)
+    return int(lag[0]), float(fit[0])
+
+
+def coarse_lags(x: np.ndarray, y: np.ndarray, rate: int, max_offset_s: float, hop: int = HOP) -> tuple[np.ndarray, ...]:
+    """Of rows of envelopes: lag in hops, confidence, and begin and length, in hops of the first, of the loudest stretch they share."""
+    lag, confidence = correlate_rows(x, y, int(max_offset_s * rate / hop) + 1)
+    begin, length = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for own in alike(lag):
+        by = int(lag[own[0]])
+        low, high = max(0, -by), min(x.shape[1], y.shape[1] - by)
+        n = max(0, min(high - low, -(-FINE_S * rate // hop)))
+        if n:
+            loud = np.pad(np.cumsum(x[own, low:high] * y[own, low + by : high + by], 1), ((0, 0), (1, 0)))
+            begin[own], length[own] = low + np.argmax(loud[:, n:] - loud[:, :-n], axis=1), n
+    return lag, confidence, begin, length
+
+
+def spans(lag, begin, length, hop: int = HOP) -> tuple:
     """First sample and number of samples of both sides for the fine search; the second with room for two hops more on each side."""
-    first = max(0, (begin + lag - 2) * hop)
+    first = np.maximum(0, (begin + lag - 2) * hop)
     return begin * hop, length * hop, first, (begin + lag + length + 2) * hop - first
 
 
-def fine_lag(p: np.ndarray, q: np.ndarray, lag: int, confidence: float, begin: int, length: int, rate: int, max_offset_s: float, hop: int = HOP) -> tuple[float, float]:
-    """Offset in seconds and confidence, from the samples p and q of the spans."""
+def fine_lags(p: Lists, q: Lists, lag: np.ndarray, confidence: np.ndarray, begin: np.ndarray, length: np.ndarray, rate: np.ndarray, max_offset_s: float, hop: int = HOP) -> tuple[np.ndarray, np.ndarray]:
+    """Offset in seconds and confidence, from the samples p and q of the spans; 0 where there is no rate."""
     start, _, first, _ = spans(lag, begin, length, hop)
-    samples = lag * hop
-    if len(p) and len(q):
-        middle = start + samples - first  # where q would begin if the lag were right to the sample
-        fine, near = correlate(np.nan_to_num(p), np.nan_to_num(q), middle + 2 * hop, middle - 2 * hop)
-        if near > 0:
-            samples, confidence = first + fine - start, max(confidence, near)
-    limit = int(max_offset_s * rate)
-    return max(-limit, min(limit, samples)) / rate, max(0.0, confidence)
+    samples, confidence = lag * hop, confidence.copy()
+    middle = start + samples - first  # where q would begin if the lag were right to the sample
+    for own in alike(p.lengths, q.lengths, middle, values=p.lengths + q.lengths):
+        at = int(middle[own[0]])
+        fine, near = correlate_rows(np.nan_to_num(p.rows(own)), np.nan_to_num(q.rows(own)), at + 2 * hop, at - 2 * hop)
+        sure = near > 0
+        samples[own] = np.where(sure, first[own] + fine - start[own], samples[own])
+        confidence[own] = np.where(sure, np.maximum(confidence[own], near), confidence[own])
+    limit = np.floor(max_offset_s * rate).astype(np.int64)
+    rated = rate > 0
+    return np.where(rated, np.clip(samples, -limit, limit) / np.maximum(rate, 1), 0.0), np.where(rated, np.maximum(0.0, confidence), 0.0)
 
 
 def judged(found: DataFrame, min_confidence: float) -> DataFrame:
@@ -114,9 +157,10 @@ def align(pairs: DataFrame, max_offset_s: float = 15.0, min_confidence: float =
                     made.append((0.0, 0.0))
                     continue
                 a, b = (np.asarray(v.values, np.float64) for v in (x, y))
-                coarse = coarse_lag(envelope(a, hop), envelope(b, hop), rate, max_offset_s, hop)
-                i, n, j, m = spans(coarse[0], *coarse[2:], hop)
-                made.append(fine_lag(a[i : i + n], b[j : j + m], *coarse, rate, max_offset_s, hop))
+                coarse = coarse_lags(envelope(a, hop)[None], envelope(b, hop)[None], rate, max_offset_s, hop)
+                i, n, j, m = (int(v[0]) for v in spans(coarse[0], *coarse[2:], hop))
+                sides = [Lists(pa.array([v], pa.list_(pa.float64()))) for v in (a[i : i + n], b[j : j + m])]
+                made.append([v[0] for v in fine_lags(*sides, *coarse, np.array([rate]), max_offset_s, hop)])
             offsets, sure = zip(*made, strict=True) if made else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets, pa.float64()), pa.array(sure, pa.float64())], ["broadcast_key", "alignment_name", "temporal_offset", "offset_confidence"])
 
@@ -124,13 +168,29 @@ def align(pairs: DataFrame, max_offset_s: float = 15.0, min_confidence: float =
     return judged(found, min_confidence)
 
 
+def as_lists(rows: list) -> pa.Array:
+    """A column of lists from arrays; null where there is None."""
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in rows])
+    none = np.array([x is None for x in rows] + [False], bool)
+    there = [x for x in rows if x is not None]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=none), pa.array(np.concatenate([np.zeros(0), *there])))
+
+
+def envelope_column(pcm: pa.Array, hop: int = HOP) -> pa.Array:
+    """The envelope of each list of samples; empty without samples."""
+    sound, made = Lists(pcm), [None] * len(pcm)
+    for own in alike(sound.lengths, values=sound.lengths):
+        for i, x in zip(own, envelope(sound.rows(own), hop), strict=True):
+            made[i] = x
+    return as_lists(made)
+
+
 def envelopes(sound: DataFrame, hop: int = HOP) -> DataFrame:
     """(broadcast_key, stream_name, sample_rate, envelope) of sound (broadcast_key, stream_name, pcm, sample_rate); empty without samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [envelope(np.asarray(x.values, np.float64), hop) if x.is_valid else np.zeros(0) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(made, pa.list_(pa.float64()))], ["broadcast_key", "stream_name", "sample_rate", "envelope"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), envelope_column(batch.column(2), hop)], ["broadcast_key", "stream_name", "sample_rate", "envelope"])
 
     return sound.select("broadcast_key", "stream_name", "pcm", F.col("sample_rate").cast("int")).mapInArrow(run, "broadcast_key string, stream_name string, sample_rate int, envelope array<double>")
 
@@ -161,13 +221,13 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, y, rate in zip(batch.column(5), batch.column(6), batch.column(4).to_pylist(), strict=True):
-                found = coarse_lag(np.asarray(x.values, np.float64), np.asarray(y.values, np.float64), rate, max_offset_s, hop) if rate else (0, 0.0, 0, 0)
-                rows.append((*found, *spans(found[0], *found[2:], hop)))
-            kinds = [pa.int64(), pa.float64()] + [pa.int64()] * 6
-            columns = zip(*rows, strict=True) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+            rates, x, y = batch.column(4).fill_null(0).to_numpy(), Lists(batch.column(5)), Lists(batch.column(6))
+            found = [np.zeros(len(rates), kind) for kind in (np.int64, np.float64, np.int64, np.int64)]
+            for own in alike(x.lengths, y.lengths, rates, values=x.lengths + y.lengths):
+                if rates[own[0]]:
+                    for column, values in zip(found, coarse_lags(x.rows(own), y.rows(own), int(rates[own[0]]), max_offset_s, hop), strict=True):
+                        column[own] = values
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c) for c in (*found, *spans(found[0], *found[2:], hop))]], names)
 
     schema = "broadcast_key string, alignment_name string, stream1 string, stream2 string, rate int, lag long, confidence double, begin long, length long, first1 long, count1 long, first2 long, count2 long"
     coarse = both.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("rate1").alias("rate"), "envelope1", "envelope2").mapInArrow(search, schema)
@@ -175,22 +235,18 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
     sides = [F.struct(F.col(f"stream{n}").alias("stream_name"), F.lit(n).alias("side"), F.col(f"first{n}").alias("first"), F.col(f"count{n}").alias("count"), *known) for n in (1, 2)]
     # A stream is asked for by the pairs it is in, which are those of one broadcast: dealt by broadcasts, samples and the pieces cut from them stay in one place.
     asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key").agg(F.collect_list("s").alias("asked"))
-    piece = lambda r: F.struct(r.alias("r"), F.slice("pcm", (r["first"] + 1).cast("int"), r["count"].cast("int")).alias("piece"))
     own = F.filter("asked", lambda r: r["stream_name"] == F.col("stream_name"))
-    pieces = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), "broadcast_key").select("broadcast_key", F.explode(F.transform(own, piece)).alias("x"))
-    pieces = pieces.select("broadcast_key", "x.r.*", "x.piece")
+    # Cut outside of the lambda, where Spark need not make an object of every sample.
+    met = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), "broadcast_key").select("broadcast_key", "pcm", F.explode(own).alias("r"))
+    pieces = met.select("broadcast_key", "r.*", F.slice("pcm", (F.col("r.first") + 1).cast("int"), F.col("r.count").cast("int")).alias("piece"))
     keys = ["broadcast_key", "alignment_name"]
     whole = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("piece"))).alias(f"piece{n}") for n in (1, 2)], *[F.max(c).alias(c) for c in ("rate", "lag", "confidence", "begin", "length")])
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            values = [c.to_pylist() for c in batch.columns[4:]]
-            for p, q, rate, *rest in zip(batch.column(2), batch.column(3), *values, strict=True):
-                p, q = (np.asarray(v.values, np.float64) if v.is_valid else np.zeros(0) for v in (p, q))
-                made.append(fine_lag(p, q, *rest, rate, max_offset_s, hop) if rate else (0.0, 0.0))
-            offsets, sure = zip(*made, strict=True) if made else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets, pa.float64()), pa.array(sure, pa.float64())], [*keys, "temporal_offset", "offset_confidence"])
+            rate, *known = (c.fill_null(0).to_numpy() for c in batch.columns[4:])
+            offsets, sure = fine_lags(Lists(batch.column(2)), Lists(batch.column(3)), *known, rate, max_offset_s, hop)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets), pa.array(sure)], [*keys, "temporal_offset", "offset_confidence"])
 
     ordered = whole.select(*keys, "piece1", "piece2", "rate", "lag", "confidence", "begin", "length")
     return judged(ordered.mapInArrow(refine, "broadcast_key string, alignment_name string, temporal_offset double, offset_confidence double"), min_confidence)
@@ -210,7 +266,7 @@ def _bands(rate: int, count: int = 26) -> np.ndarray:
 def _running_median(x: np.ndarray, width: int, axis: int) -> np.ndarray:
     """The median of each value's neighbourhood along an axis, edges repeated."""
     half = width // 2
-    padded = np.pad(x, [(half, half) if a == axis else (0, 0) for a in range(x.ndim)], mode="edge")
+    padded = np.pad(x, [(half, half) if a == axis % x.ndim else (0, 0) for a in range(x.ndim)], mode="edge")
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, width, axis=axis), axis=-1)
 
 
@@ -220,10 +276,10 @@ def harmonic_parts(power: np.ndarray) -> np.ndarray:
     Medians along time leave tones, medians along frequency leave beats; each bin is dealt between both by
     their squares.
     """
-    tones, beats = _running_median(power, MEDIAN, 0), _running_median(power, MEDIAN, 1)
+    tones, beats = _running_median(power, MEDIAN, -2), _running_median(power, MEDIAN, -1)
     share = np.square(tones) / (np.square(tones) + np.square(beats) + 1e-20)
-    whole = power.sum(1) + 1e-12
-    return np.c_[(power * share).sum(1) / whole, (power * (1 - share)).sum(1) / whole]
+    whole = power.sum(-1) + 1e-12
+    return np.stack([(power * share).sum(-1) / whole, (power * (1 - share)).sum(-1) / whole], axis=-1)
 
 
 @lru_cache(16)
@@ -238,37 +294,37 @@ def _pitch_classes(rate: int) -> np.ndarray:
 
 
 def features(pcm: np.ndarray, rate: int, speech: bool = True, harmonic: bool = False, chroma: bool = False) -> np.ndarray:
-    """Means and deviations over frames, each kind of feature scaled by the root of its weight.
+    """Means and deviations over frames, each kind of feature scaled by the root of its weight; of rows of samples, a row each.
 
     Kinds: cepstral coefficients, spectral shape and loudness always; zero crossings with speech, the shares of tones
     and of beats with harmonic, the classes of pitch with chroma. The weight of speech is dealt evenly among
     the kinds that are on beside the first three; what is off is 0, so that all fingerprints are of one length.
     """
     pcm = np.nan_to_num(np.asarray(pcm, np.float64))
-    if len(pcm) < WINDOW or rate <= 0:
-        pcm = np.pad(pcm, (0, max(0, WINDOW - len(pcm))))
+    if pcm.shape[-1] < WINDOW or rate <= 0:
+        pcm = np.pad(pcm, [(0, 0)] * (pcm.ndim - 1) + [(0, max(0, WINDOW - pcm.shape[-1]))])
     total = []
     bands, classes = _bands(max(rate, 1)), _pitch_classes(max(rate, 1))
     n, window = len(bands), np.hanning(WINDOW)
     cosines = np.cos(np.pi / n * (np.arange(n) + 0.5)[None, :] * np.arange(1, COEFFICIENTS + 1)[:, None])
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, WINDOW)[::HOP]
-    for at in range(0, len(frames), FRAMES):
-        part = frames[at : at + FRAMES]
-        power = np.square(np.abs(np.fft.rfft(part * window, axis=1)))
+    frames = np.lib.stride_tricks.sliding_window_view(pcm, WINDOW, axis=-1)[..., ::HOP, :]
+    for at in range(0, frames.shape[-2], FRAMES):
+        part = frames[..., at : at + FRAMES, :]
+        power = np.square(np.abs(np.fft.rfft(part * window, axis=-1)))
         mel = np.log(power @ bands.T + 1e-10)
-        f = np.arange(power.shape[1]) / power.shape[1]
-        mass = power.sum(1) + 1e-12
+        f = np.arange(power.shape[-1]) / power.shape[-1]
+        mass = power.sum(-1) + 1e-12
         centre = power @ f / mass
         spread = np.sqrt(np.maximum(power @ (f * f) / mass - centre**2, 0))
-        loud = np.log(np.square(part).mean(1) + 1e-10)
-        cross = (np.diff(np.signbit(part), axis=1) != 0).mean(1) if speech else np.zeros(len(part))
-        parts = harmonic_parts(power) if harmonic else np.zeros((len(part), 2))
-        pitch = power @ classes / mass[:, None] if chroma else np.zeros((len(part), 12))
-        total.append(np.c_[mel @ cosines.T / n, centre, spread, loud / 10, cross, parts, pitch])
-    rows = np.concatenate(total)
+        loud = np.log(np.square(part).mean(-1) + 1e-10)
+        cross = (np.diff(np.signbit(part), axis=-1) != 0).mean(-1) if speech else np.zeros(part.shape[:-1])
+        parts = harmonic_parts(power) if harmonic else np.zeros((*part.shape[:-1], 2))
+        pitch = power @ classes / mass[..., None] if chroma else np.zeros((*part.shape[:-1], 12))
+        total.append(np.concatenate([mel @ cosines.T / n, np.stack([centre, spread, loud / 10, cross], axis=-1), parts, pitch], axis=-1))
+    rows = np.concatenate(total, axis=-2)
     beside = WEIGHTS["speech"] / max(1, speech + harmonic + chroma)
     kinds = np.repeat([WEIGHTS["mfcc"], WEIGHTS["spectral"], WEIGHTS["temporal"], beside * speech, beside * harmonic, beside * chroma], [COEFFICIENTS, 2, 1, 1, 2, 12])
-    return np.r_[rows.mean(0) * np.sqrt(kinds), rows.std(0) * np.sqrt(kinds)]
+    return np.concatenate([rows.mean(-2) * np.sqrt(kinds), rows.std(-2) * np.sqrt(kinds)], axis=-1)
 
 
 def fingerprints(streams: DataFrame) -> DataFrame:
@@ -282,9 +338,13 @@ def fingerprints(streams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = zip(*[batch.column(c).to_pylist() for c in range(3, 7)], strict=True)
-            made = [features(np.asarray(x.values, np.float64), r, *on) if x.is_valid and len(x.values) and r else None for x, (r, *on) in zip(batch.column(2), chosen, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["broadcast_key", "stream_name", "fingerprint"])
+            sound, made = Lists(batch.column(2)), [None] * batch.num_rows
+            rates, *on = (np.array([v or 0 for v in batch.column(c).to_pylist()], np.int64) for c in range(3, 7))
+            for own in alike(sound.lengths, rates, *on, values=sound.lengths * SPECTRA):
+                if rates[own[0]] and sound.lengths[own[0]]:
+                    for i, x in zip(own, features(sound.rows(own), int(rates[own[0]]), *[bool(c[own[0]]) for c in on]), strict=True):
+                        made[i] = x
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_lists(made)], ["broadcast_key", "stream_name", "fingerprint"])
 
     typed = streams if "content_type" in streams.columns else streams.withColumn("content_type", F.lit("news"))
     return with_content_settings(typed).select("broadcast_key", "stream_name", "pcm", "sample_rate", *kinds).mapInArrow(run, "broadcast_key string, stream_name string, fingerprint array<double>")

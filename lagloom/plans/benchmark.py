@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 
 from lagloom.operators import alignment, liveness, pairing, quality, stats
 from lagloom.operators.config import RunSettings
-
-
-def once(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names; where there is none, persisted."""
-    sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+from lagloom.operators.kept import once
 
 
 class Results:
@@ -63,8 +55,9 @@ class Comparison(Results):
     @cached_property
     def alignments(self) -> DataFrame:
         sound = self.fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
-        aligned = alignment.align_streams(self.pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop)
-        return once(self.pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")))
+        pairs = once(self.pairs)  # met twice: by envelopes, and by what is found
+        aligned = alignment.align_streams(pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop)
+        return once(pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")))
 
     @cached_property
     def comparisons(self) -> DataFrame:

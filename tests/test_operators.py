@@ -213,3 +213,49 @@ def test_alignment_and_fingerprints(spark):
     prints = {r.stream_name: r.fingerprint for r in alignment.fingerprints(s).collect()}
     likeness = lambda p, q: np.dot(prints[p], prints[q]) / np.linalg.norm(prints[p]) / np.linalg.norm(prints[q])
     assert likeness("a", "b") > 0.95 > likeness("a", "n") and prints["e"] is None
+
+
+def test_rows_at_once_are_what_single_rows_are():
+    """Lags, fine searches and fingerprints of many rows of several lengths, nulls and empty ones among them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    rows = [None if n is None else rng.normal(size=n) for n in (300, 1500, 0, None, 300, 1500, 7, 300)]
+    column = alignment.as_lists(rows)
+    assert column.to_pylist() == [None if r is None else r.tolist() for r in rows]
+    both = alignment.Lists(column)
+    assert both.lengths.tolist() == [300, 1500, 0, 0, 300, 1500, 7, 300]
+    groups = list(alignment.alike(both.lengths, values=both.lengths))
+    assert sorted(i for own in groups for i in own) == list(range(8)) and all(len(set(both.lengths[own])) == 1 for own in groups)
+    made = alignment.envelope_column(column.slice(1), 16).to_pylist()
+    assert made == [alignment.envelope(r if r is not None else np.zeros(0), 16).tolist() for r in rows[1:]]
+    a = rng.normal(size=(6, 90))
+    b = np.stack([np.roll(x, s) for x, s in zip(a, (0, 3, -5, 8, 1, -1), strict=True)])[:, :70]
+    lags, sure = alignment.correlate_rows(a, b, 9, -6)
+    for i in range(6):
+        fits = {}
+        x, y = a[i] - a[i].mean(), b[i] - b[i].mean()
+        for lag in range(-6, 10):
+            at = [t for t in range(90) if 0 <= t + lag < 70]
+            p, q = x[at], y[[t + lag for t in at]]
+            fits[lag] = p @ q / np.sqrt((p @ p) * (q @ q))
+        best = max(fits, key=fits.get)
+        assert lags[i] == best and sure[i] == pytest.approx(fits[best])
+        assert alignment.correlate(a[i], b[i], 9, -6) == (best, pytest.approx(sure[i]))
+    sound = rng.normal(size=(5, 2500))
+    for on in ((True, False, False), (False, True, True)):
+        assert alignment.features(sound, 1024, *on) == pytest.approx(np.stack([alignment.features(x, 1024, *on) for x in sound]))
+
+
+def test_pieces_of_many_pairs_are_searched_at_once(spark, monkeypatch):
+    """A batch of pairs of one shape is one search, not one for each pair."""
+    import pyarrow as pa
+
+    calls = []
+    rows = alignment.correlate_rows
+    monkeypatch.setattr(alignment, "correlate_rows", lambda *x: calls.append(len(x[0])) or rows(*x))
+    x = np.random.default_rng(3).normal(size=(40, 400))
+    p, q = (alignment.Lists(alignment.as_lists(list(v))) for v in (x, np.roll(x, 5, axis=1)))
+    whole = lambda n: np.full(40, n)
+    offsets, sure = alignment.fine_lags(p, q, whole(0), np.zeros(40), whole(0), whole(25), whole(100), 1.0, 16)
+    assert calls == [40] and set(offsets) == {0.05} and (sure > 0.9).all()

@@ -58,3 +58,17 @@ def test_a_large_broadcast_is_paired_by_many_tasks(spark):
 def test_content_fingerprints_are_made_once(spark):
     plan = registry.queries()["content_fingerprints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_samples_of_blocks_are_never_sorted(spark):
+    """As on tables too large for broadcasts: samples are made once more after the envelopes, and met without a sort."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()["block_alignments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with_sound = plan[: plan.index("ArrowEvalPython")]
+    assert plan.count("ArrowEvalPython [_pcm") == 1
+    assert "hashpartitioning(broadcast_key" in with_sound and "ShuffledHashJoin" in with_sound
+    assert plan.count("SortMergeJoin") <= 2  # that of names to pairs, and of pairs to what was found: no samples
