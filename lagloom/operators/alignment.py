@@ -28,7 +28,7 @@ SPECTRA = 4
 #: Seconds of sound that the search for the last samples of an offset goes over.
 FINE_S = 10
 #: Values of recordings that are worked on at once.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 
 def best_lag(a: Column, b: Column, most: int) -> Column:
@@ -209,14 +209,14 @@ def by_pair(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return whole.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.value").alias("value1"), F.col("value2.value").alias("value2"))
 
 
-def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP) -> DataFrame:
+def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP, made: DataFrame | None = None) -> DataFrame:
     """What align() gives, for pairs (broadcast_key, alignment_name, stream1, stream2) of the streams of sound.
 
     Envelopes are made where the samples lie, once for each stream, and only they are joined to pairs. Of the samples only
-    the spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream.
+    the spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream. made: their envelopes, if they are there already.
     """
-    shapes = envelopes(sound, hop).select("broadcast_key", "stream_name", F.struct("sample_rate", "envelope").alias("value"))
-    both = by_pair(pairs, shapes).select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.envelope").alias("envelope1"), F.col("value2.envelope").alias("envelope2"), F.col("value1.sample_rate").alias("rate1"))
+    loud = (envelopes(sound, hop) if made is None else made).select("broadcast_key", "stream_name", F.struct("sample_rate", "envelope").alias("value"))
+    both = by_pair(pairs, loud).select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.envelope").alias("envelope1"), F.col("value2.envelope").alias("envelope2"), F.col("value1.sample_rate").alias("rate1"))
     names = ["broadcast_key", "alignment_name", "stream1", "stream2", "rate", "lag", "confidence", "begin", "length", "first1", "count1", "first2", "count2"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,27 +327,48 @@ def features(pcm: np.ndarray, rate: int, speech: bool = True, harmonic: bool = F
     return np.concatenate([rows.mean(-2) * np.sqrt(kinds), rows.std(-2) * np.sqrt(kinds)], axis=-1)
 
 
+def fingerprint_column(pcm: pa.Array, rates: np.ndarray, *on: np.ndarray) -> pa.Array:
+    """The fingerprint of each list of samples, of the kinds of features that are on; null without samples or rate."""
+    sound, made = Lists(pcm), [None] * len(pcm)
+    for own in alike(sound.lengths, rates, *on, values=sound.lengths * SPECTRA):
+        if rates[own[0]] and sound.lengths[own[0]]:
+            for i, x in zip(own, features(sound.rows(own), int(rates[own[0]]), *[bool(c[own[0]]) for c in on]), strict=True):
+                made[i] = x
+    return as_lists(made)
+
+
+def _typed(streams: DataFrame) -> DataFrame:
+    """What a fingerprint is made of: names, samples, rate, and which features count, as the content type's settings say; without a content type those of news."""
+    from lagloom.operators.config import with_content_settings
+
+    typed = streams if "content_type" in streams.columns else streams.withColumn("content_type", F.lit("news"))
+    return with_content_settings(typed).select("broadcast_key", "stream_name", "pcm", F.col("sample_rate").cast("int"), "speech_features", "harmonic_features", "chroma_features")
+
+
 def fingerprints(streams: DataFrame) -> DataFrame:
     """(broadcast_key, stream_name, fingerprint) of streams with pcm, sample_rate and, if there is one, content_type; null without samples.
 
     Which features count is what the content type's settings say; without a content type it is that of news.
     """
-    from lagloom.operators.config import with_content_settings
 
-    kinds = ["speech_features", "harmonic_features", "chroma_features"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [np.array([v or 0 for v in batch.column(c).to_pylist()], np.int64) for c in range(3, 7)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fingerprint_column(batch.column(2), *numbers)], ["broadcast_key", "stream_name", "fingerprint"])
+
+    return _typed(streams).mapInArrow(run, "broadcast_key string, stream_name string, fingerprint array<double>")
+
+
+def shapes(streams: DataFrame, hop: int = HOP) -> DataFrame:
+    """What envelopes() and fingerprints() give, in one row for each stream: samples are read once for both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sound, made = Lists(batch.column(2)), [None] * batch.num_rows
-            rates, *on = (np.array([v or 0 for v in batch.column(c).to_pylist()], np.int64) for c in range(3, 7))
-            for own in alike(sound.lengths, rates, *on, values=sound.lengths * SPECTRA):
-                if rates[own[0]] and sound.lengths[own[0]]:
-                    for i, x in zip(own, features(sound.rows(own), int(rates[own[0]]), *[bool(c[own[0]]) for c in on]), strict=True):
-                        made[i] = x
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_lists(made)], ["broadcast_key", "stream_name", "fingerprint"])
+            numbers = [np.array([v or 0 for v in batch.column(c).to_pylist()], np.int64) for c in range(3, 7)]
+            made = [envelope_column(batch.column(2), hop), fingerprint_column(batch.column(2), *numbers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *made], ["broadcast_key", "stream_name", "sample_rate", "envelope", "fingerprint"])
 
-    typed = streams if "content_type" in streams.columns else streams.withColumn("content_type", F.lit("news"))
-    return with_content_settings(typed).select("broadcast_key", "stream_name", "pcm", "sample_rate", *kinds).mapInArrow(run, "broadcast_key string, stream_name string, fingerprint array<double>")
+    return _typed(streams).mapInArrow(run, "broadcast_key string, stream_name string, sample_rate int, envelope array<double>, fingerprint array<double>")
 
 
 def likeness(a: Column, b: Column) -> Column:

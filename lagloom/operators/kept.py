@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from lagloom.operators.pairing import TASKS
 
-def once(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names; where there is none, persisted."""
+
+def once(df: DataFrame, *by: str) -> DataFrame:
+    """df, computed once and kept in the folder that spark.checkpoint.dir names; where there is none, persisted.
+
+    by: columns by which its rows are dealt, to TASKS for each core. What is kept may be few bytes in very many parts, and each part that is read costs a task.
+    """
     sc = df.sparkSession.sparkContext
+    df = df.repartition(TASKS * sc.defaultParallelism, *by) if by else df
     named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

@@ -20,10 +20,13 @@ class Results:
         return liveness.metric_rows(liveness.pivot(self.liveness), self.broadcasts)
 
     def performance(self) -> DataFrame:
-        return stats.performance_metrics(stats.metric_values(self.broadcasts, self.streams, self.alignments, self.comparisons, self.liveness))
+        compared = self.comparisons
+        # Kept, as percentiles of large series ask for the values again and again.
+        return stats.performance_metrics(once(stats.metric_values(self.broadcasts, self.streams, self.alignments, compared, self.liveness)))
 
     def quality(self) -> DataFrame:
-        return quality.quality_metrics(self.broadcasts, self.streams, self.alignments, self.comparisons)
+        compared = self.comparisons
+        return quality.quality_metrics(self.broadcasts, self.streams, self.alignments, compared)
 
     def reliability(self) -> DataFrame:
         return quality.reliability_metrics(self.broadcasts, self.streams)
@@ -42,7 +45,10 @@ class Run(Results):
 
 @dataclass
 class Comparison(Results):
-    """broadcasts and streams are plans. Alignments and comparisons are computed when they are first asked for, and once: all that a run tells is made of them."""
+    """broadcasts and streams are plans. Alignments and comparisons are computed when they are first asked for, and once: all that a run tells is made of them.
+
+    Comparisons that are asked for first, as by all that needs both, have envelopes and fingerprints made in one reading of the samples.
+    """
 
     broadcasts: DataFrame
     streams: DataFrame
@@ -52,25 +58,31 @@ class Comparison(Results):
     places: int
     hop: int
 
+    @cached_property
+    def shapes(self) -> DataFrame:
+        return once(alignment.shapes(self.fine, self.hop))
+
     @cached_property
     def alignments(self) -> DataFrame:
         sound = self.fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
-        pairs = once(self.pairs)  # met twice: by envelopes, and by what is found
-        aligned = alignment.align_streams(pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop)
-        return once(pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")))
+        pairs = once(self.pairs, "broadcast_key")  # met twice: by envelopes, and by what is found
+        aligned = alignment.align_streams(pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop, self.__dict__.get("shapes"))
+        return once(pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")), "broadcast_key")
 
     @cached_property
     def comparisons(self) -> DataFrame:
         if self.settings.skip_fingerprint_comparison:
             return self.pairs.where(F.lit(False)).select("broadcast_key", "alignment_name", F.lit(None).cast("double").alias("overall_similarity"), F.lit(False).alias("is_valid_match"), F.lit(None).cast("string").alias("error"))
-        prints = alignment.fingerprints(self.fine).withColumnRenamed("fingerprint", "value")
+        made = alignment.fingerprints(self.fine) if "alignments" in self.__dict__ else self.shapes
+        prints = made.select("broadcast_key", "stream_name", F.col("fingerprint").alias("value"))
         both = alignment.by_pair(pairing.valid_alignments(self.alignments), prints).withColumnsRenamed({"value1": "fingerprint1", "value2": "fingerprint2"})
         named = both.withColumn("alignment_name", F.concat("alignment_name", F.lit("_fingerprint")))
-        return once(alignment.compare(named, self.settings.min_fingerprint_similarity).select("broadcast_key", "alignment_name", "overall_similarity", "is_valid_match", "error"))
+        return once(alignment.compare(named, self.settings.min_fingerprint_similarity).select("broadcast_key", "alignment_name", "overall_similarity", "is_valid_match", "error"), "broadcast_key")
 
     @cached_property
     def liveness(self) -> DataFrame:
-        return liveness.classify(pairing.with_fingerprints(self.alignments, self.comparisons), self.settings.min_fingerprint_similarity, self.places)
+        compared = self.comparisons
+        return liveness.classify(pairing.with_fingerprints(self.alignments, compared), self.settings.min_fingerprint_similarity, self.places)
 
 
 def run(broadcasts: DataFrame, streams: DataFrame, settings: RunSettings, places: int = 3, hop: int = alignment.HOP) -> Comparison:

@@ -72,3 +72,51 @@ def test_samples_of_blocks_are_never_sorted(spark):
     assert plan.count("ArrowEvalPython [_pcm") == 1
     assert "hashpartitioning(broadcast_key" in with_sound and "ShuffledHashJoin" in with_sound
     assert plan.count("SortMergeJoin") <= 2  # that of names to pairs, and of pairs to what was found: no samples
+
+
+def test_sound_of_one_file_is_made_by_many_tasks(spark, tmp_path):
+    """A file of one row group is read by one task; what is made of its vectors isn't."""
+    from pyspark.sql import functions as F
+
+    from lagloom.plans import run_queries
+
+    schema = pq.read_schema(f"{SF}/embeddings.parquet")
+    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    pq.write_table(pa.Table.from_pylist([rows[v % len(rows)] | {"vec_id": v} for v in range(4000)], schema), tmp_path / "embeddings.parquet")
+    _, streams = run_queries._sound(spark, str(tmp_path))
+    by_task = [r["count"] for r in streams.where("pcm is not null").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) >= 12 and max(by_task) < 3 * sum(by_task) / len(by_task)
+
+
+def test_streams_of_a_vector_are_the_same_noise_moved():
+    """Each sample by itself, as it was made before noise was made once for a vector."""
+    import numpy as np
+
+    from lagloom.plans import run_queries as q
+
+    rng = np.random.default_rng(5)
+    ids = np.repeat([3.0, 615383.0, 3.0], 4)
+    loudness, shift = rng.normal(size=(12, q.HOPS)), np.array([0, -5, 48, 27] * 3)
+    loudness[2, 7] = np.nan
+    at = np.arange(q.HOP * q.HOPS)[None, :] - shift[:, None]
+    inside = (at >= 0) & (at < q.HOP * q.HOPS)
+    loud = np.where(inside, 0.05 + np.abs(np.take_along_axis(loudness, np.clip(at // q.HOP, 0, q.HOPS - 1), 1)), 0.005)
+    want = (q._noise(at, ids[:, None], 12.9898, 78.233, 43758.5453) * 2 - 1) * loud
+    assert np.array_equal(q._made(ids, loudness, shift, np.full(12, "", object)), want, equal_nan=True)
+    assert q._made(ids[:0], loudness[:0], shift[:0], np.zeros(0, object)).shape == (0, q.HOP * q.HOPS)
+
+
+@pytest.mark.parametrize("name", ["run_performance", "run_confidences"])
+def test_values_of_a_run_are_kept(spark, name):
+    """Percentiles of large series ask for the values again and again: their plan reads no table anew."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan
+
+
+@pytest.mark.parametrize("name", ["run_quality", "run_performance"])
+def test_samples_are_read_once_for_envelopes_and_fingerprints(spark, monkeypatch, name):
+    from lagloom.operators import alignment
+
+    monkeypatch.setattr(alignment, "fingerprints", None)
+    monkeypatch.setattr(alignment, "envelopes", None)
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
