@@ -209,14 +209,16 @@ def by_pair(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return whole.select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.value").alias("value1"), F.col("value2.value").alias("value2"))
 
 
-def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP, made: DataFrame | None = None) -> DataFrame:
+def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0, min_confidence: float = 0.4, hop: int = HOP, made: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """What align() gives, for pairs (broadcast_key, alignment_name, stream1, stream2) of the streams of sound.
 
     Envelopes are made where the samples lie, once for each stream, and only they are joined to pairs. Of the samples only
     the spans of the fine search move on, after one shuffle of each stream. Rates are those of the first stream. made: their envelopes, if they are there already.
+    tasks: into how many of them broadcasts are dealt; without, as many as the session shuffles to.
     """
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, "broadcast_key")
     loud = (envelopes(sound, hop) if made is None else made).select("broadcast_key", "stream_name", F.struct("sample_rate", "envelope").alias("value"))
-    both = by_pair(pairs, loud).select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.envelope").alias("envelope1"), F.col("value2.envelope").alias("envelope2"), F.col("value1.sample_rate").alias("rate1"))
+    both = by_pair(dealt(pairs), loud).select("broadcast_key", "alignment_name", "stream1", "stream2", F.col("value1.envelope").alias("envelope1"), F.col("value2.envelope").alias("envelope2"), F.col("value1.sample_rate").alias("rate1"))
     names = ["broadcast_key", "alignment_name", "stream1", "stream2", "rate", "lag", "confidence", "begin", "length", "first1", "count1", "first2", "count2"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +236,7 @@ def align_streams(pairs: DataFrame, sound: DataFrame, max_offset_s: float = 15.0
     known = [F.col(c) for c in ("alignment_name", "rate", "lag", "confidence", "begin", "length")]
     sides = [F.struct(F.col(f"stream{n}").alias("stream_name"), F.lit(n).alias("side"), F.col(f"first{n}").alias("first"), F.col(f"count{n}").alias("count"), *known) for n in (1, 2)]
     # A stream is asked for by the pairs it is in, which are those of one broadcast: dealt by broadcasts, samples and the pieces cut from them stay in one place.
-    asked = coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s")).groupBy("broadcast_key").agg(F.collect_list("s").alias("asked"))
+    asked = dealt(coarse.select("broadcast_key", F.explode(F.array(*sides)).alias("s"))).groupBy("broadcast_key").agg(F.collect_list("s").alias("asked"))
     own = F.filter("asked", lambda r: r["stream_name"] == F.col("stream_name"))
     # Cut outside of the lambda, where Spark need not make an object of every sample.
     met = sound.select("broadcast_key", "stream_name", "pcm").join(asked.hint("shuffle_hash"), "broadcast_key").select("broadcast_key", "pcm", F.explode(own).alias("r"))

@@ -11,6 +11,13 @@ from lagloom.functions.text import fingerprint_name, pair_name
 PARTS, TASKS = 64, 4
 
 
+def tasks_for(df: DataFrame, few: int, many: int) -> int:
+    """How many tasks df's rows are dealt to: TASKS for each core, fewer if that leaves less than `few` rows to a task, more if more than `many`."""
+    n = df.count()
+    most = TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(most, -(-n // few)), -(-n // many))
+
+
 def measurable(streams: DataFrame) -> DataFrame:
     """Streams to be measured: all but those that are disabled; unset counts as enabled."""
     return streams.where(F.coalesce("enabled", F.lit(True)))

@@ -13,6 +13,10 @@ from lagloom.operators.config import RunSettings
 from lagloom.operators.kept import once
 
 
+#: Pairs of a task in which samples meet, where there are fewer tasks than cores take, and at most.
+FEW, MANY = 512, 16384
+
+
 class Results:
     """What a run tells, of its broadcasts, streams, alignments, comparisons and liveness."""
 
@@ -58,6 +62,15 @@ class Comparison(Results):
     places: int
     hop: int
 
+    @cached_property
+    def kept_pairs(self) -> DataFrame:
+        return once(self.pairs, "broadcast_key")  # met twice: by envelopes, and by what is found
+
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks in which pairs meet envelopes, samples and fingerprints: as many as their number asks for, whatever the session's number of shuffle partitions."""
+        return pairing.tasks_for(self.kept_pairs, FEW, MANY)
+
     @cached_property
     def shapes(self) -> DataFrame:
         return once(alignment.shapes(self.fine, self.hop))
@@ -65,9 +78,8 @@ class Comparison(Results):
     @cached_property
     def alignments(self) -> DataFrame:
         sound = self.fine.select("broadcast_key", "stream_name", "pcm", "sample_rate")
-        pairs = once(self.pairs, "broadcast_key")  # met twice: by envelopes, and by what is found
-        aligned = alignment.align_streams(pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop, self.__dict__.get("shapes"))
-        return once(pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")), "broadcast_key")
+        aligned = alignment.align_streams(self.kept_pairs, sound, self.settings.max_alignment_offset, self.settings.min_alignment_confidence, self.hop, self.__dict__.get("shapes"), self.tasks)
+        return once(self.kept_pairs.join(aligned, ["broadcast_key", "alignment_name"]).withColumn("error", F.when(~F.col("is_valid"), "cannot truncate: alignment is not valid")), "broadcast_key")
 
     @cached_property
     def comparisons(self) -> DataFrame:
@@ -75,7 +87,7 @@ class Comparison(Results):
             return self.pairs.where(F.lit(False)).select("broadcast_key", "alignment_name", F.lit(None).cast("double").alias("overall_similarity"), F.lit(False).alias("is_valid_match"), F.lit(None).cast("string").alias("error"))
         made = alignment.fingerprints(self.fine) if "alignments" in self.__dict__ else self.shapes
         prints = made.select("broadcast_key", "stream_name", F.col("fingerprint").alias("value"))
-        both = alignment.by_pair(pairing.valid_alignments(self.alignments), prints).withColumnsRenamed({"value1": "fingerprint1", "value2": "fingerprint2"})
+        both = alignment.by_pair(pairing.valid_alignments(self.alignments).repartition(self.tasks, "broadcast_key"), prints).withColumnsRenamed({"value1": "fingerprint1", "value2": "fingerprint2"})
         named = both.withColumn("alignment_name", F.concat("alignment_name", F.lit("_fingerprint")))
         return once(alignment.compare(named, self.settings.min_fingerprint_similarity).select("broadcast_key", "alignment_name", "overall_similarity", "is_valid_match", "error"), "broadcast_key")
 

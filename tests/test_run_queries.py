@@ -128,3 +128,43 @@ def test_large_ids_are_no_timeouts(spark, tmp_path, name):
     rows = {r["vec_id"]: r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()}
     pq.write_table(pa.Table.from_pylist([rows[v % 500] | {"vec_id": v} for v in (3, 149_999, 150_001, 449_998, 615_383)], pq.read_schema(f"{SF}/embeddings.parquet")), tmp_path / "embeddings.parquet")
     assert same_as_sql(spark, name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["run_quality", "run_confidences", "run_alignments"])
+def test_pairs_meet_sound_in_tasks_by_their_number(spark, tmp_path, monkeypatch, name):
+    """Whatever the session's number of shuffle partitions: with few of them, tasks grew with the input and spilled."""
+    from pyspark.sql import functions as F
+
+    from lagloom.operators import alignment
+
+    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    pq.write_table(pa.Table.from_pylist([rows[v % len(rows)] | {"vec_id": v} for v in range(3000)], pq.read_schema(f"{SF}/embeddings.parquet")), tmp_path / "embeddings.parquet")
+    made, align = [], alignment.align_streams
+    monkeypatch.setattr(alignment, "align_streams", lambda *given: made.append(align(*given)) or made[-1])
+    registry.queries()[name](spark, str(tmp_path))
+    by_task = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) >= 12 and max(by_task) < 3 * sum(by_task) / len(by_task)
+
+
+def test_tasks_grow_with_rows(spark):
+    from lagloom.operators import pairing
+
+    assert [pairing.tasks_for(spark.range(n), 10, 100) for n in (0, 9, 35, 1600, 1601, 5000)] == [1, 1, 4, 16, 17, 50]
+
+
+def test_what_is_kept_is_computed_in_small_batches(spark):
+    """Batches of sound had 10,000 rows; the session's own setting is as before afterwards."""
+    from lagloom.operators import kept
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    made = kept.once(spark.range(3000, numPartitions=1).mapInArrow(sizes, "n long"))
+    assert max(r["n"] for r in made.collect()) <= 512
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), kept.small_batches(spark):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before
