@@ -55,6 +55,33 @@ def test_a_large_broadcast_is_paired_by_many_tasks(spark):
     assert len(by_task) >= 8 and max(by_task) < 300
 
 
+def test_parts_of_sources_meet_parts_of_copies(spark, monkeypatch):
+    """Each pair once, whatever the parts; no task holds all sources, nor all copies, of a large broadcast."""
+    from pyspark.sql import functions as F
+
+    from lagloom.operators import pairing
+
+    monkeypatch.setattr(pairing, "SIDE", 4)
+    monkeypatch.setattr(pairing, "PARTS", 2)
+    rows = [("g", f"pri_{i}", "source") for i in range(40)] + [("g", f"ti_{i}", "cdn") for i in range(60)] + [("g", "bk_0", "source")]
+    rows += [("h", "pri_0", "source"), ("h", "ti_0", "cdn"), ("h", "ti_0", "cdn"), ("i", "pri_0", "source"), ("j", "ti_0", "cdn"), (None, "pri_0", "source"), (None, "ti_0", "cdn"), ("h", "bk_0", None)]
+    streams = spark.createDataFrame(rows, "broadcast_key string, stream_name string, role string")
+    is_primary = lambda n, r: r == "source" and "pri" in n
+    want = sorted((k, n, m, q, f"{n}_vs_{m}") for k, n, r in rows if is_primary(n, r) for j, m, q in rows if k == j and k and q and not is_primary(m, q))
+    for made in (pairing.pair_streams(streams), pairing.pair_streams(streams, 1, 20)):
+        assert sorted(tuple(r) for r in made.collect()) == want
+    by_task = made.where("broadcast_key = 'g'").groupBy(F.spark_partition_id()).agg(F.count_distinct("stream1"), F.count_distinct("stream2")).collect()
+    assert len(by_task) > 40 and max(r[1] for r in by_task) < 40 and max(r[2] for r in by_task) < 61
+
+
+def test_pairs_of_a_nation_are_dealt_by_their_number(spark, tmp_path):
+    """750 million pairs go to more tasks than there would be for each core, 300 to fewer."""
+    for suppliers, customers, tasks in ((40_000, 30_000, (45, 46)), (30, 10, (1, 4))):
+        spark.range(suppliers).selectExpr("id as s_suppkey", "7 as s_nationkey", "1.0D as s_acctbal").write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+        spark.range(customers).selectExpr("id as c_custkey", "7 as c_nationkey", "1.0D as c_acctbal").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+        assert tasks[0] <= registry.queries()["source_cdn_pairs"](spark, str(tmp_path)).rdd.getNumPartitions() <= tasks[1]
+
+
 def test_content_fingerprints_are_made_once(spark):
     plan = registry.queries()["content_fingerprints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
